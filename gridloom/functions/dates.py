@@ -8,10 +8,22 @@ from pyspark.sql import Column, functions as F
 # Formats tried in this order.
 DATE_FORMATS = ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd/MM/yy", "MM/dd/yyyy", "dd MMM yyyy", "dd-MMM-yyyy",
                 "MMM yyyy")
-DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-M-d", "d/M/yy", "d-M-yy", "d MMM yyyy", "d MMMM yyyy",
-             "MMM d, yyyy", "MMM d yyyy")
-MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "yyyy-M-d", "M/d/yy", "M-d-yy", "d MMM yyyy", "d MMMM yyyy",
-               "MMM d, yyyy", "MMM d yyyy")
+_SEP4, _SEP2 = r"^\d{1,2}%s\d{1,2}%s\d{4}$", r"^\d{1,2}%s\d{1,2}%s\d{2}$"
+_NAMED = ((r"^\d{1,2}\s[A-Za-z]{3}\s\d{4}$", "d MMM yyyy"), (r"^\d{1,2}\s[A-Za-z]{4,9}\s\d{4}$", "d MMMM yyyy"),
+          (r"^[A-Za-z]{3}\s\d{1,2},\s\d{4}$", "MMM d, yyyy"), (r"^[A-Za-z]{3}\s\d{1,2}\s\d{4}$", "MMM d yyyy"),
+          (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"))
+
+
+def _readings(first: str, second: str):
+    """(shape, format) pairs; the shape is tested first, so a parser only runs on text it can read."""
+    out = []
+    for sep in ("/", "-", "."):
+        esc = "\\." if sep == "." else sep
+        out.append((_SEP4 % (esc, esc), f"{first}{sep}{second}{sep}yyyy"))
+        out.append((_SEP2 % (esc, esc), f"{first}{sep}{second}{sep}yy"))
+    return (*out, *_NAMED)
+
+
 DATE_SHAPE = (r"^\s*(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})"
               r"([T ]\d{1,2}:\d{2}(:\d{2})?)?\s*$")
 _SHAPES = {"dd/MM/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$", "MM/dd/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
@@ -25,10 +37,17 @@ def _lenient(fmt: str) -> str:
     return fmt.replace("dd", "d").replace("MM", "M") if "MMM" not in fmt else fmt.replace("dd", "d")
 
 
+def century(at: Column, fmt: str) -> Column:
+    """Two-digit years 69 to 99 belong to the last century."""
+    if "yyyy" in fmt or "yy" not in fmt:
+        return at
+    return F.when(F.year(at) >= 2069, at - F.expr("interval 100 years")).otherwise(at)
+
+
 def parse_one(c: Column, fmt: str) -> Column:
     """A date in one format, NULL when the text has another shape or names no real day."""
     t = F.trim(c)
-    got = F.to_date(F.try_to_timestamp(t, F.lit(_lenient(fmt))))
+    got = F.to_date(century(F.try_to_timestamp(t, F.lit(_lenient(fmt))), fmt))
     shape = _SHAPES.get(fmt)
     return F.when(t.rlike(shape), got) if shape else got
 
@@ -43,8 +62,8 @@ def parse_stamp(c: Column, day_first: bool = True) -> Column:
     t = F.trim(c)
     day = F.regexp_extract(t, r"^(.*?)(?:[T ]\d{1,2}:\d{2}(?::\d{2})?)?$", 1)
     clock = F.regexp_extract(t, r"[T ](\d{1,2}:\d{2})(?::\d{2})?$", 1)
-    tries = [F.try_to_timestamp(day, F.lit(f)) for f in (DAY_FIRST if day_first else MONTH_FIRST)]
-    at = F.coalesce(*tries)
+    at = F.coalesce(*[F.when(day.rlike(shape), century(F.try_to_timestamp(day, F.lit(f)), f))
+                      for shape, f in (_readings("d", "M") if day_first else _readings("M", "d"))])
     mins = F.when(clock != "", F.split(clock, ":")[0].cast("int") * 60 + F.split(clock, ":")[1].cast("int")).otherwise(0)
     secs = F.regexp_extract(t, r":\d{2}:(\d{2})$", 1)
     total = mins * 60 + F.when(secs != "", secs.cast("int")).otherwise(0)
