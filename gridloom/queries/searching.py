@@ -8,6 +8,7 @@ from gridloom.functions import vectors as V
 from gridloom.operators import search as S
 from gridloom.operators.scale import numbered, top_per_key
 from gridloom.queries.registry import query
+from gridloom.session import spread
 
 _STOP_SQL = "['" + "','".join(S.STOP) + "']"
 _Q_SQL = rf"""
@@ -26,7 +27,7 @@ def _queries(t):
 
 def _pages(t):
     """Every line of a document as a page."""
-    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
+    return spread(t.documents).select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
 def _files(t):
@@ -89,7 +90,7 @@ select q, doc_id, part, round(score, 6) score, row_number() over (partition by q
 
 @query("txt4_bm25", _BM_SQL)
 def _(t):
-    c = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("part", "chunk")).filter(F.trim("chunk") != "")
+    c = spread(t.documents).select("doc_id", F.posexplode(F.split("text", "\n")).alias("part", "chunk")).filter(F.trim("chunk") != "")
     got = S.bm25(c, ["doc_id", "part"], "chunk", t.benchmark.select(F.col("item_id").alias("q"), F.col("text").alias("query")))
     return got.withColumn("score", F.round("score", 6))
 

@@ -67,6 +67,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row text work on an input with fewer splits than cores (one small file). An input
+    with enough splits is left as it is, so large data is never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
     """`t.orders` reads one table lazily, so a query only touches the files it names."""
 
