@@ -70,24 +70,24 @@ def _boundary_ok(before: Column, after: Column, has_next: Column) -> Column:
 
 
 def known_spans(docs: DataFrame, key: str, text: str, vault: DataFrame, least: int = 3) -> DataFrame:
-    """Every known value in every text: (key, at, size, code, pre, suf), `at` counting words. Word runs of the lengths the
-    vault has are joined with its values; overlaps are not resolved here."""
-    needles = _needles(vault, least)
-    sizes = sorted(r["size"] for r in needles.select("size").distinct().collect())  # distinct word counts only
-    if not sizes:
-        return docs.select(key).limit(0).selectExpr(key, "0 at", "0 size", "'' code", "'' pre", "'' suf")
-    w, g = _parts(F.col(text))
-    d = docs.select(key, w.alias("w"), g.alias("g"), _interleaved(F.col(text)).alias("x")).filter(F.size("w") > 0)
+    """Every known value in every text: (key, at, size, code, pre, suf), `at` counting words; overlaps are not resolved.
 
-    def run_of(n: int) -> Column:
-        many = F.size("w") - n + 1
-        made = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(
-            i.alias("at"), F.lit(n).alias("size"), F.lower(F.regexp_replace(F.array_join(F.slice("x", 2 * i + 2, F.lit(2 * n - 1)), ""), r"\s+", " ")).alias("core"),
-            F.get("g", i).alias("before"), F.get("g", i + n).alias("after"), (i + n < F.size("w")).alias("more")))
-        return F.when(many > 0, made)
-    grams = F.flatten(F.array_compact(F.array(*[run_of(n) for n in sizes])))
-    runs = d.select(key, F.inline(grams)).filter(_boundary_ok(F.col("before"), F.col("after"), F.col("more")) | F.col("before").endswith("+"))
-    hit = runs.join(needles.drop("norm"), ["core", "size"])
+    First the words of the texts meet the first words of the values, which leaves few places; only there are word runs of
+    the right length built, checked at their borders and joined with the values themselves."""
+    needles = _needles(vault, least)
+    heads = needles.select(F.regexp_extract("core", WORD, 0).alias("w1"), "size").distinct()
+    words = docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("at", "w1"))
+    places = words.join(heads, "w1").groupBy(key).agg(F.collect_list(F.struct("at", "size")).alias("places"))  # places in one text
+    d = docs.select(key, F.col(text).alias("_t")).join(places, key)
+    g = _parts(F.col("_t"))[1]
+    d = d.select(key, "places", g.alias("g"), _interleaved(F.col("_t")).alias("x"))
+    inside = F.filter("places", lambda p: p["at"] + p["size"] < F.size("g"))
+    runs = F.transform(inside, lambda p: F.struct(
+        p["at"].alias("at"), p["size"].alias("size"),
+        F.lower(F.regexp_replace(F.array_join(F.slice("x", 2 * p["at"] + 2, 2 * p["size"] - 1), ""), r"\s+", " ")).alias("core"),
+        F.get("g", p["at"]).alias("before"), F.get("g", p["at"] + p["size"]).alias("after"), (p["at"] + p["size"] + 1 < F.size("g")).alias("more")))
+    ok = d.select(key, F.inline(runs)).filter(_boundary_ok(F.col("before"), F.col("after"), F.col("more")) | F.col("before").endswith("+"))
+    hit = ok.join(needles.drop("norm"), ["core", "size"])
     around = F.col("before").endswith(F.col("pre")) & F.col("after").startswith(F.col("suf"))
     glued = (F.col("pre") != "") & (F.length("before") == F.length("pre")) & (F.col("at") > 0)
     return hit.filter(around & ~glued).select(key, "at", "size", "code", "pre", "suf")

@@ -9,7 +9,7 @@ from gridloom.operators import grid as G
 from gridloom.operators import profile as P
 from gridloom.operators import tidy as T
 from gridloom.queries.registry import query
-from gridloom.session import scratch
+from gridloom.session import cut, scratch
 from gridloom.sources import files as S
 from gridloom.sources import records as R
 
@@ -271,7 +271,7 @@ def _(t):
 
 @query("tid_grid_to_table", """select (o_orderkey // 500)::varchar file, 'Camp ' || (o_orderkey // 50) block, o_orderkey::varchar as "Order No", o_orderstatus as "Status", 'Rs. ' || o_totalprice::varchar as "Amount", strftime(o_orderdate, '%d/%m/%Y') as "Date", o_orderpriority || ', "as told"' as "Status (2)" from orders""")
 def _(t):
-    cells = G.tidy_cells(_order_cells(t))
+    cells = cut(G.tidy_cells(_order_cells(t)))  # the tidy table is stored once
     cols = ["Order No", "Status", "Amount", "Date", "Status (2)"]
     tid = cells.select("table_id").first()["table_id"]  # every block has the same header
     return G.stack_table(cells, tid, cols).select("file", "block", *cols)

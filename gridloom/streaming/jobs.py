@@ -20,7 +20,7 @@ from gridloom.streaming.sinks import committed, newest, open_sink, run_available
 # ------------------------------------------------------------------ ST1
 def arriving_files(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
     """A stream of (path, modified, size) for files that arrive below a folder; contents are not read."""
-    return (spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
+    return (spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
             .select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")))
 
 
