@@ -60,14 +60,13 @@ def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
 def parse_stamp(c: Column, day_first: bool = True) -> Column:
     """Date with an optional time, in day-first or month-first reading."""
     t = F.trim(c)
-    day = F.regexp_extract(t, r"^(.*?)(?:[T ]\d{1,2}:\d{2}(?::\d{2})?)?$", 1)
-    clock = F.regexp_extract(t, r"[T ](\d{1,2}:\d{2})(?::\d{2})?$", 1)
+    timed = t.rlike(r"[T ]\d{1,2}:\d{2}(:\d{2})?$")
+    day = F.when(timed, F.regexp_replace(t, r"[T ]\d{1,2}:\d{2}(:\d{2})?$", "")).otherwise(t)
     at = F.coalesce(*[F.when(day.rlike(shape), century(F.try_to_timestamp(day, F.lit(f)), f))
                       for shape, f in (_readings("d", "M") if day_first else _readings("M", "d"))])
-    mins = F.when(clock != "", F.split(clock, ":")[0].cast("int") * 60 + F.split(clock, ":")[1].cast("int")).otherwise(0)
-    secs = F.regexp_extract(t, r":\d{2}:(\d{2})$", 1)
-    total = mins * 60 + F.when(secs != "", secs.cast("int")).otherwise(0)
-    return F.when(t.rlike(DATE_SHAPE), F.timestamp_seconds(F.unix_timestamp(at) + total))
+    clock = F.split(F.regexp_extract(t, r"[T ](\d{1,2}:\d{2}(?::\d{2})?)$", 1), ":")
+    secs = clock[0].cast("int") * 3600 + clock[1].cast("int") * 60 + F.coalesce(F.get(clock, F.lit(2)).cast("int"), F.lit(0))
+    return F.when(timed, F.timestamp_seconds(F.unix_timestamp(at) + secs)).otherwise(at)
 
 
 def part(c: Column, what: str) -> Column:

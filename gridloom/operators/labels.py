@@ -90,22 +90,21 @@ def map_parts(docs: DataFrame, key: str, text: str, fn: Callable[[pd.Series], pd
 
 def row_match_eval(truth: DataFrame, got: DataFrame, doc: str, cols: Sequence[str]) -> DataFrame:
     """Extracted rows against true rows per document: mean of the best similarity per true row, and the share of true cells
-    found exactly. Truth and extracted rows of one document meet only when they share a cell or a long cell start; true
-    rows that meet none count as 0."""
-    def joined(df):
-        return F.concat_ws(" | ", *[F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in cols])
-    t = truth.withColumns({"_t": joined(truth), "_id": F.xxhash64(joined(truth), *[F.col(c).cast("string") for c in cols])})
-    keys = F.array_distinct(F.filter(F.flatten(F.array(*[F.array(F.lower(F.trim(F.col(c).cast("string"))), F.concat(F.lit(f"{i}^"), F.substring(F.lower(F.trim(F.col(c).cast("string"))), 1, 4)))
-                                                         for i, c in enumerate(cols)])), lambda k: k.isNotNull() & (F.length(k) > 2)))
-    a = t.select(doc, "_t", "_id", F.explode(keys).alias("k"))
-    b = got.withColumn("_g", joined(got)).select(doc, "_g", F.explode(keys).alias("k"))
-    pairs = a.join(b, [doc, "k"]).select(doc, "_id", "_t", "_g").distinct().withColumn("s", sequence_ratio("_t", "_g"))
-    best = pairs.groupBy(doc, "_id").agg(F.max("s").alias("s"))
+    found exactly. Distinct rows of a document meet when a cell or the first four letters of a cell agree (an equi-join on
+    those pieces, not all pairs); a true row that shares nothing counts 0."""
+    def pieces(df, name):
+        low = [F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in cols]
+        keys = F.array_distinct(F.flatten(F.array(*[F.array(F.concat(F.lit(f"{i}="), v), F.concat(F.lit(f"{i}^"), F.substring(v, 1, 4))) for i, v in enumerate(low)])))
+        return df.select(doc, F.concat_ws(" ", *low).alias(name), F.filter(keys, lambda k: F.length(k) > 2).alias("_k")).distinct()
+    t, g = pieces(truth, "l"), pieces(got, "r")
+    pairs = t.withColumn("_k", F.explode("_k")).join(g.withColumn("_k", F.explode("_k")), [doc, "_k"]).select(doc, "l", "r").distinct()
+    best = pairs.withColumn("s", sequence_ratio("l", "r")).groupBy(doc, "l").agg(F.max("s").alias("s"))
+    every = truth.select(doc, F.concat_ws(" ", *[F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in cols]).alias("l"))
+    rows = every.join(best, [doc, "l"], "left").groupBy(doc).agg(F.avg(F.coalesce("s", F.lit(0.0))).alias("similarity"))
     cells = F.array(*[F.lower(F.trim(F.col(c).cast("string"))) for c in cols])
-    tc = t.select(doc, F.explode(cells).alias("c")).filter("c is not null")
+    tc = truth.select(doc, F.explode(cells).alias("c")).filter("c is not null")
     gc = got.select(doc, F.explode(cells).alias("c")).filter("c is not null").distinct()
     hit = tc.join(gc.withColumn("_hit", F.lit(1)), [doc, "c"], "left").groupBy(doc).agg(F.avg(F.coalesce("_hit", F.lit(0))).alias("cell_hits"))
-    rows = t.select(doc, "_id").join(best, [doc, "_id"], "left").groupBy(doc).agg(F.avg(F.coalesce("s", F.lit(0.0))).alias("similarity"))
     return rows.join(hit, doc)
 
 

@@ -13,12 +13,13 @@ from gridloom.session import cut
 _SCORES = {"jaro_winkler": jaro_winkler, "ratio": sequence_ratio}
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, kind: str, floor: float) -> DataFrame:
-    """All (l, r, score) with score >= floor for distinct strings in the single columns of `left` and `right`."""
-    keys = candidate_keys(kind, floor)
-    a = left.toDF("l").filter("l <> ''").distinct().withColumn("_k", F.explode(keys("l")))
-    b = right.toDF("r").filter("r <> ''").distinct().withColumn("_k", F.explode(keys("r")))
-    pairs = a.join(b, "_k").select("l", "r").distinct()
+def similar_pairs(left: DataFrame, right: DataFrame, kind: str, floor: float, by: Sequence[str] = ()) -> DataFrame:
+    """All (by..., l, r, score) with score >= floor for distinct strings in the last columns of `left` and `right`; `by`
+    columns come first on both sides and must be equal."""
+    keys, by = candidate_keys(kind, floor), list(by)
+    a = left.toDF(*by, "l").filter("l <> ''").distinct().withColumn("_k", F.explode(keys("l")))
+    b = right.toDF(*by, "r").filter("r <> ''").distinct().withColumn("_k", F.explode(keys("r")))
+    pairs = a.join(b, [*by, "_k"]).select(*by, "l", "r").distinct()
     return pairs.withColumn("score", F.round(_SCORES[kind]("l", "r"), 12)).filter(F.col("score") >= floor)
 
 

@@ -121,27 +121,23 @@ def coerce_dates(df: DataFrame, day_first: bool | None = None) -> tuple[DataFram
     is tried before month-first; a reading is accepted when 95% parse. Shapes and parses are measured over all rows."""
     cols = text_columns(df)
     orders = (True, False) if day_first is None else (day_first,)
-    aggs = {}
-    for c in cols:
-        v = blank_to_null(F.col(c))
-        aggs[f"n_{c}"] = F.count(v)
-        aggs[f"s_{c}"] = F.avg(F.when(v.isNotNull(), v.rlike(D.DATE_SHAPE).cast("int")))
-    got = _one_row(df, aggs)
-    shaped = [c for c in cols if got[f"n_{c}"] >= 3 and (got[f"s_{c}"] or 0) >= 0.9]
-    more = {}
-    for c in shaped:
-        for o in orders:
-            p = D.parse_stamp(F.col(c), o)
-            more[f"p_{c}_{o}"] = F.avg(F.when(blank_to_null(F.col(c)).isNotNull(), p.isNotNull().cast("int")))
-            more[f"t_{c}_{o}"] = F.bool_or((F.hour(p) > 0) | (F.minute(p) > 0))
-    got = _one_row(df, more)
+    v, n = F.col("value"), F.col("n")
+    shaped = F.coalesce(v.rlike(D.DATE_SHAPE), F.lit(False))
+    tests = value_counts(df, cols).filter("value is not null").withColumn("_s", shaped)
+    tests = tests.withColumns({f"_p{int(o)}": F.when(F.col("_s"), D.parse_stamp(v, o)) for o in orders})  # each distinct value once
+    stats = tests.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(F.col("_s"), n).otherwise(0)).alias("shaped"),
+        *[F.sum(F.when(F.col(f"_p{int(o)}").isNotNull(), n).otherwise(0)).alias(f"ok{int(o)}") for o in orders],
+        *[F.bool_or((F.hour(f"_p{int(o)}") > 0) | (F.minute(f"_p{int(o)}") > 0)).alias(f"timed{int(o)}") for o in orders])
     done, exprs = {}, {}
-    for c in shaped:
+    for r in stats.collect():  # one row per column
+        if r["rows"] < 3 or r["shaped"] < 0.9 * r["rows"]:
+            continue
         for o in orders:
-            if (got[f"p_{c}_{o}"] or 0) >= 0.95:
-                p = D.parse_stamp(F.col(c), o)
-                exprs[c] = p.cast("timestamp_ntz") if got[f"t_{c}_{o}"] else F.to_date(p)
-                done[c] = "day first" if o else "month first"
+            if r[f"ok{int(o)}"] >= 0.95 * r["rows"]:
+                p = D.parse_stamp(F.col(r["column"]), o)
+                exprs[r["column"]] = p.cast("timestamp_ntz") if r[f"timed{int(o)}"] else F.to_date(p)
+                done[r["column"]] = "day first" if o else "month first"
                 break
     return df.withColumns(exprs) if exprs else df, done
 

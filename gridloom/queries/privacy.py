@@ -59,7 +59,7 @@ def _notes(t):
     name = F.concat(F.lit("Asha "), F.initcap("c_mktsegment"), F.translate((k % 1000).cast("string"), "0123456789", "abcdefghij"))
     born = F.when(k % 2 == 0, F.concat(F.lit("born on "), day)).otherwise(F.concat(F.lit("we went there on "), day))
     text = F.concat(F.lit("Beneficiary: "), name, F.lit("; "), born, F.lit(". Call M. Rao at "), phone, F.lit(" please, said "), F.lower(name), F.lit("."))
-    return t.customer.select(k.alias("id"), text.alias("text"), name.alias("name"), phone.alias("phone"), F.when(k % 2 == 0, day).alias("dob"))
+    return spread(t.customer).select(k.alias("id"), text.alias("text"), name.alias("name"), phone.alias("phone"), F.when(k % 2 == 0, day).alias("dob"))
 
 
 _NOTES_SQL = """
@@ -94,7 +94,7 @@ def _(t):
 
 @query("prv8_scan_lines")
 def _(t):
-    return D.scan_lines(t.documents.select("doc_id", "text"), "doc_id", "text")
+    return D.scan_lines(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
 
 
 def _people(t):
