@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.numbers import percent, ratio
 from gridloom.operators.scale import numbered, quantiles, top_per_key
+from gridloom.session import cut
 
 OTHERS = "Others"
 
@@ -231,7 +232,7 @@ def runs(df: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
     """Consecutive numbers as (first, last) runs. Islands start where n-1 is absent, found by an anti join on the next
     number; starts and ends are then paired by rank within the key."""
     keys = list(keys)
-    vals = df.select(*keys, n).distinct()
+    vals = cut(df.select(*keys, n).distinct())
     prev = vals.withColumn(n, F.col(n) + 1)
     nxt = vals.withColumn(n, F.col(n) - 1)
     on = [*keys, n]

@@ -101,6 +101,14 @@ def _(t):
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"), F.max(F.length("chunk")).alias("longest"))
 
 
+@query("win7_pack", """select doc_id, md5(text) as digest, true as filled from documents""")
+def _(t):
+    c = S.line_chunks(t.documents, "doc_id", "text", 1500)
+    last = c.groupBy("doc_id").agg(F.max("part").alias("last"), F.array_sort(F.collect_list(F.struct("part", "chunk"))).alias("p"))
+    full = F.forall("p", lambda e: (e["part"] == F.col("last")) | (F.length(e["chunk"]) > 1500))
+    return last.select("doc_id", F.md5(F.array_join(F.transform("p", lambda e: e["chunk"]), "")).alias("digest"), full.alias("filled"))
+
+
 @query("txt5_overlap_chunks", r"""
 with d as (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) t from documents), s as (select doc_id, t, unnest(range(0, greatest(length(t) - 200, 1)::bigint, 1000)) a from d where t <> '')
 select doc_id, a // 1000 as part, md5(substr(t, a + 1, 1200)) digest from s""")
