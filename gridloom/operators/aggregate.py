@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.numbers import percent, ratio
 from gridloom.operators.scale import numbered, quantiles, top_per_key
@@ -67,10 +67,11 @@ def compare(df: DataFrame, col: str, value: str, targets: Sequence[str]) -> Data
     totals = per.agg(F.sum(F.when(~is_target, F.col("s"))).alias("rs"), F.sum(F.when(~is_target, F.col("n"))).alias("rn"),
                      F.avg(F.when(~is_target, F.col("figure"))).alias("mean_of_others"))
     hits = per.filter(is_target)
-    better = per.select(F.col("figure").alias("other"))
-    ranks = (hits.select(col, "figure").join(better, F.col("other") > F.col("figure"), "left")
-             .groupBy(col).agg((F.count("other") + 1).alias("rank")))
-    return (hits.join(ranks, col).crossJoin(F.broadcast(totals))  # one row
+    bar = hits.select(F.col(col).alias("_target"), F.col("figure").alias("_bar"))
+    ahead = (per.select("figure").join(F.broadcast(bar), F.col("figure") > F.col("_bar"))  # as many rows as targets
+             .groupBy("_target").agg(F.count("*").alias("_ahead")))
+    ranked_hits = hits.join(ahead, F.col(col) == F.col("_target"), "left").withColumn("rank", F.coalesce("_ahead", F.lit(0)) + 1)
+    return (ranked_hits.crossJoin(F.broadcast(totals))  # one row
             .select(col, "figure", ratio(F.col("rs"), F.col("rn")).alias("rest_pooled"), "mean_of_others", "rank", "rows", "blanks"))
 
 

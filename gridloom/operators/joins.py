@@ -91,11 +91,16 @@ def join_facts(base: DataFrame, key: str, facts: Mapping[str, tuple[DataFrame, S
     return out.fillna(0, subset=names)
 
 
+SHORT_AXIS = 10_000
+
+
 def complete_grid(df: DataFrame, k1: str, k2: str, value: Column, name: str) -> DataFrame:
-    """Every pair of the two key sets, absent pairs as 0. The grid is the result itself; each row of the smaller key set
-    is attached to each first key by an array explode rather than a product of two large tables."""
+    """Every pair of the two key sets, absent pairs as 0. The second key is the short axis of the grid; its size is
+    checked before its values are attached, as one array, to every first key."""
+    if df.select(k2).distinct().limit(SHORT_AXIS + 1).count() > SHORT_AXIS:
+        raise ValueError(f"{k2} has more than {SHORT_AXIS} values: put the shorter key second")
     cells = df.groupBy(k1, k2).agg(value.alias(name))
-    second = df.agg(F.array_sort(F.collect_set(k2)).alias("_all"))  # the second key is the short axis of a report
+    second = df.agg(F.array_sort(F.collect_set(k2)).alias("_all"))  # checked above
     grid = df.select(k1).distinct().crossJoin(F.broadcast(second)).select(k1, F.explode("_all").alias(k2))
     return grid.join(cells, [k1, k2], "left").fillna(0, subset=[name])
 

@@ -1,7 +1,7 @@
 """Versioned definitions, incremental labelling, score decisions, and evaluation of labels and runs."""
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F

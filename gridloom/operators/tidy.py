@@ -10,6 +10,7 @@ from gridloom.functions import dates as D
 from gridloom.functions.numbers import loader_number, looks_like_id, money_number
 from gridloom.functions.text import blank_to_null, norm, safe_name, slug
 from gridloom.operators.profile import MONTH_COLUMN, value_counts
+from gridloom.operators.scale import numbered
 
 GPS = r"^\s*(-?\d{1,2}\.\d{3,})\s*,\s*(-?\d{1,3}\.\d{3,})\s*$"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"
@@ -48,11 +49,10 @@ def keep_rows(df: DataFrame, columns: Sequence[str], kinds: Sequence[str] = ("re
 
 def unique_names(names: DataFrame, scope: str, name: str, pos: str) -> DataFrame:
     """Safe names as data (scope, name, pos): slugged, repeats within a scope numbered `_2`, `_3` in place order.
-    The repeat number is a count of earlier places, from one aggregate per (scope, slug) list of places."""
+    The repeat number comes from the distributed numbering, so a scope of any size is fine."""
     s = names.withColumn("safe", safe_name(F.col(name)))
-    places = s.groupBy(scope, "safe").agg(F.array_sort(F.collect_list(pos)).alias("_p"))  # a table's columns
-    out = s.join(places, [scope, "safe"]).withColumn("_i", F.array_position("_p", F.col(pos)))
-    return out.withColumn("safe", F.when(F.col("_i") > 1, F.concat(F.col("safe"), F.lit("_"), F.col("_i").cast("string"))).otherwise(F.col("safe"))).drop("_p", "_i")
+    out = numbered(s, [scope, "safe"], [F.col(pos)], "_i")
+    return out.withColumn("safe", F.when(F.col("_i") > 1, F.concat(F.col("safe"), F.lit("_"), F.col("_i").cast("string"))).otherwise(F.col("safe"))).drop("_i")
 
 
 def safe_columns(df: DataFrame) -> DataFrame:

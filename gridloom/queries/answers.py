@@ -3,18 +3,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.functions import dates, numbers
+from gridloom.functions import dates
 from gridloom.functions.text import words
 from gridloom.operators import aggregate as A
-from gridloom.operators.scale import neighbours, top_per_key
+from gridloom.operators.scale import top_per_key
 from gridloom.plans import form as fm
 from gridloom.plans import periods as pr
 from gridloom.plans import steps as st
 from gridloom.queries.registry import query
-from gridloom.session import scratch
 
 AS_OF = "1998-08-15"
-R2 = 2
 
 
 def _orders(t):
@@ -409,7 +407,6 @@ def _(t):
     return A.top_with_others(t.part.groupBy("p_brand").agg(F.count("*").alias("n")), "p_brand", "n", 7)
 
 
-_POINTS = "(c_custkey % 181) - 90 as lat, (c_custkey % 361) - 180 as lon"
 
 
 @query("agg20_merge_points", """

@@ -217,13 +217,13 @@ def _(t):
 @query("txt14_likely_tables", r"""
 with qw as (select distinct p_partkey q, unnest(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: length(x) >= 3)) w from part),
 qs as (select distinct q, case when length(w) > 3 then regexp_replace(w, 's$', '') else w end w from qw),
-tw as (select distinct 'size ' || p_size tb, unnest(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' tables'), '[^a-z0-9]+'), lambda x: length(x) >= 3)) w from part where p_brand = 'Brand#1'),
+tw as (select distinct p_name || '/' || p_type tb, unnest(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type || ' tables'), '[^a-z0-9]+'), lambda x: length(x) >= 3)) w from part),
 ts as (select distinct tb, case when length(w) > 3 then regexp_replace(w, 's$', '') else w end w from tw),
 n as (select q, tb, count(*) overlap from qs join ts using (w) group by 1, 2)
 select q, tb as "table", overlap from n qualify overlap = max(overlap) over (partition by q)""")
 def _(t):
     qs = t.part.select(F.col("p_partkey").alias("q"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    cat = t.part.filter("p_brand = 'Brand#1'").select(F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("table"), F.concat_ws(" ", "p_name", "p_type", F.lit("tables")).alias("text"))
+    cat = t.part.select(F.concat_ws("/", "p_name", "p_type").alias("table"), F.concat_ws(" ", "p_name", "p_type", F.lit("tables")).alias("text"))
     return S.likely_tables(qs, cat)
 
 
