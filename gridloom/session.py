@@ -1,6 +1,8 @@
 """Session settings, the table loader and the shared scratch folder."""
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,12 +34,28 @@ def build_session(master: str = "local[8]", name: str = "gridloom", shuffle_part
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on (UTC, AQE, skew joins). Sizing is left to the session."""
+    """Apply the runtime settings the operators rely on (UTC, AQE, skew joins) and ship the package to the Python workers.
+    Sizing is left to the session."""
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that UDFs import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="gridloom-code-"), "gridloom")  # on the driver; Spark copies it from there
+    sc.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
+    _shipped.add(sc.applicationId)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`. A local temporary folder is used only by a local session
     that names none; a cluster session without the setting is refused."""
