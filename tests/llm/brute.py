@@ -2,8 +2,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 
+import xxhash
+
 
 def substring(docs: list[tuple], words: int = 35) -> list[tuple]:
     """(doc_id, n_words, n_removed, kept_sha256) per row."""
@@ -18,3 +21,36 @@ def substring(docs: list[tuple], words: int = 35) -> list[tuple]:
         kept = [x for i, x in enumerate(w) if i not in gone]
         out.append((d, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest()))
     return out
+
+
+def ascii_lower(t: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+def words_of(t: str | None) -> list[str]:
+    return re.findall("[^\x20\x09-\x0D]+", t or "")
+
+
+def simhash(docs: list[tuple], shingle: int = 4, radius: int = 4) -> list[tuple]:
+    """(doc_id, fingerprint, component_id) per row."""
+    fps = []
+    for _, t in docs:
+        w = words_of(ascii_lower(t or ""))
+        grams = [" ".join(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))] if w else []
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    up = list(range(len(fps)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                up[top(i)] = top(j)
+    low: dict = {}
+    for i, (d, _) in enumerate(docs):
+        if d is not None:
+            low[top(i)] = min(low.get(top(i), d), d)
+    return [(d, f"{fps[i]:016x}", low.get(top(i))) for i, (d, _) in enumerate(docs)]
