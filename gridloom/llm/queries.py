@@ -5,9 +5,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import simhash, substring
+from gridloom.llm import packing, simhash, substring, tokens
 from gridloom.llm.tables import table
 
+WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,6 +20,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer file lies; the same place on every executor."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of any 35-word window that also starts elsewhere."""
@@ -24,8 +33,22 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens, every source at its share of all tokens in each sequence."""
+    out = packing.pack(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), window=4096, end=2)
+    return out.select(F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
 @query
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, 4 or fewer differing bits."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return out.select(F.col("doc").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document as sentencepiece counts them."""
+    out = tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE))
+    return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
