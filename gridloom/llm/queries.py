@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import packing, simhash, substring, tokens
+from gridloom.llm import decontaminate, packing, simhash, substring, tokens
 from gridloom.llm.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -40,6 +40,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item: weighted 5-word shingle similarity of 0.8 or more in an item-sized window."""
+    out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, least=0.8)
+    return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "similarity", "start", "n_words")
+
+
 @query
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, 4 or fewer differing bits."""

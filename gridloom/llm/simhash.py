@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return base.mapInArrow(_fingerprint_rows(shingle), T.StructType([base.schema["doc"], T.StructField("fp", T.LongType())]))
 
 
-def _balls(width: int, radius: int) -> list[int]:
+def balls(width: int, radius: int) -> list[int]:
     """All masks of at most `radius` of `width` bits."""
     masks, last = {0}, {0}
     for _ in range(radius):
@@ -128,7 +128,7 @@ def links(nodes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     reach = radius // segments
     ball = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
     for s, width in enumerate(widths):
-        ball = ball.when(F.col("seg") == s, F.array(*[F.lit(m).cast("long") for m in _balls(width, reach)]))
+        ball = ball.when(F.col("seg") == s, F.array(*[F.lit(m).cast("long") for m in balls(width, reach)]))
     probes = lists.withColumn("_mask", F.explode(ball)).withColumn("val", F.col("val").bitwiseXOR(F.col("_mask")))
     probes = probes.filter(F.col("val") >= F.col("val").bitwiseXOR(F.col("_mask")))  # each pair of entries once
     other = lists.select("seg", "val", F.col("blk").alias("_blk"), F.col("members").alias("others"))

@@ -54,3 +54,27 @@ def simhash(docs: list[tuple], shingle: int = 4, radius: int = 4) -> list[tuple]
         if d is not None:
             low[top(i)] = min(low.get(top(i), d), d)
     return [(d, f"{fps[i]:016x}", low.get(top(i))) for i, (d, _) in enumerate(docs)]
+
+
+def decontaminate(docs: list[tuple], items: list[tuple], shingle: int = 5, least: float = 0.8) -> list[tuple]:
+    """(doc_id, item_id, similarity) per document and item, over all windows."""
+    def split(t):
+        return re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+
+    def grams(w):
+        k = min(shingle, len(w))
+        return Counter(tuple(w[i:i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for d, t in docs:
+        w = split(t)
+        for i, x in items:
+            v = split(x)
+            if not v or not w:
+                continue
+            best = 0.0
+            for s in range(max(1, len(w) - len(v) + 1)):
+                a, b = grams(w[s:s + len(v)]), grams(v)
+                best = max(best, sum((a & b).values()) / sum((a | b).values()))
+            if best >= least:
+                out.append((d, i, round(best, 9)))
+    return out
