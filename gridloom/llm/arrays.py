@@ -20,7 +20,7 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 ALNUM = LETTER.copy()
 ALNUM[48:58] = True
 
-_BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 62, 256, dtype=np.uint64) | np.uint64(1)
+BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 62, 256, dtype=np.uint64) | np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -80,7 +80,7 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """64-bit hash of each word's bytes."""
-        return run_hashes(_BYTE_VALUES[self.data], self.starts, self.ends, which)
+        return run_hashes(BYTE_VALUES[self.data], self.starts, self.ends, which)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

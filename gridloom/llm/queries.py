@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import decontaminate, langid, packing, simhash, substring, tokens
+from gridloom.llm import decontaminate, langid, packing, simhash, substring, tokens, toxicity
 from gridloom.llm.tables import crc_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -68,3 +68,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document as sentencepiece counts them."""
     out = tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE))
     return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels are learned where crc32(doc_id) mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_fold(F.col("doc_id"), 4)
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 2), keep=["doc_id"])
+    return out.select("doc_id", F.coalesce(fold == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
