@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import chat, decontaminate, langid, packing, simhash, substring, tokens, toxicity, vafile
+from gridloom.llm import chat, decontaminate, langid, lm, packing, simhash, substring, tokens, toxicity, vafile
 from gridloom.llm.tables import crc_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document; learned where crc32(doc_id) mod 7 is not 2."""
+    docs = table(spark, sf_dir, "documents")
+    fold = crc_fold(F.col("doc_id"), 7)
+    model, counts = lm.fit(docs, fold != 2)
+    out = lm.score(docs, model, counts, keep=["doc_id"])
+    return out.withColumn("held_out", F.coalesce(fold == 2, F.lit(True)))
+
+
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of any 35-word window that also starts elsewhere."""

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -78,3 +79,11 @@ def decontaminate(docs: list[tuple], items: list[tuple], shingle: int = 5, least
             if best >= least:
                 out.append((d, i, round(best, 9)))
     return out
+
+
+def unigram(docs: list[tuple], learn) -> dict:
+    """doc_id -> (n_tokens, n_known, train_tokens, base_score)."""
+    split = {d: [*words_of(ascii_lower(t or "")), None] for d, t in docs}  # None is the end token
+    c = Counter(w for d, ws in split.items() if learn(d) for w in ws)
+    n, v = sum(c.values()), len(c)
+    return {d: (len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in split.items()}
