@@ -1,17 +1,77 @@
-"""The corpus pipeline: stages that each apply one operator to all that the stage before kept."""
+"""The corpus pipeline: five stages that each apply one operator to all that the stage before kept.
+
+1. `language_id`            labels every text; those without a letter, or without a leading language, go.
+2. `simhash_near_dedup`     one document of every near-duplicate group stays, the one with the smallest id.
+3. `substring_dedup`        passages of 35 or more words that occur elsewhere are cut; untouched texts keep every byte.
+4. `benchmark_decontamination`  documents that hold a benchmark item go.
+5. `packing`                the rest becomes sequences of 4096 tokens, every source at its share in each of them.
+
+The first four return the columns of `documents`, the last the pieces with their token ids. Rows with a null id take part
+like all others; of rows that repeat wholly one stays after stage 2. Each stage's result is written before the next reads it.
+"""
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gridloom.llm import decontaminate, langid, packing, simhash, substring
+from gridloom.llm.queries import WORD_BPE, vocabulary
+from gridloom.llm.tables import crc_fold, stored, table
+
+LEAST_SHARE = 0.35  # of a text's words that its language must have
+ORACLE_SQL = None  # learned, hashed and tokenised stages are not SQL; the tests hold them against plain Python
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 3, learned from the documents at hand whose crc32(doc_id) mod 5 is not 0."""
+    field = langid.fit(docs, crc_fold(F.col("doc_id"), 5) != 0)
+    out = langid.label(docs, field, keep=docs.columns)
+    return out.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 7 with 4-word shingles and 4 bits, over (id, text) so that rows without an id can be told apart."""
+    sig = F.xxhash64("text")
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), sig.alias("sig")).alias("doc_id"), "text")
+    groups = simhash.near_duplicates(named, shingle=4, radius=4)
+    stay = groups.filter(F.col("doc") == F.col("component")).select("doc.id", F.col("doc.sig").alias("_s")).distinct()
+    kept = docs.withColumn("_sig", sig).join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_sig") == F.col("_s")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_sig"]).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 2 with 35 words; a text that loses words becomes its other words, joined by one space."""
+    out = substring.remove_repeats(docs, words=35, carry=True)
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("row.text")), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 6 with 5-word shingles and a similarity of 0.8."""
+    name = F.xxhash64("doc_id", "text")
+    hits = decontaminate.contaminated(docs.select(name.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), shingle=5, least=0.8)
+    return docs.withColumn("_name", name).join(hits.select(F.col("doc").alias("_name")).distinct(), "_name", "left_anti").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op 5 with 4096 tokens and the corpus's own proportions of sources."""
+    return packing.pack(docs, vocabulary(WORD_BPE), window=4096, end=2).withColumnRenamed("doc", "doc_id")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-ORACLE_SQL = None
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

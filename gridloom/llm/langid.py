@@ -250,10 +250,10 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     return train(langs, [(bytes(r["text"]), number[r["lang"]]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))])
 
 
-def _label_rows(field: Field):
+def _label_rows(field: Field, text: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in blocks(batch, "_text"):
+            for part, data, offsets in blocks(batch, text):
                 lang, score, runs, at = _label_block(field, spaced(data, offsets))
                 names = [c for c in part.schema.names if c != "_text"]
                 yield pa.RecordBatch.from_arrays([
@@ -297,7 +297,8 @@ def label(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | N
     """The columns `keep` of every row with `lang_pred`, `score` (the language's share of the words' mass) and `runs`, the
     stretches of words of one language. Only the text is read for the prediction."""
     ship(docs.sparkSession)
-    base = docs.select(*[F.col(f"`{c}`") for c in keep or []], F.col(text).alias("_text"))
+    keep = keep or []
+    base = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias("_text")]))
     run = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("lang", T.StringType())])
     out = T.StructType([*[f for f in base.schema.fields if f.name != "_text"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("runs", T.ArrayType(run))])
-    return base.mapInArrow(_label_rows(field), out)
+    return base.mapInArrow(_label_rows(field, text if text in keep else "_text"), out)
