@@ -23,21 +23,30 @@ LEAST_SHARE = 0.35  # of a text's words that its language must have
 ORACLE_SQL = None  # learned, hashed and tokenised stages are not SQL; the tests hold them against plain Python
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """The table with its columns renamed c0, c1, ..., so that no column can clash with a stage's own; the new names by the
+    old, and the columns that lead back."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), {n: f"c{i}" for i, n in enumerate(names)}, [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 3, learned from the documents at hand whose crc32(doc_id) mod 5 is not 0."""
-    field = langid.fit(docs, crc_fold(F.col("doc_id"), 5) != 0)
-    out = langid.label(docs, field, keep=docs.columns)
-    return out.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    plain, at, back = _plain(docs)
+    field = langid.fit(plain, crc_fold(F.col(at["doc_id"]), 5) != 0, key=at["doc_id"], text=at["text"], lang=at["lang"])
+    out = langid.label(plain, field, text=at["text"], keep=plain.columns)
+    return out.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SHARE)).select(*back)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 7 with 4-word shingles and 4 bits, over (id, text) so that rows without an id can be told apart."""
-    sig = F.xxhash64("text")
-    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), sig.alias("sig")).alias("doc_id"), "text")
+    plain, at, back = _plain(docs)
+    key, sig = F.col(at["doc_id"]), F.xxhash64(at["text"])
+    named = plain.select(F.struct(key.isNull().alias("none"), key.alias("id"), sig.alias("sig")).alias("doc_id"), F.col(at["text"]).alias("text"))
     groups = simhash.near_duplicates(named, shingle=4, radius=4)
-    stay = groups.filter(F.col("doc") == F.col("component")).select("doc.id", F.col("doc.sig").alias("_s")).distinct()
-    kept = docs.withColumn("_sig", sig).join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_sig") == F.col("_s")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_sig"]).select(*docs.columns)
+    stay = groups.filter(F.col("doc") == F.col("component")).select("doc.id", F.col("doc.sig").alias("other")).distinct()
+    kept = plain.withColumn("sig", sig).join(stay, key.eqNullSafe(F.col("id")) & (F.col("sig") == F.col("other")), "left_semi")
+    return kept.dropDuplicates([at["doc_id"], "sig"]).select(*back)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +59,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Op 6 with 5-word shingles and a similarity of 0.8."""
-    name = F.xxhash64("doc_id", "text")
-    hits = decontaminate.contaminated(docs.select(name.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), shingle=5, least=0.8)
-    return docs.withColumn("_name", name).join(hits.select(F.col("doc").alias("_name")).distinct(), "_name", "left_anti").select(*docs.columns)
+    plain, at, back = _plain(docs)
+    name = F.xxhash64(at["doc_id"], at["text"])
+    hits = decontaminate.contaminated(plain.select(name.alias("doc_id"), F.col(at["text"]).alias("text")), table(spark, sf_dir, "benchmark"), shingle=5, least=0.8)
+    return plain.withColumn("name", name).join(hits.select(F.col("doc").alias("name")).distinct(), "name", "left_anti").select(*back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
