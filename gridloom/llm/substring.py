@@ -3,8 +3,9 @@
 Seeds are winnowed anchors: of the word 8-grams that start in a window, the one with the smallest hash (leftmost of
 equals). Equal windows of `words` words choose the same anchor at the same place, so every repeat of that length meets
 its copies under one anchor. Documents are joined on anchors that occur twice or more. There each match is extended both
-ways, over the run of windows that chose the anchor: where all runs of an anchor are equal, all their windows repeat;
-where they differ, each window of the run is compared as a whole. Overlapping windows merge into maximal repeats.
+ways, over the run of windows that chose the anchor: all windows of runs that are equal repeat. A run that has no equal is
+compared window by window with the other lone runs of its anchor and one of each kind of equal runs. Overlapping windows
+merge into maximal repeats.
 
 Nothing is paired inside a group: classes are found by counting (map-side combined), so a passage that a third of all
 documents share costs one row per occurrence and map task. Decisions rest on two independent 64-bit hashes.
@@ -86,13 +87,14 @@ def _window_rows(words: int):
                 text = np.repeat(np.repeat(np.arange(len(sizes)), sizes), count)
                 inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 place = np.repeat(first, count) + inside
+                lone = np.repeat(flat.field("lone").to_numpy(zero_copy_only=False).astype(bool), count)
                 at = w.first[text] + place
                 one, two = w.hashes(0), w.hashes(1)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc").take(pa.array(text)), part.column("sig").take(pa.array(text)),
                     pa.array(run_hashes(one, at, at + words, 0).view(np.int64)),
-                    pa.array(run_hashes(two, at, at + words, 1).view(np.int64)), pa.array(place.astype(np.int32))],
-                    names=["doc", "sig", "w1", "w2", "start"])
+                    pa.array(run_hashes(two, at, at + words, 1).view(np.int64)), pa.array(place.astype(np.int32)), pa.array(lone)],
+                    names=["doc", "sig", "w1", "w2", "start", "lone"])
     return rows
 
 
@@ -106,43 +108,50 @@ def _merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts[head], reach[np.append(head[1:], len(starts)) - 1]
 
 
+def _ranges(column: pa.ListArray) -> tuple[list[int], pa.Array]:
+    """Offsets of the lists of a column into its flat values."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return [0, *np.cumsum(sizes).tolist()], column.flatten()
+
+
 def _apply_rows(words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, _ in blocks(batch, "text"):
+            for part, data, offsets in blocks(batch, "text"):
+                line, edge = data.tobytes(), offsets.tolist()
+                run_at, run = _ranges(part.column("runs"))
+                single_at, single = _ranges(part.column("singles"))
+                run_start, run_n = (run.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "n"))
+                single = single.to_numpy(zero_copy_only=False).astype(np.int64)
                 kept, n_words, n_removed, spans, sizes = [], [], [], [], []
-                for text, runs, singles in zip(part.column("text").to_pylist(), part.column("runs").to_pylist(), part.column("singles").to_pylist()):
-                    pieces = (text or "").encode().split()
-                    total = len(pieces)
-                    at = [(r["start"], r["start"] + r["n"] - 1 + words) for r in runs or () if r["sure"]]
-                    at += [(s, s + words) for s in singles or ()]
-                    if at:
-                        pairs = np.array(at, dtype=np.int64)
-                        starts, stops = _merged(pairs[:, 0], pairs[:, 1])
-                        edges = np.concatenate([[0], np.column_stack([starts, stops]).ravel(), [total]])
-                        pieces = [p for a, b in edges.reshape(-1, 2) for p in pieces[a:b]]
-                        spans += zip(starts.tolist(), stops.tolist())
-                        sizes.append(len(starts))
-                    else:
-                        sizes.append(0)
+                for i in range(part.num_rows):
+                    pieces = line[edge[i]:edge[i + 1]].split()
+                    total, own, alone = len(pieces), slice(run_at[i], run_at[i + 1]), single[single_at[i]:single_at[i + 1]]
+                    starts = np.concatenate([run_start[own], alone])
+                    if len(starts):
+                        starts, stops = _merged(starts, np.concatenate([run_start[own] + run_n[own] - 1, alone]) + words)
+                        edges = np.concatenate([[0], np.column_stack([starts, stops]).ravel(), [total]]).tolist()
+                        pieces = [p for a, b in zip(edges[::2], edges[1::2]) for p in pieces[a:b]]
+                        spans.append(np.column_stack([starts, stops]))
+                    sizes.append(len(starts))
                     kept.append(b" ".join(pieces))
                     n_words.append(total)
                     n_removed.append(total - len(pieces))
-                flat = pa.StructArray.from_arrays([pa.array([a for a, _ in spans], pa.int32()), pa.array([b for _, b in spans], pa.int32())], names=["start", "stop"])
+                both = np.concatenate([np.zeros((0, 2), np.int64), *spans]).astype(np.int32)
+                flat = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["start", "stop"])
                 at = np.zeros(len(sizes) + 1, np.int32)
                 np.cumsum(sizes, out=at[1:])
-                cols = [part.column(c) for c in part.schema.names if c not in ("text", "runs", "singles")]
                 names = [c for c in part.schema.names if c not in ("text", "runs", "singles")]
                 yield pa.RecordBatch.from_arrays([
-                    *cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                    *[part.column(c) for c in names], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                     pa.array(kept, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(pa.array(at), flat)],
                     names=[*names, "n_words", "n_removed", "kept", "spans"])
     return rows
 
 
 def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 35, seed: int = SEED_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Two tables keyed by (doc, sig = hash of the text): `runs`, whole runs of windows that share an anchor with another
-    occurrence (`sure`: all of them repeat), and `singles`, the starts of those repeated windows found one by one."""
+    """Two tables keyed by (doc, sig = hash of the text): `runs` of windows that all repeat, and `singles`, the starts of
+    those repeated windows that were found one by one."""
     if not 0 < seed <= words:
         raise ValueError("the seed must be 1 to `words` words long")
     ship(docs.sparkSession)
@@ -152,15 +161,21 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     seeds = base.filter(F.col("text").isNotNull()).mapInArrow(_seed_rows(words, seed), T.StructType([
         *keys, T.StructField("anchor", T.LongType()), T.StructField("run", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]))
     classes = (seeds.groupBy("anchor").agg(F.count("*").alias("_c"), F.min("run").alias("_lo"), F.max("run").alias("_hi"))
-               .filter("_c > 1").select("anchor", (F.col("_lo") == F.col("_hi")).alias("sure")))
-    hits = seeds.join(classes, "anchor")
-    runs = stored(hits.groupBy("doc", "sig").agg(F.collect_set(F.struct("start", "n", "sure")).alias("runs")), "repeat-runs")
-    unsure = runs.select("doc", "sig", F.filter("runs", lambda r: ~r["sure"]).alias("runs")).filter(F.size("runs") > 0)
-    texts = base.join(_renamed(unsure), _same("doc", "_d") & (F.col("sig") == F.col("_s"))).select("doc", "sig", "text", "runs")
+               .filter("_c > 1").select("anchor", (F.col("_lo") == F.col("_hi")).alias("equal")))
+    hits = stored(seeds.join(classes, "anchor"), "anchor-hits")
+    # where the runs of an anchor differ, equal runs are told apart from lone ones; of equal runs one stands for all
+    mixed = hits.filter(~F.col("equal")).withColumn("place", F.struct("doc", "sig", "start"))
+    kinds = mixed.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min("place").alias("stand_in"))
+    marked = mixed.join(kinds, ["anchor", "run"])
+    sure = hits.filter("equal").select("doc", "sig", "start", "n").unionByName(marked.filter("c > 1").select("doc", "sig", "start", "n"))
+    runs = sure.groupBy("doc", "sig").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    asked = marked.filter((F.col("c") == 1) | F.col("place").eqNullSafe(F.col("stand_in")))
+    asked = asked.groupBy("doc", "sig").agg(F.collect_set(F.struct("start", "n", (F.col("c") == 1).alias("lone"))).alias("runs"))
+    texts = base.join(_renamed(asked), _same("doc", "_d") & (F.col("sig") == F.col("_s"))).select("doc", "sig", "text", "runs")
     windows = texts.mapInArrow(_window_rows(words), T.StructType([
-        *keys, T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("start", T.IntegerType())]))
+        *keys, T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("lone", T.BooleanType())]))
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("_c")).filter("_c > 1").select("w1", "w2")
-    singles = windows.join(twice, ["w1", "w2"]).groupBy("doc", "sig").agg(F.collect_set("start").alias("singles"))
+    singles = windows.filter("lone").join(twice, ["w1", "w2"]).groupBy("doc", "sig").agg(F.collect_set("start").alias("singles"))
     return runs, singles
 
 
@@ -179,8 +194,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     runs, singles = repeated_windows(docs, key, text, words, seed)
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
     base = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("sig"), F.col(text).alias("text"), *own)
-    found = runs.join(singles.select(F.col("doc").alias("_d"), F.col("sig").alias("_s"), "singles"), _same("doc", "_d") & _same("sig", "_s"), "left").select("doc", "sig", "runs", "singles")
-    joined = base.join(_renamed(found), _same("doc", "_d") & _same("sig", "_s"), "left").select(*base.columns, "runs", "singles")
+    joined = base.join(_renamed(runs), _same("doc", "_d") & (F.col("sig") == F.col("_s")), "left").drop("_d", "_s")
+    joined = joined.join(_renamed(singles), _same("doc", "_d") & (F.col("sig") == F.col("_s")), "left").select(*base.columns, "runs", "singles")
     kept = [f for f in base.schema.fields if f.name != "text"]
     out = joined.mapInArrow(_apply_rows(words), T.StructType([
         *kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
