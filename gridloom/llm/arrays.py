@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20  # texts are worked on in blocks of this size; a longer text is a block of its own
+BLOCK_BYTES = 1 << 19  # texts are worked on in blocks of this size; a longer text is a block of its own
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.llm.arrays import ALNUM, Words, blocks, mixed, raw, run_hashes
 from gridloom.llm.simhash import balls
-from gridloom.llm.tables import ship
+from gridloom.llm.tables import ready
 
 RADIUS = 19  # a similarity of 0.8 is 9.7 bits apart on average, with a deviation of 2.9
 BLOCKS = 5
@@ -177,7 +177,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     """One row per document and item that it holds: `doc`, `item`, `similarity`, and the best window as `start` (in words)
     and `n_words`. Documents that hold no item have no row."""
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     base = docs.select(F.col(key).alias("doc"), F.lower(F.col(text)).alias("text")).filter(F.col("text").isNotNull())
     bench = items.select(F.col(item_key).alias("item"), F.lower(F.col(item_text)).alias("text")).filter(F.length("text") > 0)
     out = T.StructType([base.schema["doc"], bench.schema["item"], T.StructField("similarity", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType())])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.arrays import LETTER, LOWER, Words, blocks, mixed, raw, spaced
-from gridloom.llm.tables import ship
+from gridloom.llm.tables import ready
 
 ROWS = 1 << 14  # hashed rows of every feature family
 SEGMENT = 64
@@ -296,7 +296,7 @@ def _label_block(field: Field, w: Words) -> tuple[list[str], list[float], pa.Str
 def label(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of every row with `lang_pred`, `score` (the language's share of the words' mass) and `runs`, the
     stretches of words of one language. Only the text is read for the prediction."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     keep = keep or []
     base = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if text in keep else [F.col(text).alias("_text")]))
     run = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("lang", T.StringType())])

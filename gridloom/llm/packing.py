@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.arrays import blocks
-from gridloom.llm.tables import ship, stored
+from gridloom.llm.tables import ready, stored
 from gridloom.llm.tokens import Encoder
 
 _SCALE = 1 << 80
@@ -204,7 +204,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", so
     every window, as positive integers; by default each source's share of all tokens. A source without a target keeps its
     share of the whole. Only the last sequence is shorter than `window` and so the only one with padding."""
     spark = docs.sparkSession
-    ship(spark)
+    ready(spark)
     base = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
     doc = base.schema["doc"]
     ids = stored(base.mapInArrow(_encode_rows(path, end), T.StructType([

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.arrays import LOWER, blocks
-from gridloom.llm.tables import ship, stored
+from gridloom.llm.tables import ready, stored
 
 BITS = 64
 SEED = 42
@@ -68,7 +68,7 @@ def _fingerprint_rows(shingle: int):
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
     """`doc` and its 64-bit fingerprint `fp` (as a signed long)."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     base = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     return base.mapInArrow(_fingerprint_rows(shingle), T.StructType([base.schema["doc"], T.StructField("fp", T.LongType())]))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.arrays import blocks, run_hashes, spaced
-from gridloom.llm.tables import ship, stored
+from gridloom.llm.tables import ready, stored
 
 SEED_WORDS = 8
 
@@ -154,7 +154,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     those repeated windows that were found one by one."""
     if not 0 < seed <= words:
         raise ValueError("the seed must be 1 to `words` words long")
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     base = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("sig"), F.col(text).alias("text"))
     doc = base.schema["doc"].dataType
     keys = [T.StructField("doc", doc), T.StructField("sig", T.LongType())]

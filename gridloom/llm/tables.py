@@ -1,11 +1,21 @@
-"""Session helpers of the operators: shared scratch tables, and sides that are sent to every task after a size check."""
+"""Session helpers of the operators: Arrow batch size, shared scratch tables, folds."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.session import cut, scratch, ship, table
+from gridloom.session import scratch, ship, table
 
-__all__ = ["crc_fold", "cut", "scratch", "ship", "stored", "table"]
+__all__ = ["crc_fold", "ready", "stored", "table"]
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ready(spark: SparkSession) -> None:
+    """Send the package to the executors, and keep the Arrow batches of whole texts small: two Python workers and their
+    writers share an executor's memory with its heap. A size that the session sets itself is left as it is."""
+    ship(spark)
+    if spark.conf.get(BATCH_BYTES) in ("64m", "67108864b", "67108864"):
+        spark.conf.set(BATCH_BYTES, "8m")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

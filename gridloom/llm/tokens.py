@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.arrays import blocks
-from gridloom.llm.tables import ship
+from gridloom.llm.tables import ready
 
 MEMO = 300_000  # distinct pre-tokens that a task remembers; then it starts anew
 MARK = "▁"  # sentencepiece's sign for a space
@@ -109,7 +109,7 @@ def _count_rows(path: str):
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc`, `n_bytes` (UTF-8) and `n_tokens` per row, as the file's library counts them without added tokens. No shuffle."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     base = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     return base.mapInArrow(_count_rows(path), T.StructType([base.schema["doc"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.arrays import BYTE_VALUES, LETTER, LOWER, Words, blocks, list_array, mixed, run_hashes
-from gridloom.llm.tables import ship
+from gridloom.llm.tables import ready
 
 ROWS = 1 << 18
 FACTORS = 6
@@ -130,7 +130,7 @@ def train(samples: list[tuple[np.ndarray, int]], rounds: int = 12, rate: float =
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_DOCS) -> Machine:
     """Train on the labelled documents where `learn` (over the label table's columns) holds: the `sample` of them with the
     smallest hash of their id. Executors turn them into terms; only those reach the driver."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     known = labels.filter(learn & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` rows, so it may be broadcast
     base = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id")
@@ -150,7 +150,7 @@ def _score_rows(machine: Machine):
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of every row with its `score` from 0 to 1."""
-    ship(docs.sparkSession)
+    ready(docs.sparkSession)
     base = docs.select(*[F.col(f"`{c}`") for c in keep or []], F.col(text).alias("_text"))
     out = T.StructType([*[f for f in base.schema.fields if f.name != "_text"], T.StructField("score", T.DoubleType())])
     return base.mapInArrow(_score_rows(machine), out)

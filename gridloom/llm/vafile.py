@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.llm.tables import ship, stored
+from gridloom.llm.tables import ready, stored
 from gridloom.operators.scale import top_per_key
 
 CELLS = 64
@@ -112,7 +112,7 @@ def _candidate_rows(grid):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """`query_id`, `rank` (from 1), `vec_id` and `score` of the k best other vectors of every query, exact."""
     spark = vectors.sparkSession
-    ship(spark)
+    ready(spark)
     ids = vectors.select(F.col(key).cast("long").alias("id"), whole_numbers(F.col(vector), scale).alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
     ids = stored(ids.groupBy("id").agg(F.min("v").alias("v")), "vectors")
     some = top_per_key(ids.withColumn("h", F.xxhash64("v")), ["h", "v"], [F.col("id")], k + 1)
