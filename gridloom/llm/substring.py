@@ -162,11 +162,12 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
         *keys, T.StructField("anchor", T.LongType()), T.StructField("run", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.IntegerType())]))
     classes = (seeds.groupBy("anchor").agg(F.count("*").alias("_c"), F.min("run").alias("_lo"), F.max("run").alias("_hi"))
                .filter("_c > 1").select("anchor", (F.col("_lo") == F.col("_hi")).alias("equal")))
-    hits = stored(seeds.join(classes, "anchor"), "anchor-hits")
+    # classes are written before they are joined: a join of two plain tables can be split where one key is hot
+    hits = stored(seeds.join(stored(classes, "anchor-classes"), "anchor"), "anchor-hits")
     # where the runs of an anchor differ, equal runs are told apart from lone ones; of equal runs one stands for all
     mixed = hits.filter(~F.col("equal")).withColumn("place", F.struct("doc", "sig", "start"))
     kinds = mixed.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min("place").alias("stand_in"))
-    marked = mixed.join(kinds, ["anchor", "run"])
+    marked = mixed.join(stored(kinds, "run-kinds"), ["anchor", "run"])
     sure = hits.filter("equal").select("doc", "sig", "start", "n").unionByName(marked.filter("c > 1").select("doc", "sig", "start", "n"))
     runs = sure.groupBy("doc", "sig").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
     asked = marked.filter((F.col("c") == 1) | F.col("place").eqNullSafe(F.col("stand_in")))
@@ -175,7 +176,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     windows = texts.mapInArrow(_window_rows(words), T.StructType([
         *keys, T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("lone", T.BooleanType())]))
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("_c")).filter("_c > 1").select("w1", "w2")
-    singles = windows.filter("lone").join(twice, ["w1", "w2"]).groupBy("doc", "sig").agg(F.collect_set("start").alias("singles"))
+    singles = windows.filter("lone").join(stored(twice, "windows-twice"), ["w1", "w2"]).groupBy("doc", "sig").agg(F.collect_set("start").alias("singles"))
     return runs, singles
 
 
