@@ -87,9 +87,9 @@ class Counter:
         if len(self.memo) > MEMO:
             self.memo = dict(self.proven)
         keys = [pre_tokens(t) if t else [] for t in texts]
-        new = set().union(*keys) - self.memo.keys()
+        new = [k for k in set().union(*keys) if k not in self.memo]
         if new:
-            self._merge(list(new))
+            self._merge(new)
         get = self.memo.__getitem__
         return [sum(map(get, k)) for k in keys]
 
@@ -151,8 +151,8 @@ class Encoder:
         if len(self.memo) > MEMO:
             self.memo = {}
         words = [t.split() for t in texts]
-        new = set().union(*words) - self.memo.keys()
+        new = [w for w in set().union(*words) if w not in self.memo]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.memo.__getitem__
         return [b"".join(map(get, w)) for w in words]

@@ -93,7 +93,7 @@ def _telling(held: np.ndarray, toxic: np.ndarray, docs: int, positive: int) -> n
 def train(samples: list[tuple[np.ndarray, int]], rounds: int = 12, rate: float = 0.05, shrink: float = 2e-4, seed: int = 5) -> Machine:
     """Stochastic gradient steps on the logistic loss, in batches of 32 texts; weights shrink a little with every use."""
     rng = np.random.default_rng(seed)
-    none = [np.zeros(0, np.int64)]
+    none = [np.zeros(0, np.int32)]
     held = np.bincount(np.concatenate([t for t, _ in samples] + none), minlength=ROWS)
     toxic = np.bincount(np.concatenate([t for t, l in samples if l] + none), minlength=ROWS)
     known = _telling(held, toxic, max(1, len(samples)), sum(l for _, l in samples))
@@ -103,7 +103,7 @@ def train(samples: list[tuple[np.ndarray, int]], rounds: int = 12, rate: float =
     m.factor[known] = rng.normal(0, 0.01, (int(known.sum()), FACTORS))
     y = np.array([l for _, l in samples], np.float64)
     m.bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    terms = [t[known[t]] for t, _ in samples]
+    terms = [t[known[t]].astype(np.int64) for t, _ in samples]
     for turn in range(rounds):
         order, pace = rng.permutation(len(y)), rate / (1 + 0.15 * turn)
         for lo in range(0, len(y), 32):
@@ -135,8 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id",
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most `sample` rows, so it may be broadcast
     base = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(picked), "_id")
     own = base.select(F.xxhash64("_id", "text").alias("h"), "toxic", "text").mapInArrow(_term_rows, "h long, toxic int, terms array<int>").dropDuplicates(["h"])
-    rows = own.orderBy("h").limit(2 * sample).collect()  # an id on several rows with different texts counts for each, within twice the bound
-    return train([(np.array(r["terms"], np.int64), int(r["toxic"] > 0)) for r in sorted(rows, key=lambda r: r["h"])])
+    rows = own.orderBy("h").limit(2 * sample).toArrow().sort_by("h")  # an id on several rows with different texts counts for each, within twice the bound
+    toxic = rows["toxic"].to_pylist()
+    terms = (x for chunk in rows["terms"].chunks for x in chunk)
+    return train([(x.values.to_numpy(), int(t > 0)) for x, t in zip(terms, toxic)])
 
 
 def _score_rows(machine: Machine):
