@@ -114,9 +114,18 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return base.mapInArrow(_count_rows(path), T.StructType([base.schema["doc"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 
 
+# a line of marks, letters (of those that lower-case one by one and never combine) and marks, without an apostrophe; or any other
+_LINE = re.compile("^(?:([!-&(-/:-@\\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)((?<=[^!-/:-@\\[-`{-~])[!-&(-/:-@\\[-`{-~]+)?|(.+))$", re.MULTILINE)
+
+
 class Encoder:
     """Token ids of texts as bytes, for a tokenizers file that drops white space: ids are made once per distinct word and
-    task, many words in one call, kept apart by a special token."""
+    task, by the library, many words in one call.
+
+    Two facts are tested when the file is loaded. If words between spaces encode on their own, ids are remembered by word. If
+    the model marks the ends of its pre-tokens and lower-cases, a word of letters between runs of marks is three pre-tokens,
+    remembered each, and the ids of many pre-tokens in one text part at the end marks. Words of any other form (with digits,
+    apostrophes or further letters) are encoded whole, kept apart by a special token."""
 
     def __init__(self, path: str):
         self.tok = load(path)
@@ -124,32 +133,85 @@ class Encoder:
         at = [i for i, t in added.items() if t.special and not (t.single_word or t.normalized)]
         self.mark_id = at[0] if at else None
         self.mark = added[self.mark_id].content if at else ""
-        self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        self.special = re.compile("|".join(re.escape(t.content) for t in added.values()) or "(?!)", re.IGNORECASE)
+        self.letters = any(not t.content.startswith("<") for t in added.values())
+        size = self.tok.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.memo: dict[bytes, bytes] = {}
-        a, b = self.tok.encode_batch_fast(["a b\tab\n c", " ab"], add_special_tokens=False)
-        self.by_word = [*a.ids, *b.ids] == [i for w in ("a", "b", "ab", "c", "ab") for i in self.tok.encode_batch_fast([w], add_special_tokens=False)[0].ids]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[bytes]) -> None:
+        self.units: dict[str, bytes] = {"": b""}
+        self.by_word = self._same(["a b\tab\n c", " ab"], ["a", "b", "ab", "c", "ab"])
+        probe = ["(Été!.", "straße%%%", "of,", "¿A", "x_y"]
+        self.by_unit = self.by_word and bool(suffix) and self._same(probe, ["(", "été", "!.", "straße", "%%%", "of", ",", "¿", "a", "x", "_", "y"])
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _same(self, texts: list[str], parts: list[str]) -> bool:
+        return sum(self._ids(texts), []) == sum(self._ids(parts), [])
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _cut(self, ids: np.ndarray, starts: list[int], stops: list[int]) -> list[bytes]:
+        line, step = ids.astype(self.kind).tobytes(), self.kind.itemsize
+        return [line[a * step:b * step] for a, b in zip(starts, stops)]
+
+    def _learn_units(self, units: list[str]) -> None:
+        """Ids of pre-tokens: many in one text, parted after each token that ends a pre-token."""
+        for lo in range(0, len(units), 4096):
+            some = units[lo:lo + 4096]
+            ids = np.array(self._ids([" ".join(some)])[0])
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(some):
+                self.units.update(zip(some, self._cut(ids, [0, *stops[:-1]], stops)))
+            else:
+                self.units.update((u, self._bytes(x)) for u, x in zip(some, self._ids(some)))
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Ids of whole words: many in one text, kept apart by a special token that none of them holds."""
         mark = self.mark.encode()
         odd = [w for w in words if not mark or mark in w]
         even = [w for w in words if mark and mark not in w]
-        self.memo.update(zip(odd, self._whole([w.decode() for w in odd])))
+        self.memo.update((w, self._bytes(x)) for w, x in zip(odd, self._ids([w.decode() for w in odd])))
         for lo in range(0, len(even), 4096):
             some = even[lo:lo + 4096]
-            ids = np.array(self.tok.encode_batch_fast([self.mark.join(w.decode() for w in some)], add_special_tokens=False)[0].ids)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            line, step = ids.astype(self.kind).tobytes(), self.kind.itemsize
-            starts, stops = [0, *((cuts + 1) * step).tolist()], [*(cuts * step).tolist(), len(line)]
-            self.memo.update((w, line[a:b]) for w, a, b in zip(some, starts, stops))
+            ids = np.array(self._ids([self.mark.join(w.decode() for w in some)])[0])
+            cuts = np.flatnonzero(ids == self.mark_id).tolist()
+            self.memo.update(zip(some, self._cut(ids, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)])))
+
+    def _learn(self, words: list[bytes]) -> None:
+        if not self.by_unit:
+            self._learn_words(words)
+            return
+        lines = b"\n".join(words).decode()
+        if self.special.search(lines):
+            self._learn_words([w for w in words if self.special.search(w.decode())])
+            words = [w for w in words if w not in self.memo]
+            lines = b"\n".join(words).decode()
+        if not words:
+            return
+        front, core, back, whole = zip(*_LINE.findall(lines))
+        core = [c.lower() for c in core]
+        units = self.units
+        self._learn_units(list({u for u in {*front, *core, *back} if u not in units}))
+        get = units.__getitem__
+        self.memo.update(zip(words, map(b"".join, zip(map(get, front), map(get, core), map(get, back)))))
+        if any(whole):
+            self._learn_words([w for w, other in zip(words, whole) if other])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
-            return self._whole([t.decode() for t in texts])
-        if len(self.memo) > MEMO:
-            self.memo = {}
+            return [self._bytes(x) for x in self._ids([t.decode() for t in texts])]
+        if len(self.memo) > 2 * MEMO:
+            self.memo, self.units = {}, {"": b""}
+        if self.by_unit:
+            low = [t.lower() for t in texts]  # of ASCII letters: fewer distinct words, the same ids
+            if not any(self.special.search(t.decode()) for t in low if b"<" in t or self.letters):
+                texts = low
         words = [t.split() for t in texts]
         new = [w for w in set().union(*words) if w not in self.memo]
         if new:
