@@ -95,14 +95,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with at most BLOCK_BYTES of text (or one text), with the bytes and offsets of the column."""
+def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with at most `most` bytes of text (or one text), with the bytes and offsets of the column."""
     if not batch.num_rows:
         return
     data, offsets = raw(batch.column(column))
     lo = 0
     while lo < batch.num_rows:
-        hi = int(np.searchsorted(offsets, offsets[lo] + BLOCK_BYTES, "right")) - 1
+        hi = int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1
         hi = min(max(hi, lo + 1), batch.num_rows)
         yield batch.slice(lo, hi - lo), data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         lo = hi

@@ -27,9 +27,10 @@ from pyspark.sql import types as T
 
 from gridloom.llm.arrays import blocks
 from gridloom.llm.tables import ready, stored
-from gridloom.llm.tokens import Encoder
+from gridloom.llm.tokens import encoder
 
 _SCALE = 1 << 80
+ENCODE_BYTES = 4 << 20  # of text whose distinct pre-tokens are looked up together
 SENT_ROWS = 200_000  # rows of the offsets table that are sent to every task; a larger one is joined by key
 
 
@@ -124,21 +125,23 @@ class Mixture:
 
 def _encode_rows(path: str, end: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, pid = Encoder(path), TaskContext.get().partitionId()
-        step, last = encoder.kind.itemsize, np.array([end], encoder.kind).tobytes()
+        coder, pid = encoder(path), TaskContext.get().partitionId()
         served: dict = {}
         for batch in batches:
-            for part, data, offsets in blocks(batch, "text"):
-                line, at = data.tobytes(), offsets.tolist()
-                ids = [x + last for x in encoder.encode([line[a:b] for a, b in zip(at, at[1:])])]
-                n = [len(x) // step for x in ids]
+            for part, data, offsets in blocks(batch, "text", ENCODE_BYTES):
+                ids, count = coder.encode(data, offsets)
+                n = count + 1
+                upto = np.cumsum(n)
+                line = np.full(int(upto[-1]), end, coder.kind)
+                line[np.arange(len(ids)) + np.repeat(np.arange(len(n)), count)] = ids
+                at = np.append(0, upto * coder.kind.itemsize).astype(np.int32)
                 begin = []
-                for source, size in zip(part.column("source").to_pylist(), n):
+                for source, size in zip(part.column("source").to_pylist(), n.tolist()):
                     begin.append(served.get(source, 0))
                     served[source] = begin[-1] + size
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc"), part.column("source"), pa.array([pid] * len(n), pa.int32()), pa.array(begin, pa.int64()),
-                    pa.array(n, pa.int64()), pa.array([step] * len(n), pa.int32()), pa.array(ids, pa.binary())],
+                    part.column("doc"), part.column("source"), pa.array(np.full(len(n), pid, np.int32)), pa.array(begin, pa.int64()), pa.array(n),
+                    pa.array(np.full(len(n), coder.kind.itemsize, np.int32)), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(line)])],
                     names=["doc", "source", "pid", "begin", "n", "step", "ids"])
     return rows
 

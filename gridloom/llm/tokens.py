@@ -4,7 +4,7 @@ The shortcut rests on a proof made once per model. A sentencepiece model whose p
 another character cannot merge across the front of a run of spaces, so a text is the sum of its pre-tokens (a run of
 spaces and what follows up to the next space). Each vocabulary string that has the form of a pre-token is encoded alone;
 those that give exactly one token are proven, and later counted by lookup. The other pre-tokens are merged by the library
-itself, once per distinct string and task. A model without the property is counted text by text.
+itself, once per distinct string and worker. A model without the property is counted text by text.
 
 Defined cases: a null or empty text has 0 tokens; text is taken whole however long; repeated rows are counted alike.
 """
@@ -13,16 +13,18 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.arrays import blocks
+from gridloom.llm.arrays import LOWER, SPACE, Words, blocks, spaced
 from gridloom.llm.tables import ready
 
-MEMO = 300_000  # distinct pre-tokens that a task remembers; then it starts anew
+MEMO = 400_000  # distinct pre-tokens that a worker remembers; then it starts anew
 MARK = "▁"  # sentencepiece's sign for a space
 _PRE = re.compile(rb" +[^ ]*")
 
@@ -94,11 +96,17 @@ class Counter:
         return [sum(map(get, k)) for k in keys]
 
 
+@lru_cache(1)
+def counter(path: str) -> Callable[[list[bytes]], list[int]]:
+    """The counting function of a file; kept by a worker over its tasks, with what it remembers."""
+    model = load(path)
+    return Counter(model).counts if path.endswith(".model") else (
+        lambda texts: [len(e.ids) for e in model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)])
+
+
 def _count_rows(path: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
-        count: Callable = Counter(model).counts if path.endswith(".model") else (
-            lambda texts: [len(e.ids) for e in model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)])
+        count = counter(path)
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 line, at = data.tobytes(), offsets.tolist()
@@ -114,27 +122,38 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return base.mapInArrow(_count_rows(path), T.StructType([base.schema["doc"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]))
 
 
-# a line of marks, letters (of those that lower-case one by one and never combine) and marks, without an apostrophe; or any other
-_LINE = re.compile("^(?:([!-&(-/:-@\\[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)((?<=[^!-/:-@\\[-`{-~])[!-&(-/:-@\\[-`{-~]+)?|(.+))$", re.MULTILINE)
+# classes of bytes: letters that lower-case one by one and never combine, ASCII marks other than the apostrophe, all others
+_LETTER, _MARK, _OTHER = 1, 2, 3
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:127] = _MARK
+_CLASS[48:58] = _CLASS[39] = _OTHER
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+
+
+def _latin(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the second byte of the Latin-1 letters, and of those that are capitals."""
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] != 0x97) & (data[second] != 0xB7)]
+    return second, second[data[second] < 0x9F]
 
 
 class Encoder:
-    """Token ids of texts as bytes, for a tokenizers file that drops white space: ids are made once per distinct word and
-    task, by the library, many words in one call.
+    """Token ids of the texts of a block, for a tokenizers file that drops white space. Distinct pre-tokens are encoded by
+    the library, many in one call, once per worker; the ids of all others are gathered.
 
-    Two facts are tested when the file is loaded. If words between spaces encode on their own, ids are remembered by word. If
-    the model marks the ends of its pre-tokens and lower-cases, a word of letters between runs of marks is three pre-tokens,
-    remembered each, and the ids of many pre-tokens in one text part at the end marks. Words of any other form (with digits,
-    apostrophes or further letters) are encoded whole, kept apart by a special token."""
+    What this rests on is tested when the file is loaded. If words between spaces encode on their own, ids go by word. If the
+    model marks the ends of its pre-tokens and lower-cases, a word of letters and marks falls into runs of either, each a
+    pre-token, and the ids of many of them in one text part at the end marks. Words with other characters (digits,
+    apostrophes, further letters) or with a special token's string are encoded whole, kept apart by a special token."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tok = load(path)
         added = self.tok.get_added_tokens_decoder()
         at = [i for i, t in added.items() if t.special and not (t.single_word or t.normalized)]
         self.mark_id = at[0] if at else None
         self.mark = added[self.mark_id].content if at else ""
-        self.special = re.compile("|".join(re.escape(t.content) for t in added.values()) or "(?!)", re.IGNORECASE)
-        self.letters = any(not t.content.startswith("<") for t in added.values())
+        self.special = [t.content.lower().encode() for t in added.values()]
         size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         suffix = getattr(self.tok.model, "end_of_word_suffix", None)
@@ -142,10 +161,12 @@ class Encoder:
         if suffix:
             self.ends[[i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.memo: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {"": b""}
         self.by_word = self._same(["a b\tab\n c", " ab"], ["a", "b", "ab", "c", "ab"])
-        probe = ["(Été!.", "straße%%%", "of,", "¿A", "x_y"]
-        self.by_unit = self.by_word and bool(suffix) and self._same(probe, ["(", "été", "!.", "straße", "%%%", "of", ",", "¿", "a", "x", "_", "y"])
+        self.lean = Tokenizer(self.tok.model)  # for what is split and lower-cased already
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        units = ["(", "été", "!.", "straße", "%%%", "of", ",", "[", "a", "x", "_", "y", "ÿ", "þ"]
+        self.by_unit = self.by_word and bool(suffix) and self._same(["(Été!.", "STRAßE%%%", "of,", "[A", "x_Y", "ÿ", "Þ"], units)
+        self.by_unit = self.by_unit and [i for x in units for i in self._ids([x])[0]] == self.lean.encode_batch_fast([" ".join(units)], add_special_tokens=False)[0].ids
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -160,22 +181,21 @@ class Encoder:
         line, step = ids.astype(self.kind).tobytes(), self.kind.itemsize
         return [line[a * step:b * step] for a, b in zip(starts, stops)]
 
-    def _learn_units(self, units: list[str]) -> None:
+    def _learn_units(self, units: list[bytes]) -> None:
         """Ids of pre-tokens: many in one text, parted after each token that ends a pre-token."""
-        for lo in range(0, len(units), 4096):
-            some = units[lo:lo + 4096]
-            ids = np.array(self._ids([" ".join(some)])[0])
+        for lo in range(0, len(units), 1024):
+            some = units[lo:lo + 1024]
+            ids = np.array(self.lean.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids)
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(some):
-                self.units.update(zip(some, self._cut(ids, [0, *stops[:-1]], stops)))
+                self.memo.update(zip(some, self._cut(ids, [0, *stops[:-1]], stops)))
             else:
-                self.units.update((u, self._bytes(x)) for u, x in zip(some, self._ids(some)))
+                self._learn_words(some)
 
     def _learn_words(self, words: list[bytes]) -> None:
         """Ids of whole words: many in one text, kept apart by a special token that none of them holds."""
-        mark = self.mark.encode()
-        odd = [w for w in words if not mark or mark in w]
-        even = [w for w in words if mark and mark not in w]
+        odd = [w for w in words if not self.mark or self._holds_special(w)]
+        even = [w for w in words if self.mark and not self._holds_special(w)]
         self.memo.update((w, self._bytes(x)) for w, x in zip(odd, self._ids([w.decode() for w in odd])))
         for lo in range(0, len(even), 4096):
             some = even[lo:lo + 4096]
@@ -183,38 +203,75 @@ class Encoder:
             cuts = np.flatnonzero(ids == self.mark_id).tolist()
             self.memo.update(zip(some, self._cut(ids, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)])))
 
-    def _learn(self, words: list[bytes]) -> None:
-        if not self.by_unit:
-            self._learn_words(words)
-            return
-        lines = b"\n".join(words).decode()
-        if self.special.search(lines):
-            self._learn_words([w for w in words if self.special.search(w.decode())])
-            words = [w for w in words if w not in self.memo]
-            lines = b"\n".join(words).decode()
-        if not words:
-            return
-        front, core, back, whole = zip(*_LINE.findall(lines))
-        core = [c.lower() for c in core]
-        units = self.units
-        self._learn_units(list({u for u in {*front, *core, *back} if u not in units}))
-        get = units.__getitem__
-        self.memo.update(zip(words, map(b"".join, zip(map(get, front), map(get, core), map(get, back)))))
-        if any(whole):
-            self._learn_words([w for w, other in zip(words, whole) if other])
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def _holds_special(self, text: bytes) -> bool:
+        low = text.lower()
+        return any(x in low for x in self.special)
+
+    def _units(self, data: np.ndarray, w: Words) -> tuple[np.ndarray, Words, np.ndarray]:
+        """Lower-cased bytes, the pre-tokens (or whole words) in them, and which are whole words."""
+        kind = _CLASS[data]
+        second, capital = _latin(data)
+        kind[second] = kind[second - 1] = _LETTER
+        others = np.append(0, np.cumsum(kind == _OTHER))
+        whole = others[w.ends] > others[w.starts]
+        line = data.tobytes()
+        named = np.zeros(len(whole), bool)
+        if self._holds_special(line):
+            named = np.array([self._holds_special(line[a:b]) for a, b in zip(w.starts.tolist(), w.ends.tolist())])
+            whole |= named
+        low = LOWER[data]
+        for i in np.flatnonzero(named):  # a special token's string must be spelled as it is
+            low[w.starts[i]:w.ends[i]] = data[w.starts[i]:w.ends[i]]
+        edge = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edge, w.starts[whole], 1)
+        np.add.at(edge, w.ends[whole], -1)
+        kind[np.cumsum(edge[:-1]) > 0] = _OTHER
+        low[capital[kind[capital] == _LETTER]] += 32
+        kind[SPACE[data]] = 0
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:-1] = kind[1:] != kind[:-1]
+        begin[w.starts] = True
+        begin[w.ends] = True
+        cuts = np.flatnonzero(begin)
+        inside = np.append(kind > 0, False)[cuts]
+        units = Words.__new__(Words)
+        units.data, units.offsets = low, w.offsets
+        units.starts, units.ends = cuts[inside], np.append(cuts[1:], len(data))[inside]
+        units.first = np.searchsorted(units.starts, w.offsets)
+        return low, units, kind[units.starts] == _OTHER
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a block, one after another, and the number of ids of each text."""
         if not self.by_word:
-            return [self._bytes(x) for x in self._ids([t.decode() for t in texts])]
-        if len(self.memo) > 2 * MEMO:
-            self.memo, self.units = {}, {"": b""}
+            line, at = data.tobytes(), offsets.tolist()
+            ids = self._ids([line[a:b].decode() for a, b in zip(at, at[1:])])
+            return np.array(sum(ids, []), self.kind), np.array([len(x) for x in ids], np.int64)
+        if len(self.memo) > MEMO:
+            self.memo = {}
+        w = spaced(data, offsets)
+        whole = np.ones(len(w.starts), bool)
+        if not len(w.starts):
+            return np.zeros(0, self.kind), np.zeros(w.texts, np.int64)
         if self.by_unit:
-            low = [t.lower() for t in texts]  # of ASCII letters: fewer distinct words, the same ids
-            if not any(self.special.search(t.decode()) for t in low if b"<" in t or self.letters):
-                texts = low
-        words = [t.split() for t in texts]
-        new = [w for w in set().union(*words) if w not in self.memo]
-        if new:
-            self._learn(new)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+            data, w, whole = self._units(data, w)
+        codes, distinct = pd.factorize(w.hashes())
+        first = np.zeros(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        line, memo = data.tobytes(), self.memo
+        names = [line[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
+        new = [(x, k) for x, k in zip(names, whole[first].tolist()) if x not in memo]
+        self._learn_units([x for x, k in new if not k])
+        self._learn_words([x for x, k in new if k])
+        got = [memo[x] for x in names]
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.kind.itemsize
+        flat, at = np.frombuffer(b"".join(got), self.kind), np.cumsum(size) - size
+        n = size[codes]
+        upto = np.append(0, np.cumsum(n))
+        ids = flat[np.repeat(at[codes] - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.diff(upto[w.first])
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file; kept by a worker over its tasks, with what it remembers."""
+    return Encoder(path)
