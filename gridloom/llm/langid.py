@@ -28,7 +28,7 @@ from gridloom.llm.tables import ready
 ROWS = 1 << 14  # hashed rows of every feature family
 SEGMENT = 64
 SAMPLE_DOCS = 2400  # labelled documents the field is fitted on, an equal number of every language
-SAMPLE_WORDS = 400  # words of the spans drawn from one document of the sample
+SAMPLE_WORDS = 192  # words of the spans drawn from one document of the sample
 LEXICON = 1500  # commonest sample words of every language
 UND = "und"
 
@@ -37,20 +37,20 @@ def _features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed rows of the affixes (words x 6), of the byte trigrams (one per byte), and the word hashes."""
     data = LOWER[w.data].astype(np.uint64)
     n, size = len(data), w.ends - w.starts
-    affix = np.zeros((len(size), 6), np.int64)
+    affix = np.zeros((len(size), 6), np.uint16)
     for k in (1, 2, 3):
         front, back = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
         for i in range(k):
             has = i < size
             front = front * np.uint64(257) + np.where(has, data[np.minimum(w.starts + i, n - 1)] + np.uint64(1), 0).astype(np.uint64)
             back = back * np.uint64(257) + np.where(has, data[np.maximum(w.ends - 1 - i, 0)] + np.uint64(1), 0).astype(np.uint64)
-        affix[:, k - 1] = (mixed(front * np.uint64(6) + np.uint64(k)) % np.uint64(ROWS)).astype(np.int64)
-        affix[:, k + 2] = (mixed(back * np.uint64(6) + np.uint64(k + 3)) % np.uint64(ROWS)).astype(np.int64)
+        affix[:, k - 1] = (mixed(front * np.uint64(6) + np.uint64(k)) % np.uint64(ROWS)).astype(np.uint16)
+        affix[:, k + 2] = (mixed(back * np.uint64(6) + np.uint64(k + 3)) % np.uint64(ROWS)).astype(np.uint16)
     gram = data.copy()  # the two bytes before (0 at the front of a word) and this one
     place = np.arange(n) - np.repeat(np.append(0, w.starts), np.diff(np.concatenate([[0], w.starts, [n]])))
     gram[1:] += np.where(place[1:] >= 1, data[:-1] + np.uint64(1), 0).astype(np.uint64) << np.uint64(9)
     gram[2:] += np.where(place[2:] >= 2, data[:-2] + np.uint64(1), 0).astype(np.uint64) << np.uint64(18)
-    return affix, (mixed(gram) % np.uint64(ROWS)).astype(np.int64), _word_hashes(w)
+    return affix, (mixed(gram) % np.uint64(ROWS)).astype(np.uint16), _word_hashes(w)
 
 
 def _word_hashes(w: Words) -> np.ndarray:

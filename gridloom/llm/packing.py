@@ -30,7 +30,7 @@ from gridloom.llm.tables import ready, stored
 from gridloom.llm.tokens import encoder
 
 _SCALE = 1 << 80
-ENCODE_BYTES = 4 << 20  # of text whose distinct pre-tokens are looked up together
+ENCODE_BYTES = 1 << 20  # of text whose distinct pre-tokens are looked up together
 SENT_ROWS = 200_000  # rows of the offsets table that are sent to every task; a larger one is joined by key
 
 

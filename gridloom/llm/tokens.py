@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from gridloom.llm.arrays import LOWER, SPACE, Words, blocks, spaced
 from gridloom.llm.tables import ready
 
-MEMO = 400_000  # distinct pre-tokens that a worker remembers; then it starts anew
+MEMO = 300_000  # distinct pre-tokens that a worker remembers; then it starts anew
 MARK = "▁"  # sentencepiece's sign for a space
 _PRE = re.compile(rb" +[^ ]*")
 
