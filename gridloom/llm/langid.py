@@ -180,7 +180,7 @@ def train(langs: list[str], texts: list[tuple[bytes, int]], rounds: int = 4, rat
             lexicon.setdefault(h, np.zeros(k, np.float32))[lang] = 1
     hashes = np.array(sorted(lexicon), np.uint64)
     field = Field(langs, np.zeros((6, ROWS, k), np.float32), np.zeros((ROWS, k), np.float32), hashes,
-                  np.array([lexicon[h] for h in hashes.tolist()], np.float32).reshape(-1, k), np.zeros((k, k), np.float32), np.zeros((k, k), np.float32))
+                  np.array([lexicon[h] for h in hashes.tolist()], np.float32).reshape(len(hashes), k), np.zeros((k, k), np.float32), np.zeros((k, k), np.float32))
     if k < 2 or not texts:
         return field
     w, labels, first = _sequences(texts, k, rng)
@@ -235,16 +235,19 @@ def train(langs: list[str], texts: list[tuple[bytes, int]], rounds: int = 4, rat
 
 def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> Field:
     """Fit a field to a sample of the rows where `learn` holds and language and text are given: an equal number of every
-    language, those with the smallest hash of id and text, `sample` in all. The hash sees the whole table; only the rows it
+    language, those with the smallest hash of id and text, about `sample` in all. The hash sees the whole table; only the rows it
     picks reach the driver."""
     known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample).collect())
+    count = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample).collect()}
+    langs = sorted(count)
     if not langs:
         return train([], [])
     each = max(1, sample // len(langs))
-    w = Window.partitionBy("lang").orderBy("h")
-    picked = known.select("lang", "h").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= each).select("lang", "h").distinct()
+    # only hashes in the lowest part of the range can be among a language's smallest: so few rows are ranked, of any language
+    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 2.0 * each / count[k] + 50.0 / count[k]))]), F.col("lang"))
+    low = known.filter((F.col("h").cast("double") / 2.0**64 + 0.5) <= share).select("lang", "h")
+    picked = low.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rn") <= each).select("lang", "h").distinct()
     rows = known.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", F.encode("text", "utf-8").alias("text")).collect()  # `sample` rows at most
     number = {x: i for i, x in enumerate(langs)}
     return train(langs, [(bytes(r["text"]), number[r["lang"]]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))])

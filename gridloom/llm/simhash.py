@@ -113,12 +113,17 @@ def _verify_rows(radius: int):
     return rows
 
 
+def _long(x: int):
+    """A 64-bit pattern as a signed long literal."""
+    return F.lit(x - (1 << BITS) if x >> (BITS - 1) else x).cast("long")
+
+
 def links(nodes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     """Edges (u, v) over distinct fingerprints `fp` whose components are those of all pairs within `radius` bits."""
     widths = [BITS // segments + (s < BITS % segments) for s in range(segments)]
     values, shift = [], 0
     for s, width in enumerate(widths):
-        values.append(F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("val")))
+        values.append(F.struct(F.lit(s).alias("seg"), F.shiftrightunsigned("fp", shift).bitwiseAND(_long((1 << width) - 1)).alias("val")))
         shift += width
     entries = nodes.select("fp", F.explode(F.array(*values)).alias("_e")).select("fp", "_e.seg", "_e.val")
     large = entries.groupBy("seg", "val").count().filter(F.col("count") > BLOCK)
@@ -128,7 +133,7 @@ def links(nodes: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     reach = radius // segments
     ball = F.when(F.lit(False), F.array(F.lit(0).cast("long")))
     for s, width in enumerate(widths):
-        ball = ball.when(F.col("seg") == s, F.array(*[F.lit(m).cast("long") for m in balls(width, reach)]))
+        ball = ball.when(F.col("seg") == s, F.array(*[_long(m) for m in balls(width, reach)]))
     probes = lists.withColumn("_mask", F.explode(ball)).withColumn("val", F.col("val").bitwiseXOR(F.col("_mask")))
     probes = probes.filter(F.col("val") >= F.col("val").bitwiseXOR(F.col("_mask")))  # each pair of entries once
     other = lists.select("seg", "val", F.col("blk").alias("_blk"), F.col("members").alias("others"))
