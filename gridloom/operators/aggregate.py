@@ -6,8 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.numbers import percent, ratio
-from gridloom.operators.scale import numbered, quantiles, top_per_key
-from gridloom.session import cut
+from gridloom.operators.scale import attach, numbered, quantiles, top_per_key
 
 OTHERS = "Others"
 
@@ -63,7 +62,7 @@ def compare(df: DataFrame, col: str, value: str, targets: Sequence[str]) -> Data
     rank among all groups, rows and blanks. Works on one row per group after a single aggregate."""
     per = df.groupBy(col).agg(F.sum(value).alias("s"), F.count(value).alias("n"), F.count("*").alias("rows"),
                               F.count_if(F.col(value).isNull()).alias("blanks")).withColumn("figure", ratio(F.col("s"), F.col("n")))
-    is_target = F.col(col).isin(list(targets))
+    is_target = F.coalesce(F.col(col).isin(list(targets)), F.lit(False))  # rows without a group belong to the rest
     totals = per.agg(F.sum(F.when(~is_target, F.col("s"))).alias("rs"), F.sum(F.when(~is_target, F.col("n"))).alias("rn"),
                      F.avg(F.when(~is_target, F.col("figure"))).alias("mean_of_others"))
     hits = per.filter(is_target)
@@ -94,7 +93,7 @@ def spread(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     two = top.groupBy(*keys).agg(F.max(F.when(F.col("rn") == 1, F.col(x))).alias("top1"),
                                  F.max(F.when(F.col("rn") == 2, F.col(x))).alias("top2"), F.sum(x).alias("_two"))
     base = df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.max(x).alias("maximum"), F.sum(x).alias("_s"), F.count(x).alias("_n"))
-    joined = base.join(q, keys).join(two, keys) if keys else base.crossJoin(q).crossJoin(two)  # one row each without keys
+    joined = attach(attach(base, q, keys), two, keys)
     return joined.select(*keys, "q1", "median", "q3", "mean", "maximum", "top1", "top2",
                          ratio(F.col("_s") - F.col("_two"), F.col("_n") - 2).alias("mean_without_top2"))
 
@@ -146,7 +145,7 @@ def cohorts(df: DataFrame, entity: str, day: str, num: str, den: str) -> DataFra
     rows = df.withColumn("_q", q)
     entry = rows.groupBy(entity).agg(F.min("_q").alias("_e"))
     ok = F.col(num).isNotNull() & (F.col(den) > 0)
-    got = rows.join(entry, entity).groupBy("_e", (F.col("_q") - F.col("_e")).alias("elapsed")).agg(
+    got = attach(rows, entry, [entity]).groupBy("_e", (F.col("_q") - F.col("_e")).alias("elapsed")).agg(
         F.count("*").alias("planned"), F.count_if(F.coalesce(ok, F.lit(False))).alias("observed"),
         percent(F.sum(F.when(ok, F.col(num))), F.sum(F.when(ok, F.col(den)))).alias("rate"))
     label = F.concat(F.floor(F.col("_e") / 4).cast("string"), F.lit("-Q"), (F.col("_e") % 4 + 1).cast("string"))
@@ -155,8 +154,8 @@ def cohorts(df: DataFrame, entity: str, day: str, num: str, den: str) -> DataFra
 
 def top_with_others(df: DataFrame, key: str, value: str, k: int) -> DataFrame:
     """The k largest keys and one row with the rest. `df` holds one row per key; the limit is partial per task."""
-    best = top_per_key(df, [], [F.desc_nulls_last(value), F.col(key)], k).select(key, F.lit(True).alias("_top"))
-    marked = df.join(F.broadcast(best), key, "left")  # k rows
+    best = top_per_key(df, [], [F.desc_nulls_last(value), F.col(key)], k).select(key, F.lit(True).alias("_top"))  # k rows
+    marked = attach(df, best, [key])
     return marked.groupBy(F.when(F.col("_top"), F.col(key)).otherwise(OTHERS).alias(key)).agg(F.sum(value).alias(value))
 
 
@@ -230,16 +229,11 @@ def score_rows(df: DataFrame, base: Column, flags: Mapping[str, float], name: st
 
 
 def runs(df: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
-    """Consecutive numbers as (first, last) runs. Islands start where n-1 is absent, found by an anti join on the next
-    number; starts and ends are then paired by rank within the key."""
+    """Consecutive numbers as (first, last) runs. Within a run the number less its row number stays the same, so one
+    distributed numbering and one aggregate find them; rows without a number are in no run."""
     keys = list(keys)
-    vals = cut(df.select(*keys, n).distinct())
-    prev = vals.withColumn(n, F.col(n) + 1)
-    nxt = vals.withColumn(n, F.col(n) - 1)
-    on = [*keys, n]
-    starts = numbered(vals.join(prev, on, "left_anti"), keys, [F.col(n)], "_i").withColumnRenamed(n, "first")
-    ends = numbered(vals.join(nxt, on, "left_anti"), keys, [F.col(n)], "_i").withColumnRenamed(n, "last")
-    return starts.join(ends, [*keys, "_i"]).drop("_i")
+    placed = numbered(df.filter(F.col(n).isNotNull()).select(*keys, n).distinct(), keys, [F.col(n)], "_rn")
+    return placed.groupBy(*keys, (F.col(n) - F.col("_rn")).alias("_run")).agg(F.min(n).alias("first"), F.max(n).alias("last")).drop("_run")
 
 
 def take_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Column], size: str, budget: int) -> DataFrame:

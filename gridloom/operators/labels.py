@@ -60,13 +60,13 @@ def decide_choice(scores: Column) -> Column:
 def label_eval(results: DataFrame, group: Sequence[str] = ("model",)) -> DataFrame:
     """Per group: right, right on hard items, missed yes, false yes, unsure, failed, median seconds, cost.
     results(truth, answer, hard, seconds, cost). The median is exact and distributed."""
-    from gridloom.operators.scale import quantiles
+    from gridloom.operators.scale import attach, quantiles
     t, a = F.col("truth"), F.col("answer")
     got = results.groupBy(*group).agg(
         F.count("*").alias("items"), F.count_if(t == a).alias("right"), F.count_if((t == a) & F.col("hard")).alias("hard_right"),
         F.count_if((t == "yes") & (a == "no")).alias("missed_yes"), F.count_if((t == "no") & (a == "yes")).alias("false_yes"),
         F.count_if(a == UNSURE).alias("unsure"), F.count_if(a.isNull()).alias("failed"), F.sum("cost").alias("cost"))
-    return got.join(quantiles(results, list(group), "seconds", {"median_seconds": 0.5}), list(group))
+    return attach(got, quantiles(results, list(group), "seconds", {"median_seconds": 0.5}), list(group))
 
 
 def map_parts(docs: DataFrame, key: str, text: str, fn: Callable[[pd.Series], pd.Series], combine: Callable[[Column], Column], size: int = 7000,
@@ -111,7 +111,7 @@ def row_match_eval(truth: DataFrame, got: DataFrame, doc: str, cols: Sequence[st
 def run_summary(results: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """Per run: turns, errors, median seconds, and per kind how many were covered and correct.
     results(run, kind, covered, correct, error, seconds)."""
-    from gridloom.operators.scale import quantiles
+    from gridloom.operators.scale import attach, quantiles
     per = [x for k in kinds for x in (F.count_if((F.col("kind") == k) & F.col("covered")).alias(f"{k}_covered"), F.count_if((F.col("kind") == k) & F.col("correct")).alias(f"{k}_correct"))]
     base = results.groupBy("run").agg(F.count("*").alias("turns"), F.count_if(F.col("error")).alias("errors"), *per)
-    return base.join(quantiles(results, ["run"], "seconds", {"median_seconds": 0.5}), "run")
+    return attach(base, quantiles(results, ["run"], "seconds", {"median_seconds": 0.5}), ["run"])

@@ -136,9 +136,9 @@ def check_key(df: DataFrame, key: str, audit: Sequence[str] = ()) -> DataFrame:
 
 
 def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Count, mean, range and exact quartiles per numeric column."""
-    from gridloom.operators.scale import quantiles
+    """Count, mean, range and exact quartiles per numeric column; a column without values has NULL figures."""
+    from gridloom.operators.scale import attach, quantiles
     pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols]
     long = df.select(F.inline(F.array(*pairs)))
     base = long.groupBy("column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
-    return base.join(quantiles(long, ["column"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}), "column")
+    return attach(base, quantiles(long, ["column"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}), ["column"])

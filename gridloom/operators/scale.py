@@ -18,6 +18,17 @@ CHUNK = 65_536
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join one row per key to a table so that NULL keys meet too; without keys, the one row of `right`."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def running(df: DataFrame, keys: Sequence[str], pos: str, sums: Mapping[str, Column] | None = None,
             carries: Mapping[str, Column] | None = None, chunk: int = CHUNK) -> DataFrame:
     """Add inclusive running sums and last-non-null carries along the integer column `pos` within `keys`."""
@@ -94,7 +105,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:
     """Exact continuous quantiles (linear between neighbours, as SQL's quantile_cont) per key.
-    Equal values are counted before the sort, so a constant column costs one row."""
+    Equal values are counted before the sort, so a constant column costs one row. A key without any value has no row."""
     keys = list(keys)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     placed = cut(counts.orderBy(*keys, value)).withColumn("_pid", F.spark_partition_id())
@@ -104,7 +115,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Mapping[st
     before = all_parts.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition and key
     offs = sizes.select("_pid", *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
                         F.sum("_n").over(all_parts).alias("_tot"))
-    pos = placed.withColumn("_cum", F.sum("_c").over(part_key)).join(offs, ["_pid", *keys])
+    pos = attach(placed.withColumn("_cum", F.sum("_c").over(part_key)), offs, ["_pid", *keys])
     hi = F.col("_off") + F.col("_cum")  # this value covers 0-based positions [hi - _c, hi)
     aggs = []
     for n, q in points.items():

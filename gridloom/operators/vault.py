@@ -54,7 +54,7 @@ def _parts(c: Column) -> tuple[Column, Column]:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), F.split(c, WORD, -1)
 
 
-def _needles(vault: DataFrame, least: int = 3) -> DataFrame:
+def _needles(vault: DataFrame, least: int = 1) -> DataFrame:
     """Vault values as word runs: the core from first to last word, what stands before and after it, the word count."""
     ok = vault.filter(F.length("value") >= least)
     w = F.regexp_extract_all("value", F.lit(WORD), F.lit(0))
@@ -69,7 +69,7 @@ def _boundary_ok(before: Column, after: Column, has_next: Column) -> Column:
             & ~((after == ".") & has_next) & ~after.startswith(".@"))
 
 
-def known_spans(docs: DataFrame, key: str, text: str, vault: DataFrame, least: int = 3) -> DataFrame:
+def known_spans(docs: DataFrame, key: str, text: str, vault: DataFrame, least: int = 1) -> DataFrame:
     """Every known value in every text: (key, at, size, code, pre, suf), `at` counting words; overlaps are not resolved.
 
     First the words of the texts meet the first words of the values, which leaves few places; only there are word runs of
@@ -144,7 +144,7 @@ def _apply(docs: DataFrame, key: str, text: str, runs: DataFrame | None, exact:
                             "changes": F.coalesce(F.size("_chosen"), F.lit(0))}).drop("_runs", "_exact", "_spans", "_chosen")
 
 
-def redact(docs: DataFrame, key: str, text: str, vault: DataFrame, kept: DataFrame | None = None, code: str = "code", least: int = 3,
+def redact(docs: DataFrame, key: str, text: str, vault: DataFrame, kept: DataFrame | None = None, code: str = "code", least: int = 1,
            exact: DataFrame | None = None) -> DataFrame:
     """Known values replaced by their codes: whole words, any case, longest first; `kept(norm)` values stay clear. `exact`
     spans (key, start, end, code), as a detector found them, are replaced wherever they stand. Adds `redacted`, `changes`."""

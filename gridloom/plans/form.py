@@ -12,7 +12,6 @@ from gridloom.plans.periods import bounds, read_period
 
 BLANK = "(blank)"
 TOTAL = "(total)"
-MAX_LIMIT, LIST_LIMIT, GROUP_LIMIT = 1000, 200, 100
 
 
 class SpecError(ValueError):
@@ -159,8 +158,9 @@ def _name(x: str) -> str:
     return x.replace(":", "_")
 
 
-def clamp(limit: int | None, default: int) -> int:
-    return max(1, min(int(limit or default), MAX_LIMIT))
+def limited(df: DataFrame, limit: int | None) -> DataFrame:
+    """The first `limit` rows if the caller asks for that; otherwise all."""
+    return df if limit is None else df.limit(max(1, int(limit)))
 
 
 def _order(spec: Spec, cols: list[str], groups: list[str]) -> list[Column]:
@@ -195,19 +195,19 @@ def run_form(df: DataFrame, form: Form, spec: Spec, as_of: str | None = None, to
     shown = [F.when(F.col("_gid") == top, F.lit(TOTAL)).otherwise(F.coalesce(k, F.lit(BLANK))).alias(g)
              for k, g in zip(keys, groups)]
     got = got.select(*shown, *names, (F.col("_gid") == top).alias("is_total"))
-    rows = got.filter(~F.col("is_total")).orderBy(*_order(spec, names, groups)).limit(clamp(spec.limit, GROUP_LIMIT))
+    rows = limited(got.filter(~F.col("is_total")).orderBy(*_order(spec, names, groups)), spec.limit)
     return rows.unionByName(got.filter("is_total")) if total else rows
 
 
 def list_rows(df: DataFrame, form: Form, spec: Spec) -> DataFrame:
-    """Matching rows under their form columns, ordered when asked, limited (a listing is a top-k report)."""
+    """Matching rows under their form columns, ordered and limited when asked."""
     out = df.select(*[c for c in form.kinds if c not in form.hidden])
     by = spec.sort.get("by")
     if by in form.kinds:
         down = spec.sort.get("dir", "desc") == "desc"
         rest = [F.col(c) for c in out.columns if c != by]
         out = out.orderBy(F.col(by).desc_nulls_last() if down else F.col(by).asc_nulls_last(), *rest)
-    return out.limit(clamp(spec.limit, LIST_LIMIT))
+    return limited(out, spec.limit)
 
 
 def count_matches(df: DataFrame, form: Form, spec: Spec, as_of: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import dates
 from gridloom.functions.text import words
 from gridloom.operators import aggregate as A
-from gridloom.operators.scale import top_per_key
+from gridloom.operators.scale import numbered, top_per_key
 from gridloom.plans import form as fm
 from gridloom.plans import periods as pr
 from gridloom.plans import steps as st
@@ -569,7 +569,7 @@ def _(t):
     s = F.col("p_size")
     band = F.when(s < 10, "Under 10").when(s < 20, "10 to 20").when(s < 30, "20 to 30").when(s <= 40, "30 to 40").otherwise("Over 40")
     g = t.part.groupBy(band.alias("band")).agg(F.count("*").alias("n"))
-    return top_per_key(g, [], [A.band_key(F.col("band"))], 1000, "place")
+    return numbered(g, [], [A.band_key(F.col("band"))], "place")
 
 
 @query("ord5_display_cap", """select * from (select p_brand, count(*) n from part group by 1 order by n desc, p_brand limit 20), (select count(distinct p_brand) total from part)""")

@@ -292,7 +292,7 @@ def _(t):
     lo, hi = info["amount"]["low"], info["amount"]["high"]
     from gridloom.functions.numbers import money_number
     both = m.join(d.select("row", F.col("receipt").alias("real"), F.col("who").alias("real_who")), "row")
-    return both.agg(F.count("*").alias("rows"), F.lit(0).alias("real_receipts_kept"), F.count_if(~money_number(F.col("amount")).between(lo, hi)).alias("outside_range"),
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("receipt") == F.col("real")).alias("real_receipts_kept"), F.count_if(~money_number(F.col("amount")).between(lo, hi)).alias("outside_range"),
                     F.bool_and(F.substring("receipt", 1, 2) == F.substring("real", 1, 2)).alias("same_prefix"), F.count_distinct("who").alias("people"), F.count_distinct("priority").alias("priorities"))
 
 

@@ -50,13 +50,13 @@ def _(t):
     vault = cut(V.build_vault(V.cells(t.customer, "c_custkey", {"c_name": "person_name"}, "c")))
     c = t.customer.withColumn("norm", F.lower("c_name")).join(vault.select("norm", "code"), "norm")
     text = F.concat(F.lit("Dear "), F.col("code"), F.lit(", and "), F.col("code"), F.lit(" again"))
-    pieces = F.filter(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.substring(text, i * 7 + 1, F.lit(7))), lambda p: p != "")
+    pieces = F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 7).cast("int")), lambda i: F.substring(text, i * 7 + 1, F.lit(7))), lambda p: p != "")
     d = c.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("response"), F.posexplode(pieces).alias("seq", "delta"), F.size(pieces).alias("n"))
     d = d.select("response", F.col("seq").cast("long").alias("seq"), "delta", (F.col("seq") + 1 == F.col("n")).alias("done"))
     path = scratch(t.spark, "deltas")
-    d.filter("seq < 3").coalesce(1).write.parquet(path)  # two waves: replies arrive in two batches
-    d.filter("seq >= 3").coalesce(1).write.mode("append").parquet(path)
-    deltas = t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    d.filter("seq < 3").repartition(4, "response").write.parquet(path)  # two waves: replies arrive in several batches
+    d.filter("seq >= 3").repartition(4, "response").write.mode("append").parquet(path)
+    deltas = t.spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 4).parquet(path)
     out = ST.stream_restore(deltas, vault, scratch(t.spark, "st3"))
     return out.groupBy("response").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "restored"))), lambda s: s["restored"]), "").alias("text"))
 

@@ -32,7 +32,7 @@ def stream_folder(spark: SparkSession, folder: str, out: str, tidy: Callable[[Sp
         paths = [r["path"] for r in batch.select("path").collect()]  # bounded by maxFilesPerTrigger
         if paths:
             write_batch(tidy(batch.sparkSession, paths), out, n)
-    run_available(arriving_files(spark, folder, per_trigger), each, name="folder")
+    run_available(arriving_files(spark, folder, per_trigger), each, out)
     return committed(spark, out).drop("batch")
 
 
@@ -54,7 +54,7 @@ def tally_stream(votes: DataFrame, at: str = "t", late: str = "10 minutes", widt
 
 def stream_tally(votes: DataFrame, out: str, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     open_sink(votes.sparkSession, out, "start timestamp, outcome string, n bigint, avg_seconds double")
-    run_available(tally_stream(votes, late=late, width=width), lambda b, n: write_batch(b, out, n), "update", "tally")
+    run_available(tally_stream(votes, late=late, width=width), lambda b, n: write_batch(b, out, n), out, "update")
     return newest(committed(votes.sparkSession, out), ["start", "outcome"])
 
 
@@ -98,7 +98,7 @@ def stream_restore(deltas: DataFrame, vault: DataFrame, out: str) -> DataFrame:
     def each(batch: DataFrame, n: int) -> None:
         b = batch.withColumn("_k", F.concat_ws("/", "response", "seq"))
         write_batch(V.restore(b, "_k", "piece", vault).select("response", "seq", "restored"), out, n)
-    run_available(whole_pieces(deltas), each, name="restore")
+    run_available(whole_pieces(deltas), each, out)
     return committed(spark, out).drop("batch")
 
 
@@ -124,7 +124,7 @@ def stream_redact(messages: DataFrame, out: str, start: DataFrame, kind: str = "
         left = V.leaks(done, "id", "redacted", now).groupBy("id").agg(F.sum("n").alias("codes"))
         write_batch(left, dead, n)
         write_batch(done.join(left, "id", "left_anti").select("id", "redacted"), sent, n)
-    run_available(messages, each, name="redact")
+    run_available(messages, each, out)
     return tuple(committed(spark, p).drop("batch") for p in (sent, dead, vault_path))
 
 
@@ -138,7 +138,7 @@ def stream_once(actions: DataFrame, out: str, run: Callable[[DataFrame], DataFra
     def each(batch: DataFrame, n: int) -> None:
         done = committed(spark, out, before=n).select("key")
         write_batch(run(batch.join(done, "key", "left_anti")).select("key", "result"), out, n)
-    run_available(actions.withWatermark("t", late).dropDuplicatesWithinWatermark(["key"]), each, name="once")
+    run_available(actions.withWatermark("t", late).dropDuplicatesWithinWatermark(["key"]), each, out)
     return committed(spark, out).drop("batch")
 
 
@@ -153,7 +153,7 @@ def stream_new_parts(requests: DataFrame, out: str, late: str = "1 day") -> Data
     def each(batch: DataFrame, n: int) -> None:
         had = committed(spark, out, before=n).select("app", "digest")
         write_batch(batch.join(had, ["app", "digest"], "left_anti").select("t", "app", "digest", "part"), out, n)
-    run_available(fresh, each, name="parts")
+    run_available(fresh, each, out)
     return committed(spark, out).drop("batch")
 
 
@@ -175,7 +175,7 @@ def stream_quota(calls: DataFrame, out: str, limit: int) -> DataFrame:
         placed = numbered(batch.withColumn("day", F.to_date("t")).select("day", "key", "t", "id"), ["day", "key"], [F.col("t"), F.col("id")], "_rn")
         got = placed.join(had, ["day", "key"], "left")
         write_batch(got.select("day", "key", "id", (F.col("_rn") + F.coalesce("_had", F.lit(0)) <= limit).alias("accepted")), out, n)
-    run_available(calls, each, name="quota")
+    run_available(calls, each, out)
     return committed(spark, out).drop("batch")
 
 
@@ -185,7 +185,7 @@ def stream_stats(log: DataFrame, out: str) -> DataFrame:
     spark = log.sparkSession
     open_sink(spark, out, "outcome string, requests bigint, substitutions bigint")
     agg = log.groupBy("outcome").agg(F.count("*").alias("requests"), F.sum("substitutions").alias("substitutions"))
-    run_available(agg, lambda b, n: write_batch(b, out, n), "update", "stats")
+    run_available(agg, lambda b, n: write_batch(b, out, n), out, "update")
     return newest(committed(spark, out), ["outcome"])
 
 
@@ -203,7 +203,7 @@ def stream_skip_known(inputs: DataFrame, out: str, version: int, work: Callable[
         h = batch.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["hash"])
         had = committed(spark, out, before=n).filter(F.col("version") == version).select("hash")
         write_batch(work(h.join(had, "hash", "left_anti")).select("hash", F.lit(version).alias("version"), "result"), out, n)
-    run_available(inputs, each, name="skip")
+    run_available(inputs, each, out)
     return committed(spark, out).drop("batch")
 
 
@@ -229,5 +229,5 @@ def stream_invalidate(changes: DataFrame, derived: DataFrame, out: str, buckets:
         # a bucket that loses all its rows keeps one marker row, so that its older generation is not read again
         marks = gone.select("bucket").distinct().select(*[F.col("bucket") if c == "bucket" else F.lit(None).cast(t).alias(c) for c, t in kept.dtypes])
         kept.unionByName(marks).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/generation={n}")
-    run_available(changes, each, name="invalidate")
+    run_available(changes, each, out)
     return current().filter("id is not null").drop("bucket", "generation")

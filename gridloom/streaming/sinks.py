@@ -6,8 +6,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridloom.session import scratch
-
 START = -1
 
 
@@ -26,9 +24,10 @@ def committed(spark: SparkSession, path: str, before: int | None = None) -> Data
     return df if before is None else df.filter(F.col("batch") < before)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append", name: str = "job") -> None:
-    """Run a stream over everything that is there now, batch by batch, and wait for its end."""
-    q: StreamingQuery = (stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(stream.sparkSession, f"ckpt-{name}"))
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], out: str, mode: str = "append") -> None:
+    """Run a stream over everything that is there now, batch by batch, and wait for its end. Progress and state are kept
+    beside the sink, so a later run goes on with the next batch number and sees only what is new."""
+    q: StreamingQuery = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint")
                          .trigger(availableNow=True).foreachBatch(each).start())
     q.awaitTermination()
 
