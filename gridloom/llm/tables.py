@@ -14,7 +14,7 @@ def ready(spark: SparkSession) -> None:
     """Send the package to the executors, and keep the Arrow batches of whole texts small: two Python workers and their
     writers share an executor's memory with its heap. A size that the session sets itself is left as it is."""
     ship(spark)
-    if spark.conf.get(BATCH_BYTES) in ("64m", "67108864b", "67108864"):
+    if spark.conf.get(BATCH_BYTES, None) in (None, "64m", "67108864b", "67108864"):
         spark.conf.set(BATCH_BYTES, "8m")
 
 
