@@ -173,9 +173,8 @@ def train(langs: list[str], texts: list[tuple[bytes, int]], rounds: int = 4, rat
     rng = np.random.default_rng(seed)
     lexicon: dict[int, np.ndarray] = {}
     for lang in range(k):
-        data, offsets = raw(pa.array([t for t, g in texts if g == lang], pa.binary()))
-        w = spaced(data, offsets)
-        got, n = np.unique(_word_hashes(w), return_counts=True) if len(w.starts) else (np.zeros(0, np.uint64), np.zeros(0, int))
+        own = pa.RecordBatch.from_arrays([pa.array([t for t, g in texts if g == lang], pa.binary())], names=["text"])
+        got, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_word_hashes(spaced(data, offsets)) for _, data, offsets in blocks(own, "text")]]), return_counts=True)
         for h in got[np.lexsort((got, -n))][:LEXICON].tolist():
             lexicon.setdefault(h, np.zeros(k, np.float32))[lang] = 1
     hashes = np.array(sorted(lexicon), np.uint64)
@@ -184,7 +183,15 @@ def train(langs: list[str], texts: list[tuple[bytes, int]], rounds: int = 4, rat
     if k < 2 or not texts:
         return field
     w, labels, first = _sequences(texts, k, rng)
-    affix, gram, words = _features(w)
+    parts = []
+    for lo in range(0, len(w.starts), 1 << 14):  # a slice of the words at a time, to keep the driver small
+        hi = min(lo + (1 << 14), len(w.starts))
+        a, b = w.starts[lo] if lo else 0, w.starts[hi] if hi < len(w.starts) else len(w.data)
+        part = Words.__new__(Words)
+        part.data, part.starts, part.ends = w.data[a:b], w.starts[lo:hi] - a, w.ends[lo:hi] - a
+        part.offsets = part.first = np.array([0, hi - lo])
+        parts.append(_features(part))
+    affix, gram, words = (np.concatenate(x) for x in zip(*parts))
     member = field.lexical(words)
     tables = {"affix": field.affix, "gram": field.gram, "lex": field.lex, "trans": field.trans}
     past = {name: np.full(x.shape, 1e-3, np.float32) for name, x in tables.items()}
