@@ -183,6 +183,8 @@ def train(langs: list[str], texts: list[tuple[bytes, int]], rounds: int = 4, rat
     if k < 2 or not texts:
         return field
     w, labels, first = _sequences(texts, k, rng)
+    if not len(w.starts):
+        return field
     parts = []
     for lo in range(0, len(w.starts), 1 << 14):  # a slice of the words at a time, to keep the driver small
         hi = min(lo + (1 << 14), len(w.starts))
