@@ -1,14 +1,13 @@
 """Declarative answers over one table: a Form lists measures, groupings and filters; a Spec picks from it."""
 from __future__ import annotations
 
-import datetime as dt
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.dates import edge, part
-from gridloom.plans.periods import bounds, read_period
+from gridloom.plans.periods import bounds, extract_period
 
 BLANK = "(blank)"
 TOTAL = "(total)"
@@ -142,8 +141,9 @@ def form_where(form: Form, spec: Spec, as_of: str | None = None) -> list[Column]
     if d.get("period"):
         lo, hi = bounds(d["period"], today)
     elif d.get("text"):
-        got = read_period(d["text"], dt.date.fromisoformat(as_of) if as_of else dt.date.today())  # one phrase, read on the driver
-        lo, hi = (F.lit(x) if x else None for x in got or (None, None))
+        said = extract_period(F.lit(d["text"]), today)  # literals only, so Catalyst folds it to two days
+        day = F.col(c)
+        return [*conds, said["from"].isNull() | (day >= said["from"]), said["to"].isNull() | (day < F.date_add(said["to"], 1))]
     else:
         lo = edge(F.lit(d["from"]), False) if d.get("from") else None
         hi = edge(F.lit(d["to"]), True) if d.get("to") else None

@@ -11,22 +11,27 @@ from gridloom.operators import quality as Q
 from gridloom.operators import search as S
 from gridloom.plans import form as fm
 from gridloom.plans import steps as st
-from gridloom.plans.periods import read_period
+from gridloom.plans.periods import extract_period
 from gridloom.plans.saved import Param, bind
 from gridloom.streaming.jobs import safe_cut
 
 AS_OF = dt.date(2025, 11, 18)
 
 
-@pytest.mark.parametrize("text,want", [
+PHRASES = [
     ("last 7 days", ("2025-11-12", "2025-11-18")), ("sales last month", ("2025-10-01", "2025-10-31")), ("this FY", ("2025-04-01", "2025-11-18")),
     ("last financial year", ("2024-04-01", "2025-03-31")), ("july to sept", ("2025-07-01", "2025-09-30")), ("december", ("2024-12-01", "2024-12-31")),
     ("nov to feb", ("2024-11-01", "2025-02-28")), ("since july", ("2025-07-01", None)), ("after august", ("2025-09-01", None)), ("before march", (None, "2025-02-28")),
     ("01/09 to 15/09", ("2025-09-01", "2025-09-15")), ("08/26 to 10/26", ("2025-08-26", "2025-10-26")), ("2026-09-01 to 2026-09-30", ("2026-09-01", "2026-09-30")),
-    ("in may 2024", ("2024-05-01", "2024-05-31")), ("it may rain", None), ("so far", None), ("on 5/3/25", ("2025-03-05", "2025-03-05")), ("last quarter", ("2025-07-01", "2025-09-30"))])
-def test_period_phrases(text, want):
-    got = read_period(text, AS_OF)
-    assert (got and tuple(d and d.isoformat() for d in got)) == want
+    ("in may 2024", ("2024-05-01", "2024-05-31")), ("it may rain", None), ("so far", None), ("on 5/3/25", ("2025-03-05", "2025-03-05")), ("last quarter", ("2025-07-01", "2025-09-30")),
+    ("past week", ("2025-11-12", "2025-11-18")), ("ytd", ("2025-01-01", "2025-11-18")), ("31/02 to 05/03", None), ("until the start of june 2025", (None, "2025-06-30")),
+    ("this month so far", ("2025-11-01", "2025-11-18")), ("after 30/12/24", ("2024-12-31", None)), ("march 2024", ("2024-03-01", "2024-03-31")), ("", None), (None, None)]
+
+
+def test_period_phrases(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PHRASES)], "i int, text string").withColumn("p", extract_period(F.col("text"), F.lit(AS_OF)))
+    got = {r.i: tuple(d and d.isoformat() for d in r.p) for r in df.collect()}
+    assert {PHRASES[i][0]: got[i] for i in got} == {t: want or (None, None) for t, want in PHRASES}
 
 
 FORM = fm.Form(kinds={"ward": "choice", "amount": "number", "day": "date"}, known={"ward": ["A", "B", "C"]}, presets={"a": {"ward": ["A"]}})
