@@ -1,10 +1,8 @@
 """Which columns and values are private: the column classifier, heading rules, safe columns, text-matching policy."""
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.operators import detect as D
@@ -16,35 +14,30 @@ SENSITIVE = ("sc", "st", "obc", "general", "nt", "vjnt", "sbc", "ews", "hindu",
              "adivasi", "open")
 DIRECT = ("person_name", "address", "village", "email", "phone", "aadhaar", "pan", "bank_account", "ifsc", "upi_id", "ration_card", "voter_id",
           "vehicle_number")
-_FEATURES = "struct<validator:array<string>,digits:boolean,code:boolean,precise:boolean,sentence:boolean,name:boolean,covered:string,any:boolean>"
-_DIGITS, _CODE = re.compile(r"[\d\s-]{8,}"), re.compile(r"[A-Za-z]{1,5}[-_/]?\d{1,8}|[0-9a-f]{8}-[0-9a-f-]{27,}")
-_PRECISE, _SENTENCE = re.compile(r"\.\d{4,}$"), re.compile(r"[,.;!?]\s|\s\w+\s\w+\s\w+\s\w+")
-_NAME = re.compile(r"[A-Za-z][A-Za-z.'-]*(?:\s[A-Za-z][A-Za-z.'-]*){0,4}")
-
-
-def _cell_features(value: str, spans: list[D.Span]) -> dict:
-    v = value.strip()
-    labels = []
-    for label, rx in D._COMPILED.items():
-        m = rx.search(v)
-        if m and (label not in D.CHECKS or D.CHECKS[label](m.group())) and m.end() - m.start() >= 0.6 * len(v):
-            labels.append(label)
-    best: dict[str, int] = {}
-    for a, b, label, _ in spans:
-        if label in DIRECT:
-            best[label] = best.get(label, 0) + b - a
-    total = sum(best.values())
-    digits = sum(c.isdigit() for c in v)
-    return {"validator": labels, "digits": bool(_DIGITS.fullmatch(v)) and digits >= 8, "code": bool(_CODE.fullmatch(v)),
-            "precise": bool(_PRECISE.search(v)), "sentence": bool(_SENTENCE.search(v)), "name": bool(_NAME.fullmatch(v)),
-            "covered": max(best, key=best.get) if best and total >= 0.5 * len(v) else None, "any": bool(spans)}
-
-
-def cell_features(engine=D.composed_spans):
-    @F.pandas_udf(_FEATURES)
-    def run(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_cell_features(v, engine(v, {})) for v in s])
-    return run
+# How numbers, codes, exact measurements, sentences and names are written.
+DIGITS, CODE = r"(?U)^[\d\s-]{8,}$", r"^(?:[A-Za-z]{1,5}[-_/]?\d{1,8}|[0-9a-f]{8}-[0-9a-f-]{27,})$"
+PRECISE, SENTENCE = r"\.\d{4,}$", r"(?U)[,.;!?]\s|\s\w+\s\w+\s\w+\s\w+"
+NAME = r"^[A-Za-z][A-Za-z.'-]*(?:\s[A-Za-z][A-Za-z.'-]*){0,4}$"
+
+
+def cell_features(value: Column, spans: Column) -> Column:
+    """What one cell looks like, from its text and the spans found in it: validators that cover 60% of it, its shapes, the
+    direct class that covers most of it (half at least, ties to the class named first) and whether anything was found."""
+    v = F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+    def holds(label: str, pattern: str) -> Column:
+        m = F.regexp_extract(v, f"(?U){pattern}", 0)
+        return F.when((m != "") & D.passes(F.lit(label), m) & (F.length(m) >= 0.6 * F.length(v)), F.lit(label))
+
+    def width(label: str) -> Column:
+        return F.aggregate(F.filter(spans, lambda x: x["label"] == label), F.lit(0), lambda acc, x: acc + x["end"] - x["start"])
+    widths = [F.struct(width(k).alias("width"), F.lit(-i).alias("place"), F.lit(k).alias("label")) for i, k in enumerate(DIRECT)]
+    most, total = F.greatest(*widths), sum((w["width"] for w in widths), F.lit(0))
+    return F.struct(
+        F.array_compact(F.array(*[holds(k, p) for k, p in D.PATTERNS.items()])).alias("validator"),
+        (v.rlike(DIGITS) & (F.length(F.regexp_replace(v, r"(?U)\D", "")) >= 8)).alias("digits"), v.rlike(CODE).alias("code"), v.rlike(PRECISE).alias("precise"),
+        v.rlike(SENTENCE).alias("sentence"), v.rlike(NAME).alias("name"),
+        F.when((total > 0) & (total >= 0.5 * F.length(v)), most["label"]).alias("covered"), (F.size(spans) > 0).alias("any"))
 
 
 def classify_columns(df: DataFrame, columns: Sequence[str], sample: int = 40) -> DataFrame:
@@ -58,7 +51,7 @@ def classify_columns(df: DataFrame, columns: Sequence[str], sample: int = 40) ->
         (F.sum(F.when(num.between(-180, 180), n).otherwise(0)) / F.nullif(F.sum(F.when(num.isNotNull(), n).otherwise(0)), F.lit(0))).alias("in_range"),
         F.count_if(F.lower("value").isin(*SENSITIVE)).alias("sensitive"))
     picked = top_per_key(vc, ["column"], [F.xxhash64("value"), F.col("value")], sample).repartition("column", "value")
-    f = picked.withColumn("f", cell_features()(F.col("value")))
+    f = picked.withColumn("spans", D.detector("text")(F.col("value"))).withColumn("f", cell_features(F.col("value"), F.col("spans")))
     shares = f.groupBy("column").agg(
         *[F.avg(F.array_contains("f.validator", k).cast("int")).alias(f"v_{k}") for k in D.PATTERNS],
         *[F.avg(F.col(f"f.{k}").cast("int")).alias(k) for k in ("digits", "code", "precise", "sentence", "name", "any")],
