@@ -25,19 +25,23 @@ def _one_row(df: DataFrame, aggs: dict[str, Column]) -> dict:
     return df.agg(*[e.alias(n) for n, e in aggs.items()]).first().asDict() if aggs else {}
 
 
+# How a row of totals begins, and how columns without a heading are named.
+TOTAL_ROW, NO_HEADING = r"(?i)^(grand\s+)?(sub-?)?totals?\b", r"column_\d+"
+
+
 def layout_rows(df: DataFrame, columns: Sequence[str], key: Sequence[str] = ()) -> DataFrame:
     """Adds `layout`: repeated_header, total, subheading or NULL. The typical fill is the exact median of the row fills
     (a column of at most #columns + 1 values, so its counts are tiny)."""
     cols = [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
     vals = F.filter(F.array(*cols), lambda v: v != "")
-    heads = F.array(*[F.lit(c.strip().lower()) for c in columns])
+    heads = F.array(*[F.lit(c.strip().lower()) for c in columns if not re.fullmatch(NO_HEADING, c.strip().lower())]).cast("array<string>")
     d = df.withColumns({"_n": F.size(vals), "_same": F.size(F.filter(vals, lambda v: F.array_contains(heads, norm(v)))),
                         "_first": F.get(vals, F.lit(0)), "_pos": F.array_position(F.transform(F.array(*cols), lambda v: v != ""), True)})
     typical = d.groupBy(*key, "_n").agg(F.count("*").alias("_c"))
     typical = typical.groupBy(*key).agg(F.expr("percentile(_n, 0.5, _c)").alias("_typ"))
     d = d.join(typical, list(key)) if key else d.crossJoin(F.broadcast(typical))  # one row
     kind = (F.when((F.col("_n") >= 2) & (F.col("_same") >= 0.6 * F.col("_n")), "repeated_header")
-            .when(F.col("_first").rlike(r"(?i)^(grand\s+)?(sub-?)?totals?\b"), "total")
+            .when(F.col("_first").rlike(TOTAL_ROW), "total")
             .when((F.col("_n") == 1) & (F.col("_typ") >= 3) & money_number(F.col("_first")).isNull() & (F.col("_pos") <= 2)
                   & (F.length("_first") <= 60), "subheading"))
     return d.withColumn("layout", kind).drop("_n", "_same", "_first", "_pos", "_typ")

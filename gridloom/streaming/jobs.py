@@ -59,6 +59,7 @@ def stream_tally(votes: DataFrame, out: str, late: str = "10 minutes", width: st
 
 
 # ------------------------------------------------------------------ ST3
+# The longest piece held back, and how an unfinished code at the end of a piece looks.
 HELD = 32
 _OPEN_TAIL = re.compile(r"(?:(?<!\w)|(?<=\\[ntr]))[A-Z][A-Z_]{0,24}(?:\\?_?\d*)?\\?$")
 
