@@ -2,6 +2,7 @@
 the number of columns; the rows themselves never reach the driver."""
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
