@@ -223,6 +223,49 @@ def test_few_queues_share_the_rest(spark):
     assert all(n == 32 for s, n in per.items() if s != max(per)) and {r.doc for r in got} == {r[0] for r in plain}
 
 
+def test_every_source_has_its_share(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TREE_ROWS", 8)  # so that the tree has several blocks
+    rng = random.Random(4)
+    rows = [(i, " ".join(["word"] * rng.randint(1, 60)), None, f"src{i // 3 % 40}") for i in range(240)]  # a source's rows stand together
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for targets in (None, {"src39": 500, "src38": 1000}):
+        got = packing.pack(df, vocabulary(WORD_BPE), window=200, queues=5, targets=targets).collect()
+        totals, sizes, by_seq, of = collections.Counter(), collections.Counter(), collections.defaultdict(list), collections.defaultdict(list)
+        for r in got:
+            totals[r.source] += r.length
+            sizes[r.sequence_id, r.source] += r.length
+            by_seq[r.sequence_id].append((r.offset, r.length))
+            of[r.doc].append((r.start, r.length, r.doc_tokens))
+        for s, parts in by_seq.items():
+            assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+            assert sum(n for _, n in parts) == 200 or s == max(by_seq)
+        for parts in of.values():
+            assert [a for a, _, _ in sorted(parts)] == [sum(n for _, n, _ in sorted(parts)[:k]) for k in range(len(parts))] and sum(n for _, n, _ in parts) == parts[0][2]
+        assert len(of) == 240 and sum(totals.values()) == sum(len(r[1].split()) + 1 for r in rows)
+        if targets:
+            two = [sum(sizes[s, q] for s in range(2)) for q in ("src39", "src38")]
+            assert abs(two[1] - 2 * two[0]) <= 3  # named sources past the largest keep their proportion
+            continue
+        served, whole = collections.Counter(), sum(totals.values())
+        for s in range(max(by_seq)):
+            for q in totals:
+                served[q] += sizes[s, q]
+                assert abs(served[q] - (s + 1) * 200 * totals[q] / whole) < 3
+    with pytest.raises(ValueError):
+        packing.pack(df, vocabulary(WORD_BPE), targets={"nowhere": 1})
+
+
+def test_tree_places_and_counts_agree():
+    totals = [9, 1, 4, 30, 2]
+    ways, whole = packing._ways(totals), sum(totals)
+    places = [packing._place_above(w, np.arange(t)).tolist() for w, t in zip(ways, totals)]
+    assert sorted(sum(places, [])) == list(range(whole))
+    for m in range(whole + 1):
+        own = [sum(x < m for x in p) for p in places]
+        assert [packing._served_below(w, m) for w in ways] == [(sum(own[:k]), own[k]) for k in range(5)]
+        assert all(abs(n - m * t / whole) < 2 for n, t in zip(own, totals))
+
+
 def test_marginals_are_those_of_the_whole_chain():
     rng = np.random.default_rng(0)
     trans, first = np.exp(rng.normal(size=(3, 3))), np.array([0, 0, 5, 155, 219, 220, 500])
