@@ -70,13 +70,12 @@ def label_eval(results: DataFrame, group: Sequence[str] = ("model",)) -> DataFra
 
 
 def map_parts(docs: DataFrame, key: str, text: str, fn: Callable[[pd.Series], pd.Series], combine: Callable[[Column], Column], size: int = 7000,
-              most: int = 35_000, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Apply a text function to 7000-character parts (the first 35000 characters, the operator's rule), then combine per
-    document in part order. Parts already in cache(hash, result) are not run again; returns (results, new cache rows)."""
-    n = F.least(F.length(text), F.lit(most))
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))
-    parts = docs.select(key, F.substring(F.col(text), 1, most).alias("t"), F.posexplode(starts).alias("part", "at"))
-    parts = parts.select(key, "part", F.substring(F.col("t"), F.col("at") + 1, F.lit(size)).alias("piece")).withColumn("hash", F.sha2("piece", 256))
+              most: int | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Apply a text function to 7000-character parts of the whole text (of its first `most` characters, if given), then combine
+    per document in part order. An empty text is one empty part. Parts already in cache(hash, result) are not run again; returns (results, new cache rows)."""
+    own = F.col(text) if most is None else F.substring(F.col(text), 1, most)
+    pieces = F.when(own == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(own, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))  # one pass, whatever the length
+    parts = docs.select(key, F.posexplode(pieces).alias("part", "piece")).withColumn("hash", F.sha2("piece", 256))
     todo = parts.select("hash", "piece").distinct() if cache is None else parts.select("hash", "piece").distinct().join(cache.select("hash"), "hash", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -84,7 +83,7 @@ def map_parts(docs: DataFrame, key: str, text: str, fn: Callable[[pd.Series], pd
             yield pd.DataFrame({"hash": pdf["hash"], "result": fn(pdf["piece"]).astype(str)})
     new = todo.mapInPandas(run, "hash string, result string")
     known = new if cache is None else cache.select("hash", "result").unionByName(new)
-    ordered = parts.join(known, "hash").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "result"))).alias("p"))  # at most most / size parts
+    ordered = parts.join(known, "hash").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "result"))).alias("p"))  # length / size parts
     return ordered.select(key, combine(F.transform("p", lambda s: s["result"])).alias("result")), new
 
 

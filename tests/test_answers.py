@@ -154,3 +154,13 @@ def test_choice_decision(spark):
 
 def test_safe_cut():
     assert safe_cut("hello NAME_0") == 6 and safe_cut("hello") == 5 and safe_cut("see NAME") == 4 and safe_cut("see NAME_001 ok") == 15 and safe_cut("I") == 0
+
+
+def test_map_parts_reads_whole_texts(spark):
+    long = "é\n😀x" * 25_001
+    docs = spark.createDataFrame([(1, long), (2, ""), (3, "y" * 7000), (4, "z" * 7001)], "k long, text string")
+    for most, want in ((None, {1: long, 2: "", 3: "y" * 7000, 4: "z" * 7001}), (35_000, {1: long[:35_000], 2: "", 3: "y" * 7000, 4: "z" * 7001})):
+        got, new = L.map_parts(docs, "k", "text", lambda s: s, lambda a: F.concat_ws("|", a), most=most)
+        assert {r.k: r.result for r in got.collect()} == {k: "|".join(v[i:i + 7000] for i in range(0, max(len(v), 1), 7000)) for k, v in want.items()}
+    whole, _ = L.map_parts(docs, "k", "text", lambda s: s, lambda a: F.concat_ws("", a))
+    assert {r.k: r.result for r in whole.collect()}[1] == long
