@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import chat, decontaminate, langid, lm, packing, simhash, substring, tokens, toxicity, vafile
+from gridloom.llm import chat, decontaminate, langid, lm, packing, rotcodes, simhash, substring, tokens, toxicity, vafile
 from gridloom.llm.tables import crc_fold, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -136,3 +136,26 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = crc_fold(F.col("doc_id"), 4)
     out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 2), keep=["doc_id"])
     return out.select("doc_id", F.coalesce(fold == 2, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every vector to others of its label with a cosine of 0.93 or more, and its component."""
+    out = rotcodes.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLES["op13_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x,
+         label IS NOT NULL AND coalesce(len(embedding), 0) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings),
+link AS (
+  SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND a.ok AND b.ok AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT reach.a, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, low.component_id, coalesce(v.vec_id = low.component_id, false) AS kept
+FROM v JOIN low ON low.a = v.r LEFT JOIN n ON n.a = v.r
+"""

@@ -87,3 +87,20 @@ def unigram(docs: list[tuple], learn) -> dict:
     c = Counter(w for d, ws in split.items() if learn(d) for w in ws)
     n, v = sum(c.values()), len(c)
     return {d: (len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in split.items()}
+
+
+def cosine_links(rows: list[tuple], least: float = 0.93) -> list[tuple]:
+    """(vec_id, n_links, component_id) per (vec_id, vector, label) row."""
+    ok = [label is not None and bool(v) and all(x is not None and math.isfinite(x) for x in v) and any(v) for _, v, label in rows]
+    norm = [math.sqrt(sum(x * x for x in v)) if good else 0 for good, (_, v, _) in zip(ok, rows)]
+    links = [[j for j, (_, w, m) in enumerate(rows) if i != j and ok[i] and ok[j] and label == m and len(v) == len(w)
+              and sum(x * y for x, y in zip(v, w)) / (norm[i] * norm[j]) >= least] for i, (_, v, label) in enumerate(rows)]
+    out = []
+    for i, (k, _, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(links[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        out.append((k, len(links[i]), min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)))
+    return out
