@@ -196,7 +196,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, key: str = "vec_id", v
     entries = own.filter(F.col("v").isNotNull()).groupBy("h", "label", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
     entries = stored(entries.withColumn("dim", F.size("v")).withColumn("e", F.monotonically_increasing_id()), "entries")
     sizes = entries.groupBy("label", "dim").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / F.lit(bucket)) - F.lit(1e-9))).cast("int").alias("bits"))
-    schema = T.StructType([T.StructField("e", T.LongType()), entries.schema["label"], *T._parse_datatype_string("dim int, copies long, vec binary, code binary, f double, keys array<long>").fields])
+    schema = T.StructType([T.StructField("e", T.LongType()), entries.schema["label"], *T.StructType.fromDDL("dim int, copies long, vec binary, code binary, f double, keys array<long>").fields])
     coded = entries.join(sizes, ["label", "dim"]).select("e", "label", "dim", "copies", "v", "bits").mapInArrow(_encode_rows(least, recall, kind), schema)
     coded = stored(coded, "codes")
     place = ["label", "dim", "band", "val"]

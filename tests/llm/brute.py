@@ -4,6 +4,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -104,3 +105,52 @@ def cosine_links(rows: list[tuple], least: float = 0.93) -> list[tuple]:
             todo += new
         out.append((k, len(links[i]), min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)))
     return out
+
+
+def lexical(docs: list[tuple], items: list[tuple], k: int = 10) -> list[tuple]:
+    """(item_id, rank, doc_id, score) for (doc_id, text) and (item_id, text) rows."""
+    def terms(t):
+        return re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", ascii_lower(t or ""))
+    held = [(d, Counter(terms(t))) for d, t in docs]
+    held = [(d, c, sum(c.values())) for d, c in held if c]
+    n_docs, length = len(held), sum(n for _, _, n in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    out = []
+    for item, text in items:
+        ask, got = Counter(terms(text)), []
+        for d, c, n in held:
+            m = 25 + 75 * n * n_docs // length
+            score = sum(k * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10 ** 9 * c[t] // (1000 * c[t] + 8 * m)) for t, k in ask.items() if c[t])
+            if score > 0:
+                got.append((d, score))
+        got.sort(key=lambda x: (-x[1], x[0] is not None, x[0] or 0))
+        out += [(item, i + 1, d, s) for i, (d, s) in enumerate(got[:k])]
+    return out
+
+
+def variants(docs: list[tuple], least: int = 6, occurrences: int = 5, every: int = 199, factor: int = 5) -> list[tuple]:
+    """(word, form, root, n, n_near, form_n) over (doc_id, text) rows."""
+    count = Counter()
+    for d, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = ascii_lower(run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % every == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            if len(run) >= least:
+                count[run] += 1
+    count = {w: n for w, n in count.items() if n >= occurrences}
+    letters = {c for w in count for c in w}
+    near = {}
+    for w in count:
+        edits = {w[:i] + c + w[i + 1:] for i in range(len(w)) for c in letters} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters} | {w[:i] + w[i + 1:] for i in range(len(w))}
+        near[w] = (edits - {w}) & count.keys()
+    best = {w: min(near[w], key=lambda x: (-count[x], x)) for w in count if near[w]}
+    form = {w: f for w, f in best.items() if count[f] >= factor * count[w]}
+    out = []
+    for w, n in count.items():
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n, len(near[w]), count[form[w]] if w in form else None))
+    return out
