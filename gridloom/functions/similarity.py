@@ -3,12 +3,13 @@ from __future__ import annotations
 
 import difflib
 import math
+import zlib
 from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaro_winkler_pair(a: str, b: str) -> float:
@@ -60,56 +61,119 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def least_shared(kind: str, floor: float, la: int, lb: int) -> int:
+PREFIX = 4  # letters of a common prefix that raise jaro_winkler
+RANKED = 4096  # letters or pairs of letters whose frequency is known; all others count as rarer
+
+
+def _jaro_floor(floor: float, same: int) -> float:
+    """Least jaro of a pair with so many equal first letters that reaches `floor` with the prefix bonus."""
+    return (floor - 0.1 * same) / (1 - 0.1 * same)
+
+
+def least_shared(kind: str, floor: float, la: int, lb: int, same: int = PREFIX) -> int:
     """Fewest characters (as a multiset) two strings of these lengths share when their similarity reaches `floor`."""
     if kind == "ratio":
         return max(1, math.ceil(floor * (la + lb) / 2 - 1e-9))
-    # a prefix of four lifts jaro to 1 - 0.6 * (1 - jaro); m/la + m/lb + 1 >= 3 * jaro
-    jaro = 1 - (1 - floor) / 0.6
-    return max(1, math.ceil((3 * jaro - 1) * la * lb / (la + lb) - 1e-9))
+    return max(1, math.ceil((3 * _jaro_floor(floor, same) - 1) * la * lb / (la + lb) - 1e-9))  # m/la + m/lb + 1 >= 3 * jaro
+
+
+def least_grams(floor: float, la: int, lb: int) -> int:
+    """Fewest pairs of neighbouring letters that two strings share when their ratio reaches `floor`: the matched letters lie
+    in blocks, and between two blocks a letter is left over on one side."""
+    need = least_shared("ratio", floor, la, lb)
+    return need - min(need, la + lb - 2 * need + 1)
 
 
 @lru_cache(maxsize=4096)
-def partner_lengths(kind: str, floor: float, la: int) -> tuple[tuple[int, int], ...]:
+def partner_lengths(kind: str, floor: float, la: int, same: int = PREFIX) -> tuple[tuple[int, int], ...]:
     """(partner length, least shared characters) for every length a similar partner can have."""
     out = []
     for lb in range(1, 4 * la + 8):
-        need = least_shared(kind, floor, la, lb)
+        need = least_shared(kind, floor, la, lb, same)
         if need <= min(la, lb):
             out.append((lb, need))
     return tuple(out)
 
 
-def keys_of(text: str, kind: str, floor: float) -> list[str]:
-    """Keys shared by every pair that can reach `floor` (prefix filter on character multisets).
-
-    Characters are numbered per repeat and put in one fixed order, rare bytes first. Two strings that share at least
-    `need` of them must share one character among the first (length - need + 1), or two among the first
-    (length - need + 2). Keys carry both lengths, so strings meet only partners of a length that can match."""
+def _numbered(parts: list[str], rank: dict[str, int]) -> list[str]:
+    """Parts made distinct by their repeat, rarest first; the order is the same for all strings."""
     seen: dict[str, int] = {}
     marks = []
-    for ch in text:
-        seen[ch] = seen.get(ch, 0) + 1
-        marks.append((seen[ch], ch))
-    order = sorted(((RARITY.get(ch, -1), ch, -k) for k, ch in marks))
-    tokens = [f"{ch}{-k}" for _, ch, k in order]
+    for x in parts:
+        seen[x] = seen.get(x, 0) + 1
+        marks.append((rank.get(x, -1), x, -seen[x]))
+    return [f"{x}{-k}" for _, x, k in sorted(marks)]
+
+
+def _combined(head: str, tokens: list[str], least: int, at_once: int) -> list[str]:
+    """Keys of a set that shares `least` tokens with its partners: they have `at_once` among their first ones in common."""
+    k = max(0, min(at_once, least))
+    return ["|".join((head, *c)) for c in combinations(tokens[:len(tokens) - least + k], k)]
+
+
+def keys_of(text: str, kind: str, floor: float, chars: dict[str, int], grams: dict[str, int]) -> list[str]:
+    """Keys shared by every pair that can reach `floor`: both lengths, and tokens among the rarest of each side.
+
+    For `ratio` the tokens are pairs of neighbouring letters, or letters where too few pairs must be shared. For
+    `jaro_winkler` they are letters, beside the equal first letters: a pair that has few of these needs a higher jaro."""
     la, out = len(text), []
-    for lb, need in partner_lengths(kind, floor, la):
-        size = f"{min(la, lb)}.{max(la, lb)}"
-        if need >= 2:
-            out += [f"{size}|{x}|{y}" for x, y in combinations(tokens[:la - need + 2], 2)]
+    letters = _numbered(list(text), chars)
+    if kind == "ratio":
+        pairs = _numbered([text[i:i + 2] for i in range(la - 1)], grams)
+        for lb, need in partner_lengths(kind, floor, la):
+            size, least = f"{min(la, lb)}.{max(la, lb)}", least_grams(floor, la, lb)
+            out += _combined(f"g{size}", pairs, least, 2) if least >= 2 else _combined(f"c{size}", letters, need, 2)
+        return out
+    for same in range(min(PREFIX, la) + 1):
+        rest = _numbered(list(text[same:]), chars)
+        lengths = partner_lengths(kind, floor, la, same)
+        if same >= 3:  # the first letters tell most pairs apart already
+            out += _combined(f"{same}{text[:same]}", rest, min((need for _, need in lengths), default=la) - same, PREFIX - same)
         else:
-            out += [f"{size}|{x}" for x in tokens[:la - need + 1]]
+            for lb, need in lengths:
+                out += _combined(f"{same}{text[:same]}|{min(la, lb)}.{max(la, lb)}", rest, need - same, 2)
     return out
 
 
-# Letters by how often English text uses them, rarest first; other characters count as rarer.
-RARITY = {ch: i for i, ch in enumerate("zqxjkvbpygfwmucldrhsnioate ")}
+def _bits(tokens: list[str]) -> tuple[int, int]:
+    """128 bits of a set of tokens, as two signed longs."""
+    x = 0
+    for t in tokens:
+        x |= 1 << (zlib.crc32(t.encode("utf-8", "surrogatepass")) & 127)
+    low, high = x & (1 << 64) - 1, x >> 64
+    return tuple(v - (1 << 64) if v >> 63 else v for v in (low, high))
+
+
+KEYED = "struct<keys: array<string>, c0: bigint, c1: bigint, g0: bigint, g1: bigint>"
 
 
-def candidate_keys(kind: str, floor: float):
-    """Column function: array of candidate keys for a similarity kind (`jaro_winkler` or `ratio`) and floor."""
-    @F.pandas_udf(ArrayType(StringType()))
-    def keys(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: [] if not v else keys_of(v, kind, floor))
+def candidate_keys(kind: str, floor: float, chars: dict[str, int], grams: dict[str, int]):
+    """Column function: the candidate keys of a string and the bits of its letters and of its pairs of letters."""
+    @F.pandas_udf(KEYED)
+    def keys(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in s:
+            if not v:
+                rows.append(([], 0, 0, 0, 0))
+            else:
+                rows.append((list(dict.fromkeys(keys_of(v, kind, floor, chars, grams))), *_bits(_numbered(list(v), {})), *_bits(_numbered([v[i:i + 2] for i in range(len(v) - 1)], {}))))
+        return pd.DataFrame(rows, columns=["keys", "c0", "c1", "g0", "g1"])
     return keys
+
+
+def may_reach(kind: str, floor: float, l: Column, r: Column, a: Column, b: Column) -> Column:
+    """Whether lengths, equal first letters and bits leave room for `floor`: every bit that differs stands for a token that
+    only one side has. Never false for a pair that reaches it."""
+    la, lb = F.length(l).cast("double"), F.length(r).cast("double")
+
+    def differ(x: str) -> Column:
+        return sum((F.bit_count(a[f"{x}{i}"].bitwiseXOR(b[f"{x}{i}"])) for i in (0, 1)), F.lit(0))
+    if kind == "ratio":
+        need = F.greatest(F.lit(1), F.ceil((la + lb) * (floor / 2) - 1e-9))
+        least = need - F.least(need, la + lb - 2 * need + 1)
+        return (need <= F.least(la, lb)) & (differ("c") <= la + lb - 2 * need) & (differ("g") <= la + lb - 2 - 2 * least)
+    jaro = F.lit(_jaro_floor(floor, 0))
+    for same in range(1, PREFIX + 1):
+        jaro = F.when((F.substring(l, 1, same) == F.substring(r, 1, same)) & (la >= same) & (lb >= same), _jaro_floor(floor, same)).otherwise(jaro)
+    need = F.greatest(F.lit(1), F.ceil((3 * jaro - 1) * la * lb / (la + lb) - 1e-9))
+    return (need <= F.least(la, lb)) & (differ("c") <= la + lb - 2 * need)

@@ -6,20 +6,39 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.functions.similarity import candidate_keys, jaro_winkler, sequence_ratio
+from gridloom.functions.similarity import RANKED, candidate_keys, jaro_winkler, may_reach, sequence_ratio
 from gridloom.functions.text import norm
 from gridloom.session import cut
 
 _SCORES = {"jaro_winkler": jaro_winkler, "ratio": sequence_ratio}
 
 
+def _ranks(strings: DataFrame, size: int) -> dict[str, int]:
+    """Letters or pairs of letters (`size`) by how many strings hold them, rarest first; the RANKED most frequent ones."""
+    parts = F.transform(F.sequence(F.lit(1), F.length("s") - (size - 1)), lambda i: F.substring("s", i, F.lit(size)))
+    held = strings.filter(F.length("s") >= size).select(F.explode(F.array_distinct(parts)).alias("x")).groupBy("x").count()
+    top = held.orderBy(F.desc("count"), "x").limit(RANKED).collect()  # at most RANKED rows
+    return {r["x"]: i for i, r in enumerate(reversed(top))}
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, kind: str, floor: float, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs (by..., l, r) of distinct strings among which are all that reach `floor`. Strings meet on sets of their rarest
+    tokens, as the strings at hand count them; what met is sifted by bits before it is sent on. Keys that many strings share
+    are split by the skew join."""
+    by = list(by)
+    a, b = cut(left.toDF(*by, "l").filter("l <> ''").distinct()), cut(right.toDF(*by, "r").filter("r <> ''").distinct())
+    both = a.select(F.col("l").alias("s")).union(b.select("r"))
+    keys = candidate_keys(kind, floor, _ranks(both, 1), _ranks(both, 2) if kind == "ratio" else {})
+    a, b = cut(a.withColumn("_a", keys("l"))), cut(b.withColumn("_b", keys("r")))
+    met = (a.select(*by, "l", F.col("_a").dropFields("keys").alias("_a"), F.explode("_a.keys").alias("_k"))
+           .join(b.select(*by, "r", F.col("_b").dropFields("keys").alias("_b"), F.explode("_b.keys").alias("_k")), [*by, "_k"]))
+    return met.filter(may_reach(kind, floor, F.col("l"), F.col("r"), F.col("_a"), F.col("_b"))).select(*by, "l", "r").distinct()
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, kind: str, floor: float, by: Sequence[str] = ()) -> DataFrame:
     """All (by..., l, r, score) with score >= floor for distinct strings in the last columns of `left` and `right`; `by`
     columns come first on both sides and must be equal."""
-    keys, by = candidate_keys(kind, floor), list(by)
-    a = left.toDF(*by, "l").filter("l <> ''").distinct().withColumn("_k", F.explode(keys("l")))
-    b = right.toDF(*by, "r").filter("r <> ''").distinct().withColumn("_k", F.explode(keys("r")))
-    pairs = a.join(b, [*by, "_k"]).select(*by, "l", "r").distinct()
+    pairs = candidate_pairs(left, right, kind, floor, by)
     return pairs.withColumn("score", F.round(_SCORES[kind]("l", "r"), 12)).filter(F.col("score") >= floor)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.operators import detect as D
 from gridloom.operators.profile import value_counts
+from gridloom.operators.places import matched_in_text
 from gridloom.operators.scale import top_per_key
 
 # Words of protected categories; classes that identify a person directly.
@@ -123,15 +124,6 @@ def value_heading(c: Column) -> Column:
     return ~(s.rlike(_PEOPLE) | (~land_heading(c) & (s.rlike(_GROUP) | s.rlike("name|address|phone|mobile|email"))))
 
 
-def matched_in_text(c: Column) -> Column:
-    """Whether a known value is looked for in prose: not years, and not numbers of fewer than four digits."""
-    v = F.regexp_replace(F.trim(c), r"\s*%$", "")
-    digits = F.length(F.regexp_replace(v, r"[^\d]", ""))
-    decimals = F.length(F.regexp_extract(v, r"\.(\d+)$", 1))
-    number = v.rlike(r"^[+-]?\d+(\.\d+)?$")
-    return (F.trim(c) != "") & ~F.trim(c).rlike(r"^(19|20)\d\d$") & (~number | (digits >= 4) | (decimals >= 4))
-
-
 def suggest_masks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mask suggestion and reason per column: the classifier's verdict, the heading, numeric measures and name shapes."""
     vc = value_counts(df, columns).filter("value is not null")

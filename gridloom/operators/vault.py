@@ -1,6 +1,5 @@
 """The vault (norm, value, class, prefix, code): building it, coding tables and texts, restoring, and leak checks.
-Values meet texts through an equi-join on word n-grams, so neither the vault nor a text is bounded by one regex; Spark
-broadcasts the vault when it is small and shuffles when it is not."""
+Values are found in texts by one scan (`places`), so neither the vault nor a text is bounded by one regex."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
@@ -8,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.text import norm
+from gridloom.operators.places import known_places, matched_in_text
 from gridloom.operators.scale import numbered
 
 # Code prefixes by class.
@@ -48,51 +48,12 @@ def build_vault(values: DataFrame, existing: DataFrame | None = None) -> DataFra
     return out.select("norm", "value", "class", "prefix", "number", code.alias("code"))
 
 
-# ------------------------------------------------------------------ finding known values in texts
+# ------------------------------------------------------------------ rewriting texts
 def _parts(c: Column) -> tuple[Column, Column]:
     """Words of a text and the gaps around them (one more gap than words)."""
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), F.split(c, WORD, -1)
 
 
-def _needles(vault: DataFrame, least: int = 1) -> DataFrame:
-    """Vault values as word runs: the core from first to last word, what stands before and after it, the word count."""
-    ok = vault.filter(F.length("value") >= least)
-    w = F.regexp_extract_all("value", F.lit(WORD), F.lit(0))
-    got = ok.withColumns({"size": F.size(w), "core": F.lower(F.regexp_replace(F.regexp_replace("value", r"(?U)^\W+|\W+$", ""), r"\s+", " ")),
-                          "pre": F.regexp_extract("value", r"(?U)^(\W*)", 1), "suf": F.regexp_extract("value", r"(?U)(\W*)$", 1)})
-    return got.filter("size > 0").select("core", "size", "pre", "suf", "code", "norm")
-
-
-def _boundary_ok(before: Column, after: Column, has_next: Column) -> Column:
-    """A value is not part of an address or a longer name: no @ or dot right before, no @ or `.word` right after."""
-    return (~before.endswith("@") & ~before.endswith(".") & ~after.startswith("@")
-            & ~((after == ".") & has_next) & ~after.startswith(".@"))
-
-
-def known_spans(docs: DataFrame, key: str, text: str, vault: DataFrame, least: int = 1) -> DataFrame:
-    """Every known value in every text: (key, at, size, code, pre, suf), `at` counting words; overlaps are not resolved.
-
-    First the words of the texts meet the first words of the values, which leaves few places; only there are word runs of
-    the right length built, checked at their borders and joined with the values themselves."""
-    needles = _needles(vault, least)
-    heads = needles.select(F.regexp_extract("core", WORD, 0).alias("w1"), "size").distinct()
-    words = docs.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).alias("at", "w1"))
-    places = words.join(heads, "w1").groupBy(key).agg(F.collect_list(F.struct("at", "size")).alias("places"))  # places in one text
-    d = docs.select(key, F.col(text).alias("_t")).join(places, key)
-    g = _parts(F.col("_t"))[1]
-    d = d.select(key, "places", g.alias("g"), _interleaved(F.col("_t")).alias("x"))
-    inside = F.filter("places", lambda p: p["at"] + p["size"] < F.size("g"))
-    runs = F.transform(inside, lambda p: F.struct(
-        p["at"].alias("at"), p["size"].alias("size"),
-        F.lower(F.regexp_replace(F.array_join(F.slice("x", 2 * p["at"] + 2, 2 * p["size"] - 1), ""), r"\s+", " ")).alias("core"),
-        F.get("g", p["at"]).alias("before"), F.get("g", p["at"] + p["size"]).alias("after"), (p["at"] + p["size"] + 1 < F.size("g")).alias("more")))
-    ok = d.select(key, F.inline(runs)).filter(_boundary_ok(F.col("before"), F.col("after"), F.col("more")) | F.col("before").endswith("+"))
-    hit = ok.join(needles.drop("norm"), ["core", "size"])
-    around = F.col("before").endswith(F.col("pre")) & F.col("after").startswith(F.col("suf"))
-    glued = (F.col("pre") != "") & (F.length("before") == F.length("pre")) & (F.col("at") > 0)
-    return hit.filter(around & ~glued).select(key, "at", "size", "code", "pre", "suf")
-
-
 def _interleaved(text: Column) -> Column:
     """gap, word, gap, word, ..., gap: the whole text as an array; word i stands at place 2 i + 2 (1-based)."""
     w, g = _parts(text)
@@ -145,19 +106,22 @@ def _apply(docs: DataFrame, key: str, text: str, runs: DataFrame | None, exact:
 
 
 def redact(docs: DataFrame, key: str, text: str, vault: DataFrame, kept: DataFrame | None = None, code: str = "code", least: int = 1,
-           exact: DataFrame | None = None) -> DataFrame:
-    """Known values replaced by their codes: whole words, any case, longest first; `kept(norm)` values stay clear. `exact`
-    spans (key, start, end, code), as a detector found them, are replaced wherever they stand. Adds `redacted`, `changes`."""
+           exact: DataFrame | None = None, never: Sequence[str] = ()) -> DataFrame:
+    """Known values replaced by their codes: whole words, any case, longest first, in web links also joined by _ + - or %20,
+    decimals also with more zeros. Short numbers, years and the words of `never` stay, and `kept(norm)` values stay clear.
+    `exact` spans (key, start, end, code), as a detector found them, are replaced wherever they stand. Adds `redacted`,
+    `changes`."""
     v = vault.join(kept.select("norm").distinct(), "norm", "left_anti") if kept is not None else vault
     v = v if code == "code" else v.withColumn("code", F.col(code))
-    return _apply(docs, key, text, known_spans(docs, key, text, v, least), exact)
+    spans = known_places(docs, key, text, v, least, never)
+    return _apply(docs, key, text, None, spans if exact is None else spans.unionByName(exact.select(*spans.columns)))
 
 
-def leaks(docs: DataFrame, key: str, text: str, vault: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, vault: DataFrame, never: Sequence[str] = ()) -> DataFrame:
     """Known values still in outgoing texts, codes taken out and JSON escapes undone first; must be empty."""
     plain = F.regexp_replace(F.regexp_replace(F.col(text), CODE, " "), r"\\[nrt]", " ")
     plain = F.replace(F.replace(plain, F.lit('\\"'), F.lit('"')), F.lit("\\/"), F.lit("/"))
-    return known_spans(docs.select(key, plain.alias("_t")), key, "_t", vault).groupBy(key, "code").agg(F.count("*").alias("n"))
+    return known_places(docs.select(key, plain.alias("_t")), key, "_t", vault, never=never).groupBy(key, "code").agg(F.count("*").alias("n"))
 
 
 def replace_codes(docs: DataFrame, key: str, text: str, codes: DataFrame) -> DataFrame:
@@ -178,9 +142,10 @@ def restore(docs: DataFrame, key: str, text: str, vault: DataFrame) -> DataFrame
 
 
 # ------------------------------------------------------------------ tables
-def cells(df: DataFrame, key: str, columns: Mapping[str, str], table: str = "") -> DataFrame:
-    """Direct values of a table as (value, class, pos) with pos = (table, column place, key)."""
-    rows = [F.struct(F.col(c).cast("string").alias("value"), F.lit(k).alias("class"),
+def cells(df: DataFrame, key: str, columns: Mapping[str, str | Sequence[str]], table: str = "") -> DataFrame:
+    """Direct values of a table as (value, class, pos) with pos = (table, column place, key). A column of several classes is
+    mixed: its cells are classed by their shape, the first class being that of the rest."""
+    rows = [F.struct(F.col(c).cast("string").alias("value"), (F.lit(k) if isinstance(k, str) else mixed_class(F.col(c).cast("string"), k[0]) if len(k) > 1 else F.lit(k[0])).alias("class"),
                      F.struct(F.lit(table).alias("t"), F.lit(i).alias("c"), F.col(key).alias("k")).alias("pos")) for i, (c, k) in enumerate(columns.items())]
     return df.select(F.inline(F.array(*rows))).filter(F.col("value").isNotNull())
 
@@ -198,10 +163,26 @@ def coded(df: DataFrame, columns: Sequence[str], vault: DataFrame) -> DataFrame:
     return df
 
 
-def pseudonymise(df: DataFrame, key: str, classes: Mapping[str, str], vault: DataFrame) -> DataFrame:
+NOT_CODED = ("none", "record_id_non_pii", "age", "dob", "gps", "free_text_with_pii")
+
+
+def main_class(k: str | Sequence[str] | None) -> str:
+    """What decides how a column is treated: free text, birth dates and positions before all, else its first class."""
+    many = [k] if isinstance(k, str) else list(k or ())
+    return next((x for x in ("free_text_with_pii", "dob", "gps") if x in many), many[0] if many else "none")
+
+
+def direct_columns(classes: Mapping[str, str | Sequence[str] | None]) -> dict[str, str | Sequence[str]]:
+    """Columns whose cells are coded whole, with their classes."""
+    return {c: k for c, k in classes.items() if main_class(k) not in NOT_CODED}
+
+
+def pseudonymise(df: DataFrame, key: str, classes: Mapping[str, str | Sequence[str] | None], vault: DataFrame) -> DataFrame:
     """Table coded by column class: direct columns whole, birth dates to the year, positions to two decimals, free text by
-    known values; other columns unchanged. The vault must already hold the values of all direct columns."""
-    direct = [c for c, k in classes.items() if k not in ("none", "record_id_non_pii", "age", "dob", "gps", "free_text_with_pii")]
+    known values; other columns unchanged. A column of several classes (e-mail or phone) is coded cell by cell. The vault must
+    already hold the `cells` of all direct columns."""
+    direct = list(direct_columns(classes))
+    classes = {c: main_class(k) for c, k in classes.items()}
     out = coded(df, direct, vault)
     for c, k in classes.items():
         if k == "dob":
@@ -301,7 +282,6 @@ def redact_near(docs: DataFrame, key: str, text: str, vault: DataFrame, floor: f
     characters of its length and a ratio of 0.85, from a unique code. Distinct fragments meet the forms through exact
     similarity keys, then the spans are chosen and the text rebuilt as for known values."""
     from gridloom.operators.match import similar_pairs
-    from gridloom.operators.policy import matched_in_text
     d = docs.select(key, _parts(F.col(text))[0].alias("w"), _interleaved(F.col(text)).alias("x")).filter(F.size("w") > 0)
 
     def run_of(n: int) -> Column:

@@ -195,6 +195,18 @@ def _(t):
     return got.select("name", "born", "lat", "age", "note")
 
 
+@query("prv13b_mixed_columns", """
+with c as (select c_custkey k, case when c_custkey % 3 = 0 then 'c' || c_custkey || '@mail.org' when c_custkey % 3 = 1 then '98' || lpad(c_custkey::varchar, 8, '0') else c_name end as v from customer),
+n as (select *, case k % 3 when 0 then 'EMAIL' when 1 then 'PHONE' else 'NAME' end p, row_number() over (partition by k % 3 order by k) n from c)
+select k as id, p || '_' || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') as contact, k % 2 as plain from n""")
+def _(t):
+    k = F.col("c_custkey")
+    v = F.when(k % 3 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit("@mail.org"))).when(k % 3 == 1, F.concat(F.lit("98"), F.lpad(k.cast("string"), 8, "0"))).otherwise(F.col("c_name"))
+    d = t.customer.select(k.alias("id"), v.alias("contact"), (k % 2).alias("plain"))
+    classes = {"contact": ["person_name", "email", "phone"], "plain": "none"}
+    return V.pseudonymise(d, "id", classes, cut(V.build_vault(V.cells(d, "id", V.direct_columns(classes), "people"))))
+
+
 @query("prv14_sweep_kept", """select c_custkey, '98' || lpad(c_custkey::varchar, 8, '0') as value from customer where c_custkey % 3 = 0""")
 def _(t):
     k = F.col("c_custkey")
@@ -232,6 +244,23 @@ def _(t):
     return o.select("o_orderkey", P.matched_in_text(F.col("o_orderkey").cast("string")).alias("whole"), P.matched_in_text(F.col("o_totalprice").cast("string")).alias("price"))
 
 
+_LINKS_SQL = """
+with n as (select lower(p_name) norm, 'PLACE_' || lpad(row_number() over (order by min(p_partkey))::varchar, 3, '0') code from part group by 1),
+m as (select p_retailprice price, row_number() over (order by min(p_partkey)) r from part group by 1), c as (select price, 'NUMBER_' || lpad(r::varchar, greatest(3, length(r::varchar))::int, '0') code from m),
+x as (select p_partkey, case when p_name = 'hot gear' then replace(p_name, ' ', '_') else n.code end as a, case when p_name = 'hot gear' then upper(replace(p_name, ' ', '%20')) else n.code end as b, c.code as d,
+ case when p_name = 'hot gear' then 0 else 2 end + 1 as k from part join n on norm = lower(p_name) join c on c.price = p_retailprice)
+"""
+
+
+@query("prv18b_links_and_numbers", _LINKS_SQL + """select p_partkey, 'see https://x.org/wiki/' || a || '?q=' || b || ' for ' || d || ', in 1998 3 of 12' as redacted, k as changes from x""")
+def _(t):
+    d = t.part.select("p_partkey", "p_name", F.col("p_retailprice").cast("string").alias("price"))
+    vault = cut(V.build_vault(V.cells(d, "p_partkey", {"p_name": "village", "price": "long_number"}, "part")))
+    short = t.spark.createDataFrame([("1998", "1998", "long_number", "NUMBER", 900001, "NUMBER_900001"), ("12", "12", "long_number", "NUMBER", 900002, "NUMBER_900002")], vault.schema)
+    text = F.concat(F.lit("see https://x.org/wiki/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("?q="), F.upper(F.replace("p_name", F.lit(" "), F.lit("%20"))), F.lit(" for "), F.col("price"), F.lit("0, in 1998 3 of 12"))
+    return V.redact(d.select("p_partkey", text.alias("text")), "p_partkey", "text", vault.unionByName(short), never=["hot gear"]).select("p_partkey", "redacted", "changes")
+
+
 @query("prv19_leak_check", f"""select o_orderkey, {_CODE_SQL} code, 1 as n from orders join customer on o_custkey = c_custkey where o_orderkey % 4 = 0""")
 def _(t):
     vault = cut(_name_vault(t))

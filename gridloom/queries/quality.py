@@ -8,6 +8,7 @@ from gridloom.functions import numbers as N
 from gridloom.functions import registry as U
 from gridloom.functions import similarity as SIM
 from gridloom.functions import text as X
+from gridloom.operators import drift as D
 from gridloom.operators import labels as L
 from gridloom.operators import quality as Q
 from gridloom.operators import records as R
@@ -100,6 +101,24 @@ def _(t):
     return f.select("what", "name", "severity").unionByName(s)
 
 
+@query("dq6b_tables_drift", """
+with x as (select 1 from orders having count(*) > 0)
+select 'part' as "table", 'missing table' as what, 'part' as name, 2 as severity from x
+union all select 'customer', 'renamed table', 'clients', 1 from x union all select 'customer', 'renamed column', 'c_acctbal', 1 from x union all select 'customer', 'new value', 'segment', 1 from (select distinct c_mktsegment from customer) where c_mktsegment <> 'BUILDING'
+union all select 'customer', 'renamed column', 'c_mktsegment', 1 from x union all select 'customer', 'renamed column', 'c_name', 1 from x
+union all select 'orders', 'missing column', 'o_orderstatus', 2 from x union all select 'orders', 'new column', 'note', 1 from x union all select 'orders', 'parse rate', 'o_totalprice', 2 from x
+union all select 'lines', 'new table', 'lines', 1 from x union all select 'all', 'status', 'drift', 2 from x""")
+def _(t):
+    old = {"customer": t.customer.drop("c_nationkey"), "orders": t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority"), "part": t.part, "supplier": t.supplier}
+    family = D.teach(old, kinds={"orders": {"o_totalprice": "number"}}, values={"customer": {"c_mktsegment": ["BUILDING"]}}, used={"orders": ["o_orderstatus"]})
+    now = {"clients": t.customer.select("c_custkey", F.col("c_name").alias("person"), F.col("c_acctbal").alias("saldo"), F.col("c_mktsegment").alias("segment")),
+           "orders": t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice").cast("string")).otherwise("none given").alias("o_totalprice"), "o_orderpriority", F.lit("x").alias("note")),
+           "supplier": t.supplier, "lines": t.lineitem}
+    f = D.contracts(t.spark, now, family)
+    s = Q.status(f).select(F.lit("all").alias("table"), F.lit("status").alias("what"), F.col("status").alias("name"), F.lit(2).alias("severity"))
+    return f.select("table", "what", "name", "severity").unionByName(s)
+
+
 @query("dq7_plausibility", """select 'growth_percent' as "column", 'outside percent range' issue from orders having max(o_totalprice) > 100.5 union all select 'flat', 'one value in every row' from orders having count(*) > 3""")
 def _(t):
     d = t.orders.select(F.col("o_totalprice").alias("growth_percent"), F.lit(7).alias("flat"), F.col("o_totalprice").alias("price_ratio"), (F.col("o_custkey") % 90).alias("share"))

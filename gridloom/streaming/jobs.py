@@ -15,6 +15,7 @@ from gridloom.operators.detect import detect, exploded
 from gridloom.operators.scale import numbered
 from gridloom.session import cut
 from gridloom.streaming.sinks import committed, newest, open_sink, run_available, write_batch
+from gridloom.streaming.snapshots import ROWS_PER_BUCKET, Snapshots
 
 
 # ------------------------------------------------------------------ ST1
@@ -130,31 +131,28 @@ def stream_redact(messages: DataFrame, out: str, start: DataFrame, kind: str = "
 
 
 # ------------------------------------------------------------------ ST5
-def stream_once(actions: DataFrame, out: str, run: Callable[[DataFrame], DataFrame], late: str = "1 day") -> DataFrame:
-    """Each action key runs once: repeats within the watermark are dropped by the state store, older ones by an anti join
-    with the finished keys; keys count as done only when the batch's output is written."""
+def first_of(rows: DataFrame, keys: list[str], at: str | None = None, keep: str | None = None) -> DataFrame:
+    """Rows whose key was not seen before. Keys are held in the state store, so a batch looks its own keys up and reads no
+    earlier output. With `keep`, a key is forgotten that long after its time in column `at`."""
+    return rows.dropDuplicates(keys) if keep is None else rows.withWatermark(at, keep).dropDuplicatesWithinWatermark(keys)
+
+
+def stream_once(actions: DataFrame, out: str, run: Callable[[DataFrame], DataFrame], keep: str | None = None) -> DataFrame:
+    """Each action key runs once: the state store knows the keys, and a key counts as done only when the batch that ran it is
+    committed, after its output is written. Keys are kept for ever, or for `keep` after their time t."""
     spark = actions.sparkSession
     open_sink(spark, out, "key string, result string")
-
-    def each(batch: DataFrame, n: int) -> None:
-        done = committed(spark, out, before=n).select("key")
-        write_batch(run(batch.join(done, "key", "left_anti")).select("key", "result"), out, n)
-    run_available(actions.withWatermark("t", late).dropDuplicatesWithinWatermark(["key"]), each, out)
+    run_available(first_of(actions, ["key"], "t", keep), lambda batch, n: write_batch(run(batch).select("key", "result"), out, n), out)
     return committed(spark, out).drop("batch")
 
 
 # ------------------------------------------------------------------ ST6
-def stream_new_parts(requests: DataFrame, out: str, late: str = "1 day") -> DataFrame:
-    """Message parts (t, app, parts) that were not logged before for that app; state is bounded by the watermark."""
+def stream_new_parts(requests: DataFrame, out: str, keep: str | None = None) -> DataFrame:
+    """Message parts (t, app, parts) that were not logged before for that app, by digest."""
     spark = requests.sparkSession
     open_sink(spark, out, "t timestamp, app string, digest string, part string")
     parts = requests.select("t", "app", F.explode("parts").alias("part")).withColumn("digest", F.sha2("part", 256))
-    fresh = parts.withWatermark("t", late).dropDuplicatesWithinWatermark(["app", "digest"])
-
-    def each(batch: DataFrame, n: int) -> None:
-        had = committed(spark, out, before=n).select("app", "digest")
-        write_batch(batch.join(had, ["app", "digest"], "left_anti").select("t", "app", "digest", "part"), out, n)
-    run_available(fresh, each, out)
+    run_available(first_of(parts, ["app", "digest"], "t", keep), lambda batch, n: write_batch(batch.select("t", "app", "digest", "part"), out, n), out)
     return committed(spark, out).drop("batch")
 
 
@@ -165,17 +163,31 @@ def quota_counts(calls: DataFrame, limit: int, late: str = "1 day") -> DataFrame
     return g.select(F.to_date("window.start").alias("day"), "key", "n", (F.col("n") > limit).alias("over_limit"))
 
 
-def stream_quota(calls: DataFrame, out: str, limit: int) -> DataFrame:
+def stream_quota(calls: DataFrame, out: str, limit: int, days: int | None = None) -> DataFrame:
     """Exact daily limit: calls (t, key, id) in time order are accepted until the limit of their day; the rest are refused.
-    Each batch numbers its calls with a distributed sort and adds what earlier batches accepted."""
+    A batch numbers its calls with a distributed sort and adds what earlier batches accepted: a snapshot table of one count
+    per key and day, of which it reads the buckets of its own keys. Counts older than `days` before the newest day of a
+    rewritten bucket are dropped there, when given."""
     spark = calls.sparkSession
     open_sink(spark, out, "day date, key string, id bigint, accepted boolean")
+    counts = Snapshots(spark, f"{out}/_counts", ["day", "key"])
+    counts.create(spark.createDataFrame([], "day date, key string, had bigint"))
 
     def each(batch: DataFrame, n: int) -> None:
-        had = committed(spark, out, before=n).filter("accepted").groupBy("day", "key").agg(F.count("*").alias("_had"))
-        placed = numbered(batch.withColumn("day", F.to_date("t")).select("day", "key", "t", "id"), ["day", "key"], [F.col("t"), F.col("id")], "_rn")
-        got = placed.join(had, ["day", "key"], "left")
-        write_batch(got.select("day", "key", "id", (F.col("_rn") + F.coalesce("_had", F.lit(0)) <= limit).alias("accepted")), out, n)
+        now = cut(batch.withColumn("day", F.to_date("t")).select("day", "key", "t", "id"))
+        own = now.select("day", "key").distinct()
+        at = [g for g in counts.generations() if (counts.manifest(g)["batch"]) < n][-1]  # a retried batch sees what its first try saw
+        had = counts.read_of(own, at).join(own, ["day", "key"], "left_semi")
+        got = numbered(now, ["day", "key"], [F.col("t"), F.col("id")], "_rn").join(had, ["day", "key"], "left")
+        done = got.select("day", "key", "id", (F.col("_rn") + F.coalesce("had", F.lit(0)) <= limit).alias("accepted"))
+        write_batch(done, out, n)
+        more = spark.read.parquet(f"{out}/batch={n}").filter("accepted").groupBy("day", "key").agg(F.count("*").alias("had"))
+
+        def summed(old: DataFrame) -> DataFrame:
+            both = old.unionByName(more).groupBy("day", "key").agg(F.sum("had").alias("had"))
+            return both if days is None else both.filter(F.col("day") >= F.date_sub(F.lit(now.agg(F.max("day")).first()[0]), days))
+        counts.change(own, summed, n)
+        counts.vacuum()
     run_available(calls, each, out)
     return committed(spark, out).drop("batch")
 
@@ -199,36 +211,28 @@ def stream_skip_known(inputs: DataFrame, out: str, version: int, work: Callable[
     """Inputs (id, text) whose content was already processed under this vault version are not processed again."""
     spark = inputs.sparkSession
     open_sink(spark, out, "hash string, version int, result string")
-
-    def each(batch: DataFrame, n: int) -> None:
-        h = batch.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["hash"])
-        had = committed(spark, out, before=n).filter(F.col("version") == version).select("hash")
-        write_batch(work(h.join(had, "hash", "left_anti")).select("hash", F.lit(version).alias("version"), "result"), out, n)
-    run_available(inputs, each, out)
+    fresh = first_of(inputs.withColumn("hash", F.sha2("text", 256)).withColumn("version", F.lit(version)), ["hash", "version"])
+    run_available(fresh, lambda batch, n: write_batch(work(batch).select("hash", "version", "result"), out, n), out)
     return committed(spark, out).drop("batch")
 
 
 # ------------------------------------------------------------------ ST10
-def stream_invalidate(changes: DataFrame, derived: DataFrame, out: str, buckets: int = 16) -> DataFrame:
-    """Changed files (id) lose their derived rows (id, ...). Derived rows live in hash buckets, one folder per generation
-    and bucket; a batch rewrites only the buckets that hold a changed id."""
-    spark = changes.sparkSession
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-    d = derived.withColumn("bucket", bucket)
-    d.repartition("bucket").write.partitionBy("bucket").parquet(f"{out}/generation=-1")
-
-    def current(before: int | None = None) -> DataFrame:
-        every = spark.read.parquet(out)
-        every = every if before is None else every.filter(F.col("generation") < before)
-        newest_gen = every.groupBy("bucket").agg(F.max("generation").alias("generation"))
-        return every.join(newest_gen, ["bucket", "generation"])
+def stream_invalidate(changes: DataFrame, derived: DataFrame, out: str, rows_per_bucket: int = ROWS_PER_BUCKET, keep: int = 2) -> DataFrame:
+    """Changed files (id) lose their derived rows (id, ...). Derived rows are a snapshot table keyed by id: `derived` fills it
+    when it is not there yet, a batch rewrites only the buckets that hold a changed id, and folders that the newest `keep`
+    generations do not name are removed."""
+    table = Snapshots(changes.sparkSession, f"{out}/table", ["id"], rows_per_bucket)
+    table.create(derived)
 
     def each(batch: DataFrame, n: int) -> None:
-        gone = cut(batch.select("id").distinct().withColumn("bucket", bucket))
-        touched = current(before=n).join(gone.select("bucket").distinct(), "bucket", "left_semi")
-        kept = touched.join(gone.select("id"), "id", "left_anti").drop("generation")
-        # a bucket that loses all its rows keeps one marker row, so that its older generation is not read again
-        marks = gone.select("bucket").distinct().select(*[F.col("bucket") if c == "bucket" else F.lit(None).cast(t).alias(c) for c, t in kept.dtypes])
-        kept.unionByName(marks).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/generation={n}")
+        gone = cut(batch.select("id").filter("id is not null").distinct())
+        table.change(gone, lambda rows: rows.join(gone, "id", "left_anti"), n)
+        table.vacuum(keep)
     run_available(changes, each, out)
-    return current().filter("id is not null").drop("bucket", "generation")
+    return table.read()
+
+
+def derive_again(spark: SparkSession, out: str, rows: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> list[int]:
+    """Freshly derived rows take the place of those of the same ids, between runs of the stream. Returns the buckets."""
+    rows = cut(rows)
+    return Snapshots(spark, f"{out}/table", ["id"], rows_per_bucket).change(rows, lambda old: old.join(rows.select("id").distinct(), "id", "left_anti").unionByName(rows))

@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 START = -1
+_STATE = "org.apache.spark.sql.execution.streaming.state"
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": f"{_STATE}.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+_PLAIN = {"spark.sql.streaming.stateStore.providerClass": f"{_STATE}.HDFSBackedStateStoreProvider"}  # Spark's default
 
 
 def open_sink(spark: SparkSession, path: str, schema: str) -> None:
@@ -26,7 +29,11 @@ def committed(spark: SparkSession, path: str, before: int | None = None) -> Data
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], out: str, mode: str = "append") -> None:
     """Run a stream over everything that is there now, batch by batch, and wait for its end. Progress and state are kept
-    beside the sink, so a later run goes on with the next batch number and sees only what is new."""
+    beside the sink, so a later run goes on with the next batch number and sees only what is new. State lies in RocksDB, on
+    disk and uploaded by its changes, unless the session names another store."""
+    for name, value in STATE_STORE.items():
+        if stream.sparkSession.conf.get(name, None) in (None, _PLAIN.get(name)):
+            stream.sparkSession.conf.set(name, value)
     q: StreamingQuery = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint")
                          .trigger(availableNow=True).foreachBatch(each).start())
     q.awaitTermination()
