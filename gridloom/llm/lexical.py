@@ -10,8 +10,8 @@ takes every document whose bound reaches it. All these are scored exactly from t
 is not proven to rank lower.
 
 One scan of the texts makes the signatures and counts documents per term. It counts the terms that pass a fixed bitmap of
-1 MB over the items' terms, and decides on the terms' bytes. Items meet the signatures in blocks, joined by shard. Texts to
-be scored are picked by a bitmap of the same size and then joined by row id. A text of over 2^20 / BITS keys has a full
+1 MB over the items' terms, and decides on the terms' bytes. Items meet the signatures in blocks: broadcast up to ASK_BYTES,
+joined by shard beyond. Texts to be scored are picked by a bitmap of the same size and then joined by row id. A text of over 2^20 / BITS keys has a full
 signature and is scored exactly for most items.
 
 Score: sum over an item's terms, repeats included, of w * ((10^9 * tf) div (1000 * tf + 8 * m)), m = 25 + (75 * n * N) div L,
@@ -40,6 +40,7 @@ STEPS = (1, 2, 3, 5, 9, 17, 33, 65, 129)  # least tf of each step
 DOCS, AREA = 512, 1 << 23  # documents and bits of a block
 ENTRIES = 1 << 14  # (item, term) pairs of a block of items
 SIEVE = 1 << 23  # bits of a bitmap sent to every task
+ASK_BYTES = 8 << 20  # of items that are broadcast; more are joined by shard
 _TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -273,14 +274,18 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, first: int = 40, key:
     weight = F.floor(1000 * F.log(F.lit(float(2 * n_docs + 2)) / (2 * F.coalesce("df", F.lit(0)) + 1).cast("double"))).cast("long")
     weighted = terms.join(counted, "term", "left").withColumn("kw", F.col("k") * weight).filter("kw > 0")
     weighted = stored(weighted.groupBy("q").agg(F.collect_list(F.struct("term", "h", "kw")).alias("terms")), "weights")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = blocks_.withColumn("shard", F.pmod(F.xxhash64("r"), F.lit(shards)))
 
     def bounds(floors: DataFrame, first: int | None) -> DataFrame:
         ask = floors.select("q", F.transform("terms", lambda t: F.struct(t["h"].alias("h"), t["kw"].alias("kw"))).alias("terms"), "floor")
         ask = stored(ask.mapInArrow(_ask_rows, "q binary, terms binary, h binary, kw binary, floor binary"), "asks")
-        ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-        return placed.join(ask, "shard").drop("shard").mapInArrow(_bound_rows(n_docs, length, first), "q long, r long, bound long")
+        size = ask.agg(F.sum(F.octet_length("h") + F.octet_length("kw") + F.octet_length("q"))).first()[0] or 0
+        if size <= ASK_BYTES:
+            met = blocks_.crossJoin(F.broadcast(ask))  # the items fit every task: signatures stay where they are
+        else:
+            shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            ask = ask.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+            met = blocks_.withColumn("shard", F.pmod(F.xxhash64("r"), F.lit(shards))).hint("merge").join(ask, "shard").drop("shard")
+        return met.mapInArrow(_bound_rows(n_docs, length, first), "q long, r long, bound long")
 
     schema = T.StructType([base.schema["doc"], *T.StructType.fromDDL("r long, q long, score long").fields])
 

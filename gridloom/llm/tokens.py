@@ -16,12 +16,11 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.arrays import LOWER, SPACE, Words, blocks, spaced
+from gridloom.llm.arrays import LOWER, SPACE, Words, blocks, distinct_words, spaced
 from gridloom.llm.tables import ready
 
 MEMO = 300_000  # distinct pre-tokens that a worker remembers; then it starts anew
@@ -254,9 +253,7 @@ class Encoder:
             return np.zeros(0, self.kind), np.zeros(w.texts, np.int64)
         if self.by_unit:
             data, w, whole = self._units(data, w)
-        codes, distinct = pd.factorize(w.hashes())
-        first = np.zeros(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        codes, first = distinct_words(w)
         line, memo = data.tobytes(), self.memo
         names = [line[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())]
         new = [(x, k) for x, k in zip(names, whole[first].tolist()) if x not in memo]

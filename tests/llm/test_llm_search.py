@@ -33,8 +33,9 @@ def corpus(seed, n=150):
     return rows, items
 
 
-@pytest.mark.parametrize("first", [1, 40])
-def test_search_ranks_like_all_documents(spark, first):
+@pytest.mark.parametrize("first,broadcast", [(1, 0), (40, 8 << 20)])
+def test_search_ranks_like_all_documents(spark, monkeypatch, first, broadcast):
+    monkeypatch.setattr(lexical, "ASK_BYTES", broadcast)
     rows, items = corpus(3)
     rows += [(3000, None), (3001, ""), (3002, " \t-- "), (3003, "a " * 5000 + "zz7 b"), (3004, "solo"), rows[5], rows[5]]
     items += [(50, None), (51, "..."), (52, "nowhere"), (52, "nowhere a"), (None, "b C"), items[0], (53, " ".join(f"w{i} a" for i in range(3000)))]
