@@ -31,6 +31,7 @@ from gridloom.llm.tables import ready
 RADIUS = 19  # a similarity of 0.8 is 9.7 bits apart on average, with a deviation of 2.9
 BLOCKS = 5
 ITEMS, ITEM_BYTES = 2048, 4 << 20  # of one group
+WINDOWS = 1 << 15  # windows that are fingerprinted at once
 
 
 def _grams(words: np.ndarray, size: int) -> np.ndarray:
@@ -127,6 +128,33 @@ def _hit_rows(ids: list, texts: list[str], shingle: int, least: float, radius: i
     return rows
 
 
+def _starts(at: np.ndarray, n: int, total: int) -> np.ndarray:
+    """Starts of the windows of n shingles that hold one of the shingles `at`: the union of runs, each place once."""
+    edge = np.zeros(total + 1, np.int32)
+    np.add.at(edge, np.maximum(at - n + 1, 0), 1)
+    np.add.at(edge, at + 1, -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+
+def _best_of(items: Items, grams: np.ndarray, text_of: np.ndarray, first: np.ndarray, start: np.ndarray, count: np.ndarray, m: int, k: int, least: float, best: dict) -> None:
+    """Compare a slice of windows of one size with the items of that size; windows of the same shingles are compared once."""
+    lo, hi = int(start.min()), int((start + count).max())
+    own = grams[lo:hi]
+    window, item = items.near(_fingerprints(own, start - lo, count), np.full(len(start), m))
+    if not len(window):
+        return
+    same = run_hashes(own, start[window] - lo, start[window] - lo + count[window], 1).tolist()
+    known: dict[tuple[int, int], float] = {}
+    for i, j, h in zip(window.tolist(), item.tolist(), same):
+        s, n = int(start[i]), int(count[i])
+        got = known.get((h, j))
+        if got is None:
+            got = known[h, j] = similarity(grams[s:s + n], items.grams[j])
+        key = (int(text_of[s]), j)
+        if got >= least and (key not in best or got > best[key][0]):
+            best[key] = (got, s - int(first[key[0]]), n + k - 1)
+
+
 def _block_hits(items: Items, w: Words, least: float) -> list[tuple]:
     """(text, item, similarity, first word, words) of the best window per text and item."""
     words = w.hashes()
@@ -144,7 +172,6 @@ def _block_hits(items: Items, w: Words, least: float) -> list[tuple]:
         grams = long if k == items.shingle else _grams(words, k)
         near = maybe if k == items.shingle else np.arange(len(grams))
         near = near[text_of[near] == text_of[near + k - 1]]
-        starts, counts, size = [], [], []
         for m in sizes:
             at = near[np.isin(grams[near], items.vocabulary[m])]
             if not len(at):
@@ -152,23 +179,12 @@ def _block_hits(items: Items, w: Words, least: float) -> list[tuple]:
             n = m - k + 1
             text = text_of[at]
             short = lengths[text] < m
-            begin = np.unique((at[~short, None] - np.arange(n)[None, :]).ravel()) if (~short).any() else np.zeros(0, np.int64)
-            begin = begin[begin >= 0]
-            begin = begin[begin + m <= w.first[text_of[begin] + 1]]
             whole = np.unique(text[short])
-            starts += [begin, w.first[whole]]
-            counts += [np.full(len(begin), n), lengths[whole] - k + 1]
-            size += [np.full(len(begin) + len(whole), m)]
-        if not starts:
-            continue
-        start, count, size = (np.concatenate(x).astype(np.int64) for x in (starts, counts, size))
-        window, item = items.near(_fingerprints(grams, start, count), size)
-        for i, j in zip(window.tolist(), item.tolist()):
-            s, n = int(start[i]), int(count[i])
-            got = similarity(grams[s:s + n], items.grams[j])
-            key = (int(text_of[s]), j)
-            if got >= least and (key not in best or got > best[key][0]):
-                best[key] = (got, s - int(w.first[key[0]]), n + k - 1)
+            begin = _starts(at[~short], n, len(words))
+            begin = begin[begin + m <= w.first[text_of[begin] + 1]]
+            for start, count in ((begin, np.full(len(begin), n)), (w.first[whole], lengths[whole] - k + 1)):
+                for lo in range(0, len(start), WINDOWS):
+                    _best_of(items, grams, text_of, w.first, start[lo:lo + WINDOWS].astype(np.int64), count[lo:lo + WINDOWS].astype(np.int64), m, k, least, best)
     return [(t, j, *b) for (t, j), b in sorted(best.items())]
 
 

@@ -28,7 +28,8 @@ from gridloom.llm.tables import ready
 ROWS = 1 << 14  # hashed rows of every feature family
 SEGMENT = 64
 SAMPLE_DOCS = 2400  # labelled documents the field is fitted on, an equal number of every language
-SAMPLE_WORDS = 192  # words of the spans drawn from one document of the sample
+SAMPLE_WORDS = 400  # words of the spans drawn from one document of the sample
+SAMPLE_WORD_BYTES = 200  # longer words are left out of the spans
 LEXICON = 1500  # commonest sample words of every language
 UND = "und"
 
@@ -146,14 +147,39 @@ def _marginals(emit: np.ndarray, trans: np.ndarray, first: np.ndarray) -> np.nda
     return got / got.sum(1, keepdims=True)
 
 
-def _sequences(texts: list[tuple[bytes, int]], n_lang: int, rng: np.random.Generator) -> tuple[Words, np.ndarray, np.ndarray]:
+def transition_gradient(field: Field, scores: np.ndarray, labels: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Gradient of the sequences' negative log likelihood in the transitions: expected minus seen ones, from the pair
+    marginals alpha * transition * emission * beta of one forward-backward pass."""
+    k, count = len(field.langs), np.diff(first)
+    full = np.flatnonzero(count)
+    begin, count = first[:-1][full], count[full]
+    order = np.argsort(-count, kind="stable")
+    begin, count = begin[order], count[order]
+    trans, emit = np.exp(field.trans - field.trans.max()), np.exp(scores - scores.max(1, keepdims=True))
+    alpha, beta = np.empty((len(scores), k)), np.empty((len(scores), k))
+    now = np.ones((len(begin), k))
+    for t in range(int(count.max(initial=0))):
+        live = int(np.searchsorted(-count, -t, "left"))  # sequences of more than t words
+        step = (now[:live] @ trans) * emit[begin[:live] + t]
+        now[:live] = alpha[begin[:live] + t] = step / step.sum(1, keepdims=True)
+    now = np.ones((len(begin), k))
+    for t in range(int(count.max(initial=0)) - 1, -1, -1):
+        live = int(np.searchsorted(-count, -t, "left"))
+        beta[begin[:live] + t] = now[:live]
+        step = (now[:live] * emit[begin[:live] + t]) @ trans.T
+        now[:live] = step / step.sum(1, keepdims=True)
+    follow = np.setdiff1d(np.arange(1, len(scores)), first)
+    pair = alpha[follow - 1][:, :, None] * trans[None] * (emit[follow] * beta[follow])[:, None, :]
+    out = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(0)
+    np.subtract.at(out, (labels[follow - 1], labels[follow]), 1)
+    post = alpha[begin] * beta[begin]  # the word before the first may have any label
+    wrong = (post / post.sum(1, keepdims=True)).sum(0) - np.bincount(labels[begin], minlength=k)
+    return out + trans / trans.sum(0, keepdims=True) * wrong
+
+
+def _sequences(texts: list[tuple[list[bytes], int]], rng: np.random.Generator) -> tuple[Words, np.ndarray, np.ndarray]:
     """Code-switched training sequences: one to three spans of documents in a row; words, labels and sequence starts."""
-    spans: list[tuple[list[bytes], int]] = []
-    for text, lang in texts:
-        words = text.split()
-        for lo in rng.integers(0, max(1, len(words) - 24), max(1, min(len(words), SAMPLE_WORDS) // 24)):
-            if words:
-                spans.append((words[lo:lo + int(rng.integers(8, 41))], lang))
+    spans = [(span.split(), lang) for some, lang in texts for span in some]
     order = rng.permutation(len(spans))
     words, labels, first = [], [], [0]
     at = 0
@@ -167,13 +193,13 @@ def _sequences(texts: list[tuple[bytes, int]], n_lang: int, rng: np.random.Gener
     return spaced(data, offsets), np.array(labels, np.int64), np.array(first, np.int64)
 
 
-def train(langs: list[str], texts: list[tuple[bytes, int]], rounds: int = 4, rate: float = 0.25, seed: int = 7) -> Field:
-    """Fit a field to (text, number of the language) pairs: adaptive gradient steps on the likelihood of sequences."""
+def train(langs: list[str], texts: list[tuple[list[bytes], int]], rounds: int = 4, rate: float = 0.25, seed: int = 7) -> Field:
+    """Fit a field to (spans of a text, number of the language) pairs: adaptive gradient steps on the likelihood of sequences."""
     k = len(langs)
     rng = np.random.default_rng(seed)
     lexicon: dict[int, np.ndarray] = {}
     for lang in range(k):
-        own = pa.RecordBatch.from_arrays([pa.array([t for t, g in texts if g == lang], pa.binary())], names=["text"])
+        own = pa.RecordBatch.from_arrays([pa.array([b" ".join(t) for t, g in texts if g == lang], pa.binary())], names=["text"])
         got, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_word_hashes(spaced(data, offsets)) for _, data, offsets in blocks(own, "text")]]), return_counts=True)
         for h in got[np.lexsort((got, -n))][:LEXICON].tolist():
             lexicon.setdefault(h, np.zeros(k, np.float32))[lang] = 1
@@ -182,7 +208,7 @@ def train(langs: list[str], texts: list[tuple[bytes, int]], rounds: int = 4, rat
                   np.array([lexicon[h] for h in hashes.tolist()], np.float32).reshape(len(hashes), k), np.zeros((k, k), np.float32), np.zeros((k, k), np.float32))
     if k < 2 or not texts:
         return field
-    w, labels, first = _sequences(texts, k, rng)
+    w, labels, first = _sequences(texts, rng)
     if not len(w.starts):
         return field
     parts = []
@@ -218,7 +244,7 @@ def train(langs: list[str], texts: list[tuple[bytes, int]], rounds: int = 4, rat
             scores = scores + sums[part.ends] - sums[part.starts]
             inner = first[lo:hi + 1] - a
             post = field.marginals(scores, inner)
-            wrong = post.copy()
+            wrong = post
             wrong[np.arange(b - a), labels[a:b]] -= 1
             wrong = (wrong / batch).astype(np.float32)
             for f in range(6):
@@ -233,33 +259,58 @@ def train(langs: list[str], texts: list[tuple[bytes, int]], rounds: int = 4, rat
             np.add.at(grad, inv, cover)
             step("gram", rows, grad)
             step("lex", slice(None), member[a:b].T @ wrong)
-            # expected minus seen transitions; the pair marginal of neighbours from the node marginals and the transition
-            follow = np.setdiff1d(np.arange(1, b - a), inner)
-            pair = post[follow - 1][:, :, None] * np.exp(field.trans)[None] * post[follow][:, None, :]
-            pair = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(0)
-            np.subtract.at(pair, (labels[a:b][follow - 1], labels[a:b][follow]), 1)
-            step("trans", slice(None), (pair / batch).astype(np.float32))
+            step("trans", slice(None), (transition_gradient(field, scores, labels[a:b], inner) / batch).astype(np.float32))
     return field
 
 
-def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS) -> Field:
-    """Fit a field to a sample of the rows where `learn` holds and language and text are given: an equal number of every
-    language, those with the smallest hash of id and text, about `sample` in all. The hash sees the whole table; only the rows it
-    picks reach the driver."""
+def _span_rows(words: int):
+    """Spans of 8 to 40 words of every text, about `words` of them, from places drawn by the text's hash."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in blocks(batch, "text"):
+                line, at, out = data.tobytes(), offsets.tolist(), []
+                for h, a, b in zip(part.column("h").to_pylist(), at, at[1:]):
+                    rng, all_, left, spans = np.random.default_rng(h & (1 << 63) - 1), line[a:b].split(), words, []
+                    for lo in rng.integers(0, max(1, len(all_) - 24), max(1, min(len(all_), words) // 24)).tolist():
+                        some = [w for w in all_[lo:lo + int(rng.integers(8, 41))] if len(w) <= SAMPLE_WORD_BYTES][:left]
+                        left -= len(some)
+                        if some:
+                            spans.append(b" ".join(some))
+                    out.append(spans)
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("h"), pa.array(out, pa.list_(pa.binary()))], names=["lang", "h", "spans"])
+    return rows
+
+
+def sample_spans(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS,
+                 words: int = SAMPLE_WORDS) -> list[tuple[str, list[bytes]]]:
+    """(language, spans) of the sample that `fit` describes; spans are cut where the texts are read, so at most
+    sample * words * (SAMPLE_WORD_BYTES + 1) bytes reach the driver."""
+    ready(docs.sparkSession)
     known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text"))
     count = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(sample).collect()}
-    langs = sorted(count)
-    if not langs:
-        return train([], [])
-    each = max(1, sample // len(langs))
+    if not count:
+        return []
+    each = max(1, sample // len(count))
     # only hashes in the lowest part of the range can be among a language's smallest: so few rows are ranked, of any language
-    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, 2.0 * each / count[k] + 50.0 / count[k]))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for k in sorted(count) for x in (k, min(1.0, 2.0 * each / count[k] + 50.0 / count[k]))]), F.col("lang"))
     low = known.filter((F.col("h").cast("double") / 2.0**64 + 0.5) <= share).select("lang", "h")
     picked = low.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rn") <= each).select("lang", "h").distinct()
-    rows = known.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", F.encode("text", "utf-8").alias("text")).collect()  # `sample` rows at most
+    spans = known.join(F.broadcast(picked), ["lang", "h"]).mapInArrow(_span_rows(words), "lang string, h long, spans array<binary>")
+    rows = spans.dropDuplicates(["lang", "h"]).collect()  # `sample` rows at most
+    return [(r["lang"], [bytes(s) for s in r["spans"]]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
+
+
+def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS,
+        words: int = SAMPLE_WORDS) -> Field:
+    """Fit a field to a sample of the rows where `learn` holds and language and text are given: an equal number of every
+    language, those with the smallest hash of id and text, about `sample` in all, and of each about `words` words in spans
+    from all over its text. Of more than `sample` languages the commonest are learned. The hash sees the whole table; only
+    the spans reach the driver."""
+    got = sample_spans(docs, learn, key, text, lang, sample, words)
+    langs = sorted({x for x, _ in got})
     number = {x: i for i, x in enumerate(langs)}
-    return train(langs, [(bytes(r["text"]), number[r["lang"]]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))])
+    return train(langs, [(spans, number[x]) for x, spans in got])
 
 
 def _label_rows(field: Field, text: str):

@@ -1,6 +1,7 @@
 """The operators against plain-Python references, and on awkward tables: nulls, empty and long texts, ties, repeated rows,
 empty tables and columns whose names clash with the operators' own."""
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -287,6 +288,36 @@ def test_marginals_are_those_of_the_whole_chain():
             assert np.allclose(got[a:b], want / want.sum(1, keepdims=True))
 
 
+def test_transition_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    k, first = 3, np.array([0, 4, 4, 5, 9])
+    scores, labels = rng.normal(size=(9, k)), rng.integers(0, k, 9)
+
+    def loss(trans):
+        total = 0.0
+        for a, b in zip(first, first[1:]):
+            if b > a:  # a word before the first may have any label
+                paths = [(p, sum(scores[t, p[t - a + 1]] + trans[p[t - a], p[t - a + 1]] for t in range(a, b))) for p in itertools.product(range(k), repeat=b - a + 1)]
+                seen = [x for p, x in paths if p[1:] == tuple(labels[a:b])]
+                total += np.logaddexp.reduce([x for _, x in paths]) - np.logaddexp.reduce(seen)
+        return total
+    trans = rng.normal(size=(k, k))
+    field = langid.Field(list("abc"), None, None, None, None, None, trans)
+    got = langid.transition_gradient(field, scores, labels, first)
+    for i, j in itertools.product(range(k), repeat=2):
+        step = np.zeros((k, k))
+        step[i, j] = 1e-5
+        assert abs(got[i, j] - (loss(trans + step) - loss(trans - step)) / 2e-5) < 1e-6
+
+
+def test_spans_of_the_sample_are_bounded(spark):
+    long = "x" * 5000
+    rows = [(i, " ".join([long if j % 50 == 0 else f"w{j}" for j in range(3000)]), "aa") for i in range(6)] + [(9, "a b", "bb"), (10, "", "bb"), (11, long, "bb")]
+    got = langid.sample_spans(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), sample=8, words=100)
+    assert all(len(w) <= langid.SAMPLE_WORD_BYTES for _, spans in got for s in spans for w in s.split())
+    assert {lang for lang, _ in got} == {"aa", "bb"} and all(sum(len(s.split()) for s in spans) <= 100 for _, spans in got)
+
+
 def test_language_labels_switched_words(spark, docs):
     rng = random.Random(5)
     words = {"aa": ["kalo", "kalimo", "takal", "lokal", "mokali"], "bb": ["xerüs", "wexer", "xerwes", "rüxes", "sexür"]}
@@ -313,22 +344,44 @@ def test_top_k_matches_brute_force(spark):
     vecs += [(400, None), (401, []), (402, [float("nan")] * 8), (403, [float("inf")] + [0.0] * 7), (None, [1.0] * 8), (404, [1.0, None] + [0.0] * 6)]
     vecs += [(450, [0.1, 0.2]), (451, [0.3, -0.1]), (452, [1e30, 0.0]), (5, vecs[5][1]), (350, [9.0] * 8)]
     df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>").withColumn("v", F.lit(1)).withColumn("g", F.lit(2)).repartition(3)
-    f32 = lambda x: float(np.float32(x))
-    whole = {}
-    for i, v in vecs:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            w = [math.floor(min(max(256 * f32(x), -vafile.LIMIT), vafile.LIMIT)) for x in v]
-            whole[i] = min(whole.get(i, w), w)
-    want = []
-    for q, a in whole.items():
-        if q % 50 == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole.items() if i != q and len(b) == len(a))
-            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
     got = vafile.top_k(df, F.col("id") % 50 == 0).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, got)) == brute_top(vecs)
     assert vafile.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def brute_top(vecs, kind=np.float32):
+    rows = [(i, [math.floor(256 * float(kind(x))) for x in v]) for i, v in vecs if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    want, top = [], (1 << 63) - 1
+    for a, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            scores = sorted((-max(-top - 1, min(top, sum(x * y for x, y in zip(v, w)))), i) for b, (i, w) in enumerate(rows) if b != a and len(w) == len(v))
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:5])]
+    return sorted(want)
+
+
+def test_top_k_of_large_components_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "ASK_BYTES", 0)  # queries joined by shard
+    rng = random.Random(16)
+    vecs = [(i, [rng.gauss(0, 1) * 10.0 ** rng.randint(0, 9) for _ in range(4)]) for i in range(120)]
+    vecs += [(50, [2.0**40, -1.0, 0.5, 0.0]), (50, [2.0**40, -1.0, 0.5, 0.0]), (7, vecs[7][1]), (130, [1e300, 0.0, 0.0, -1e300]), (150, [-1e300, 1e-300, 3.0, 1e200])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vafile.top_k(df, F.col("id") % 50 == 0).collect())) == brute_top(vecs, float)
+
+
+@pytest.mark.parametrize("far", [1.0, 1e3, 1e9])
+def test_an_outlier_leaves_few_candidates(far):
+    rng = np.random.default_rng(5)
+    m = np.floor(256 * rng.normal(size=(4000, 64)) / 8)
+    m[3], m[9, 5], m[11, 6] = far * 256, -far * 256, far * 256
+    grid = {64: vafile.Grid(m.min(0), m.max(0), vafile.inner_borders(m))}
+    row = {"dim": 64, "qg": np.arange(100).tobytes(), "g": np.arange(4000).tobytes(), "qv": m[100:200].tobytes(), "v": grid[64].encode(m).tobytes()}
+    _, _, lower, upper = vafile._bounds(row, grid)
+    exact = m[100:200] @ m.T
+    assert (lower <= exact).all() and (exact <= upper).all()
+    floor = -np.partition(-lower, 5, axis=1)[:, 5]
+    assert (upper >= floor[:, None]).mean() < 0.05
+
+
 def test_chat_reads_back_exactly(spark):
     rng = random.Random(7)
     said = ["</s>", "[INST]", "<\\/s>", "[\\\\INST] [/INST]", "<<</s>", "[", "<", "\\", "", None, "a</s", "s>", "[/INST", "é𝔘<s><\\s>", "$1 \\$2", "x\ny"]
