@@ -106,14 +106,20 @@ def known_rate(df: DataFrame, num: str, den: str, keys: Sequence[str]) -> DataFr
     return got.withColumn("rate", percent(F.col("num"), F.col("den")))
 
 
-def tally(votes: DataFrame) -> DataFrame:
-    """Votes per outcome."""
-    return votes.groupBy("outcome").agg(F.count("*").alias("n"))
+def chosen_votes(votes: DataFrame, org: str | None = None, choice: str | None = None) -> DataFrame:
+    """Votes of one organisation and of one outcome, where given; works on streams too."""
+    out = votes if org is None else votes.filter(F.trim("org") == org)
+    return out if choice is None else out.filter(F.col("outcome") == choice)
 
 
-def candidate_stats(votes: DataFrame) -> DataFrame:
-    """Average seconds and tokens per candidate from the nested candidate array."""
-    c = votes.select(F.explode("cands").alias("c"))
+def tally(votes: DataFrame, org: str | None = None, choice: str | None = None) -> DataFrame:
+    """Votes per outcome; a vote without one counts as `none`."""
+    return chosen_votes(votes, org, choice).groupBy(F.coalesce("outcome", F.lit("none")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def candidate_stats(votes: DataFrame, org: str | None = None, choice: str | None = None) -> DataFrame:
+    """Average seconds and tokens per candidate from the nested candidate array; candidates without a time do not count."""
+    c = chosen_votes(votes, org, choice).select(F.explode("cands").alias("c")).filter("c.seconds is not null")
     return c.groupBy(F.col("c.alias").alias("alias")).agg(
         F.count("*").alias("shown"), F.avg("c.seconds").alias("avg_seconds"), F.avg("c.tokens_out").alias("avg_tokens"))
 
@@ -191,6 +197,27 @@ def change_between(df: DataFrame, entity: str, period: str, value: str, first, s
         F.lit("percentage points" if unit == "percent" else unit).alias("unit"))
 
 
+def difference_of(df: DataFrame, entity: str, period: str, value: str, at, first, second, unit: str) -> DataFrame:
+    """Absolute difference of two entities at one time, as an insight row; none when one of them has no value then."""
+    got = df.filter(F.col(period) == at).agg(F.max(F.when(F.col(entity) == first, F.col(value))).alias("a"), F.max(F.when(F.col(entity) == second, F.col(value))).alias("b"))
+    return got.filter("a is not null and b is not null").select(
+        F.lit("difference").alias("insight"), F.lit(f"{first} and {second}").alias("entity"), F.abs(F.col("b") - F.col("a")).alias("value"),
+        F.lit("percentage points" if unit == "percent" else unit).alias("unit"))
+
+
+def trend(df: DataFrame, bucket: Column, measures: Mapping[str, Column]) -> DataFrame:
+    """Measures per `bucket` of a date (month, quarter, ...), and on every row how many rows had no readable date."""
+    got = df.withColumn("bucket", bucket).groupBy("bucket").agg(F.count("*").alias("n"), *[e.alias(n) for n, e in measures.items()])
+    left = got.agg(F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))), F.lit(0)).alias("undated"))
+    return got.filter("bucket is not null").crossJoin(F.broadcast(left))  # one row
+
+
+def cap(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
+    """The first `most` rows in order, each with how many are `shown` and how many there are in `total`."""
+    size = df.agg(F.count("*").alias("total")).withColumn("shown", F.least("total", F.lit(most).cast("long")))
+    return df.orderBy(*order).limit(most).crossJoin(F.broadcast(size))  # one row
+
+
 def group_problems(df: DataFrame, key: str = "norm_value") -> DataFrame:
     """Problems with the same rule, column and value become one group: count, first and last row, first value. The
     cells themselves stay in the problems table, keyed by the same columns, so no group is gathered into one row."""

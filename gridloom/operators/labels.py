@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.similarity import sequence_ratio
+from gridloom.operators.match import similar_pairs
+from gridloom.session import cut
 
 UNSURE = "unsure"
 
@@ -46,6 +48,17 @@ def merge_labels(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("record_id", "name", "version"), ["record_id", "name", "version"], "left_anti").unionByName(new)
 
 
+def relabel(records: DataFrame, key: str, text: str, labels: DataFrame, name: str, version: int, answers: Sequence[str],
+            scorer: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """All labels after a run: one per record, definition and version. A record whose text changed loses its old label, also
+    when the scorer fails on the new text; labels of records that are gone and of other definitions stay."""
+    new = cut(label(records, key, text, labels, name, version, answers, scorer))
+    now = records.select(F.col(key).alias("record_id"), F.sha2(F.col(text), 256).alias("_now"))
+    own = (F.col("name") == name) & (F.col("version") == version)
+    kept = labels.join(now, "record_id", "left").filter(~own | F.col("_now").isNull() | F.col("source_hash").eqNullSafe(F.col("_now"))).drop("_now")
+    return merge_labels(kept, new)
+
+
 def decide_yes_no(p: Column) -> Column:
     return F.when(p > 0.65, "yes").when(p < 0.35, "no").when(p.isNotNull(), UNSURE)
 
@@ -87,18 +100,23 @@ def map_parts(docs: DataFrame, key: str, text: str, fn: Callable[[pd.Series], pd
     return ordered.select(key, combine(F.transform("p", lambda s: s["result"])).alias("result")), new
 
 
-def row_match_eval(truth: DataFrame, got: DataFrame, doc: str, cols: Sequence[str]) -> DataFrame:
+def row_match_eval(truth: DataFrame, got: DataFrame, doc: str, cols: Sequence[str], floors: Sequence[float] = (0.8, 0.65)) -> DataFrame:
     """Extracted rows against true rows per document: mean of the best similarity per true row, and the share of true cells
-    found exactly. Distinct rows of a document meet when a cell or the first four letters of a cell agree (an equi-join on
-    those pieces, not all pairs); a true row that shares nothing counts 0."""
-    def pieces(df, name):
+    found exactly. The best match is exact, found from the highest bound down: a similarity join brings all pairs of a
+    document that can reach the first floor, judged by lengths and character counts; a true row with a match there is
+    settled, since nothing below can be better. The rows still open go to the next floor, and only those without a match at
+    the last one are compared with every row of their document."""
+    def line(df: DataFrame, name: str) -> DataFrame:
         low = [F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in cols]
-        keys = F.array_distinct(F.flatten(F.array(*[F.array(F.concat(F.lit(f"{i}="), v), F.concat(F.lit(f"{i}^"), F.substring(v, 1, 4))) for i, v in enumerate(low)])))
-        return df.select(doc, F.concat_ws(" ", *low).alias(name), F.filter(keys, lambda k: F.length(k) > 2).alias("_k")).distinct()
-    t, g = pieces(truth, "l"), pieces(got, "r")
-    pairs = t.withColumn("_k", F.explode("_k")).join(g.withColumn("_k", F.explode("_k")), [doc, "_k"]).select(doc, "l", "r").distinct()
-    best = pairs.withColumn("s", sequence_ratio("l", "r")).groupBy(doc, "l").agg(F.max("s").alias("s"))
-    every = truth.select(doc, F.concat_ws(" ", *[F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in cols]).alias("l"))
+        return df.select(doc, F.concat_ws(" ", *low).alias(name))
+    every = line(truth, "l")
+    open_, have, best = cut(every.distinct()), cut(line(got, "r").distinct()), None
+    for floor in floors:
+        found = cut(similar_pairs(open_, have, "ratio", floor, by=[doc]).groupBy(doc, "l").agg(F.max("score").alias("s")))
+        best = found if best is None else best.unionByName(found)
+        open_ = cut(open_.join(found, [doc, "l"], "left_anti"))
+    left = open_.join(have, doc).withColumn("s", sequence_ratio("l", "r")).groupBy(doc, "l").agg(F.max("s").alias("s"))
+    best = left if best is None else best.unionByName(left)
     rows = every.join(best, [doc, "l"], "left").groupBy(doc).agg(F.avg(F.coalesce("s", F.lit(0.0))).alias("similarity"))
     cells = F.array(*[F.lower(F.trim(F.col(c).cast("string"))) for c in cols])
     tc = truth.select(doc, F.explode(cells).alias("c")).filter("c is not null")

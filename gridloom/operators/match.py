@@ -3,6 +3,7 @@ can reach the floor is lost and no side is crossed with the other."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -62,14 +63,14 @@ def reconcile(master: DataFrame, key: str, entries: DataFrame, entry: str, floor
             .select(key, F.coalesce("entries", F.lit(0)).alias("entries")))
 
 
-def discover_bridges(values: DataFrame, max_left: int = 5000) -> DataFrame:
+def discover_bridges(values: DataFrame, max_left: int | None = None) -> DataFrame:
     """Pairs of text columns in different tables that name the same things with different spellings.
     `values(table, column, value)`: distinct values of candidate columns. A bridge has a fuzzy share of 0.85 or more,
-    an exact share of 0.8 or less, at least three values gained, and at most `max_left` values on the smaller side."""
+    an exact share of 0.8 or less, at least three values gained and, when given, at most `max_left` values on the smaller
+    side."""
     v = values.withColumn("col_id", F.concat_ws(".", "table", "column")).withColumn("n", F.lower(F.trim("value"))).select("col_id", "table", "n").distinct()
     size = v.groupBy("col_id", "table").agg(F.count("*").alias("size"))
-    small = size.filter(F.col("size") <= max_left)
-    left = v.join(small.select("col_id"), "col_id", "left_semi")
+    left = v if max_left is None else v.join(size.filter(F.col("size") <= max_left).select("col_id"), "col_id", "left_semi")
     same = left.select("n").distinct()
     pairs = similar_pairs(same, v.select("n").distinct(), "jaro_winkler", 0.9)
     a, b = left.select(F.col("col_id").alias("l_col"), F.col("table").alias("l_t"), F.col("n").alias("l")), \
@@ -146,21 +147,70 @@ def closest_value(values: DataFrame, col: str, options: DataFrame, option: str)
     return same.unionByName(tail)
 
 
-def variant_groups(df: DataFrame, col: str, max_values: int = 60, first: int = 10) -> DataFrame:
-    """Groups of near-equal spellings in a column of 2 to 60 distinct values: same letters and digits, or keys of five
-    or more characters with a ratio of 0.88. Linked values share the smallest label (propagated until nothing
-    changes); members are listed by frequency. Columns with more values give no groups, as the count is checked first."""
-    counts = df.filter(F.trim(col) != "").groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    sized = counts.limit(max_values + 1).agg(F.count("*").alias("_d"))
-    v = counts.crossJoin(F.broadcast(sized)).filter(F.col("_d").between(2, max_values)).drop("_d")  # one row
+def contained(needles: DataFrame, hays: DataFrame, size: int = 3) -> DataFrame:
+    """(l, r) for every non-empty string of `needles` that is part of one of `hays`, letter by letter. A needle meets the hays
+    on the one of its pieces of `size` letters that the fewest hays hold (on itself, when it is shorter)."""
+    def pieces(c: Column, n: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
+    l, r = cut(needles.toDF("l").filter("l <> ''").distinct()), cut(hays.toDF("r").filter("r <> ''").distinct())
+    width = F.least(F.length("l"), F.lit(size))
+    sizes = [x["n"] for x in l.select(width.alias("n")).distinct().collect()]  # `size` numbers at most
+    grams = None
+    for n in sizes:
+        one = r.filter(F.length("r") >= n).select("r", F.explode(pieces(F.col("r"), F.lit(n))).alias("g"))
+        grams = one if grams is None else grams.unionByName(one)
+    if grams is None:
+        return l.select("l", F.lit("").alias("r")).limit(0)
+    held = grams.groupBy("g").agg(F.count("*").alias("c"))
+    asked = l.select("l", F.explode(pieces(F.col("l"), width)).alias("g")).join(held, "g", "left")
+    key = asked.groupBy("l").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g")).alias("k")).filter("k.c > 0").select("l", "k.g")
+    return grams.join(key, "g").filter(F.col("r").contains(F.col("l"))).select("l", "r")
+
+
+def match_value(values: DataFrame, col: str, options: DataFrame, option: str) -> DataFrame:
+    """The known value meant by what was written (value, matched, how): equal but for case and outer spaces, else the only
+    known value that holds it or lies in it, else the closest at 0.8, else the one whose first word is closest at 0.75 - first
+    for the whole text, then for its first word. Ties go to the smaller known value; NULL when nothing fits."""
+    first = lambda c: F.split(c, r"\s+")[0]
+    o = cut(options.select(F.lower(F.trim(option)).alias("k"), F.col(option).alias("_o")).filter("k <> ''").groupBy("k").agg(F.min("_o").alias("_o")))
+    v = cut(values.select(F.col(col).alias("value")).filter("value is not null").distinct().withColumn("low", F.lower(F.trim("value"))))
+    low = v.filter("low <> ''").select("low").distinct()
+    done = low.join(o, F.col("low") == F.col("k")).select("low", "_o", F.lit("same").alias("how"))
+    open_ = cut(low.join(done, "low", "left_anti"))
+    inside = contained(open_, o.select("k")).select(F.col("l").alias("low"), F.col("r").alias("k"))
+    around = contained(o.select("k"), open_).select(F.col("r").alias("low"), F.col("l").alias("k"))
+    one = inside.unionByName(around).distinct().groupBy("low").agg(F.count("*").alias("c"), F.min("k").alias("k")).filter("c = 1").join(o, "k")
+    one = cut(one.select("low", "_o", F.lit("contained").alias("how")))
+    open_ = cut(open_.join(one, "low", "left_anti"))
+    found = [done, one]
+    heads = o.select(first(F.col("k")).alias("h"), "_o").groupBy("h").agg(F.max("_o").alias("_o"))
+    tries = (("close", F.col("low"), o.select(F.col("k").alias("h"), "_o"), 0.8), ("close first word", F.col("low"), heads, 0.75),
+             ("word close", first(F.col("low")), o.select(F.col("k").alias("h"), "_o"), 0.8), ("word close to first word", first(F.col("low")), heads, 0.75))
+    for how, asked, known, floor in tries:
+        a = open_.select("low", asked.alias("a"))
+        best = similar_pairs(a.select("a"), known.select("h"), "ratio", floor).groupBy("l").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r").alias("h"))).alias("b"))
+        got = cut(a.join(best, F.col("a") == F.col("l")).join(known, F.col("b.h") == F.col("h")).select("low", "_o", F.lit(how).alias("how")))
+        found.append(got)
+        open_ = cut(open_.join(got, "low", "left_anti"))
+    return v.join(reduce(DataFrame.unionByName, found), "low", "left").select("value", F.col("_o").alias("matched"), "how")
+
+
+def variant_groups(df: DataFrame, col: str, max_values: int | None = None, first: int | None = None) -> DataFrame:
+    """Groups of near-equal spellings in a column: same letters and digits, or keys of five or more characters with a ratio of
+    0.88. Linked values share the smallest label (propagated until nothing changes); members are listed by frequency.
+    `max_values` leaves out columns of more distinct values, `first` keeps the largest groups."""
+    v = df.filter(F.trim(col) != "").groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
+    if max_values is not None:
+        sized = v.limit(max_values + 1).agg(F.count("*").alias("_d"))
+        v = v.crossJoin(F.broadcast(sized)).filter(F.col("_d") <= max_values).drop("_d")  # one row
     v = cut(v.withColumn("k", F.regexp_replace(F.lower("value"), "[^a-z0-9]", "")))
     keys = v.select("k").distinct()
     near = similar_pairs(keys.filter(F.length("k") >= 5), keys.filter(F.length("k") >= 5), "ratio", 0.88).select("l", "r").filter("l <> r")
     label = components(keys.select("k"), near)
     grouped = v.join(label, "k").groupBy("label").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("value")))).alias("g"), F.sum("n").alias("rows"))
-    return (grouped.filter(F.size("g") > 1).select(F.array_join(F.transform("g", lambda s: s["value"]), " | ").alias("members"), "rows")
-            .orderBy(F.desc("rows"), "members").limit(first))
+    out = grouped.filter(F.size("g") > 1).select(F.array_join(F.transform("g", lambda s: s["value"]), " | ").alias("members"), "rows")
+    return out if first is None else out.orderBy(F.desc("rows"), "members").limit(first)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -3,6 +3,7 @@ map-side partial), so each distinct value is tested once however many rows hold
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -54,6 +55,19 @@ def sheet_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return base.join(ex, "column", "left")
 
 
+def spelling_groups(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, members, rows) of the near-equal spellings in each of the columns."""
+    from gridloom.operators.match import variant_groups
+    each = [variant_groups(df.select(F.col(c).cast("string").alias("value")), "value").select(F.lit(c).alias("column"), "members", "rows") for c in cols]
+    return reduce(DataFrame.unionByName, each)
+
+
+def sheet_profile_with_spellings(df: DataFrame, cols: Sequence[str], texts: Sequence[str]) -> DataFrame:
+    """`sheet_profile` with the spelling groups of the text columns, the largest first; NULL for columns without any."""
+    groups = spelling_groups(df, texts).groupBy("column").agg(F.sort_array(F.collect_list(F.struct((-F.col("rows")).alias("m"), "members"))).alias("g"))
+    return sheet_profile(df, cols).join(groups.select("column", F.array_join(F.transform("g", lambda s: s["members"]), "; ").alias("spellings")), "column", "left")
+
+
 def describe_table(df: DataFrame, order: Sequence[Column], cols: Sequence[str], rows: int = 500, examples: int = 5) -> DataFrame:
     """Filled, distinct and sample values on the first `rows` rows (the sample is the operator)."""
     vc = value_counts(df.orderBy(*order).limit(rows), cols)
@@ -99,6 +113,12 @@ def schema_brief(df: DataFrame, cols: Sequence[str], codes: DataFrame | None = N
     return base.join(lists, "column", "left").select("column", brief.alias("brief"), "blank")
 
 
+def masked_rows(df: DataFrame, cols: Sequence[str], codes: DataFrame, order: Sequence[Column], first: int = 3) -> DataFrame:
+    """The first rows as they may be shared: known private values are their codes, by `codes(norm, code)`."""
+    from gridloom.operators.vault import coded
+    return coded(df.orderBy(*order).limit(first).select(*[F.col(c).cast("string").alias(c) for c in cols]), cols, codes)
+
+
 def join_candidates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Text columns worth matching across tables: 15 or more values, 6 to 80 characters on average."""
     vc = value_counts(df, cols).filter("value is not null")
@@ -127,6 +147,16 @@ def protected_values(df: DataFrame, cols: Sequence[str], most: int = 50) -> Data
             .select("value").distinct())
 
 
+def artefact_leaks(artefacts: DataFrame, protected: DataFrame, first: int | None = 5) -> DataFrame:
+    """(id, value): protected values that stand in an artefact's text, in any case; the `first` ones of each in order (None:
+    all). artefacts(id, text), protected(value)."""
+    from gridloom.operators.match import contained
+    a = artefacts.select("id", F.lower("text").alias("r"))
+    p = protected.select("value", F.lower("value").alias("l")).filter(F.length("value") >= 4)
+    hits = contained(p.select("l"), a.select("r")).join(p, "l").join(a, "r").select("id", "value").distinct()
+    return hits if first is None else top_per_key(hits, ["id"], [F.col("value")], first).drop("rn")
+
+
 def check_key(df: DataFrame, key: str, audit: Sequence[str] = ()) -> DataFrame:
     """Key test as one row: rows, NULL keys, keys used twice, and blank counts of the audited columns."""
     per = df.groupBy(key).agg(F.count("*").alias("_n"), *[F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).alias(f"_b_{c}") for c in audit])

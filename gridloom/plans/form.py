@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridloom.operators.scale import numbered
 from gridloom.functions.dates import edge, part
 from gridloom.plans.periods import bounds, extract_period
 
@@ -37,6 +38,8 @@ class Form:
     presets: dict[str, dict] = field(default_factory=dict)
     known: dict[str, list[str]] = field(default_factory=dict)
     hidden: frozenset[str] = frozenset()
+    labels: dict[str, str] = field(default_factory=dict)
+    row_number: str | None = None  # the column that holds the source row; listings then open with it
 
     def measure(self, mid: str) -> Column:
         if mid in self.measures:
@@ -199,15 +202,21 @@ def run_form(df: DataFrame, form: Form, spec: Spec, as_of: str | None = None, to
     return rows.unionByName(got.filter("is_total")) if total else rows
 
 
+SHEET_ROW = "Sheet row"
+
+
 def list_rows(df: DataFrame, form: Form, spec: Spec) -> DataFrame:
-    """Matching rows under their form columns, ordered and limited when asked."""
-    out = df.select(*[c for c in form.kinds if c not in form.hidden])
+    """Matching rows under their form columns, shown by their labels, ordered and limited when asked; the source row comes
+    first when the form has one."""
+    shown = [c for c in form.kinds if c not in form.hidden]
+    number = [] if form.row_number is None else [F.col(form.row_number).alias(SHEET_ROW)]
+    out = df.select(*number, *shown)
     by = spec.sort.get("by")
     if by in form.kinds:
         down = spec.sort.get("dir", "desc") == "desc"
-        rest = [F.col(c) for c in out.columns if c != by]
+        rest = [F.col(f"`{c}`") for c in out.columns if c != by]
         out = out.orderBy(F.col(by).desc_nulls_last() if down else F.col(by).asc_nulls_last(), *rest)
-    return limited(out, spec.limit)
+    return limited(out, spec.limit).withColumnsRenamed({c: form.labels[c] for c in shown if c in form.labels})
 
 
 def count_matches(df: DataFrame, form: Form, spec: Spec, as_of: str | None = None) -> DataFrame:
@@ -217,6 +226,16 @@ def count_matches(df: DataFrame, form: Form, spec: Spec, as_of: str | None = Non
     return df.agg(F.count(F.lit(1)).alias("matching"))
 
 
+def filter_values(df: DataFrame, columns: list[str], categories: list[str] = (), choices: int = 60, most: int | None = None) -> DataFrame:
+    """Values that a form offers per text column: (column, value, n, place), commonest first. A column is a choice when it has
+    up to `choices` values or is a taught category; `most` values of each, when given."""
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
+    per = df.select(F.inline(F.array(*pairs))).filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    few = per.groupBy("column").agg(F.count("*").alias("_d")).filter((F.col("_d") <= choices) | F.col("column").isin(list(categories)))
+    ranked = numbered(per.join(few.select("column"), "column", "left_semi"), ["column"], [F.desc("n"), F.col("value")], "place")
+    return ranked if most is None else ranked.filter(F.col("place") <= most)
+
+
 def form_domain(df: DataFrame, texts: list[str], numbers: list[str], dates: list[str]) -> DataFrame:
     """What a form can offer per column: value counts (text columns: `choice` up to 60 values, else `contains`),
     min and max for numbers and dates, and whether a whole-number column with 2-40 values is also a grouping.

@@ -94,6 +94,17 @@ def _(t):
     return rows.crossJoin(F.broadcast(fm.count_matches(_orders(t), form, spec)))  # one row
 
 
+@query("flt8b_labelled_listing", """
+select o_orderkey + 2 as "Sheet row", o_orderkey, o_orderstatus as "Order status", o_totalprice as "Total price", strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority as "Priority" from orders
+where lower(trim(o_orderpriority)) in ('2-high') order by o_totalprice nulls last, o_orderkey limit 40""")
+def _(t):
+    form = fm.Form(kinds={k: v for k, v in ORDER_FORM.kinds.items() if k not in ("c_mktsegment", "c_name")}, hidden=ORDER_FORM.hidden, row_number="_row",
+                   labels={"o_orderstatus": "Order status", "o_totalprice": "Total price", "o_orderpriority": "Priority"})
+    spec = fm.Spec(filters={"o_orderpriority": ["2-HIGH"]}, sort={"by": "o_totalprice", "dir": "asc"}, limit=40)
+    rows = fm.run_form(_orders(t).withColumn("_row", F.col("o_orderkey") + 2), form, spec)
+    return rows.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
 @query("flt9_saved_question", """
 select o_orderpriority, count(*) n, round(avg(o_totalprice), 4) avg_price from orders
 where o_orderstatus = 'F' and o_orderdate >= timestamp '1997-01-01' and o_totalprice >= 1000 group by 1""")
@@ -426,6 +437,34 @@ def _(t):
     return A.centres(pts, "c_mktsegment", "lat", "lon").withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
+@query("agg14b_tally_chosen", """
+with v as (select *, 'org' || (user_id % 3) as org from events), f as (select * from v where org = 'org1' and event_type = (select min(event_type) from events))
+select 'outcome' what, event_type as name, count(*) n, null::double avg_seconds, null::double avg_tokens from v where org = 'org2' group by all
+union all select 'candidate', 'a', count(*), round(avg(value), 6), round(avg((props->>'$.k')::int), 6) from f where event_id % 5 <> 0
+union all select 'candidate', 'b', count(*), round(avg(value * 2), 6), round(avg((props->>'$.k')::int + 1), 6) from f""")
+def _(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    v = t.events.select("ts", F.concat(F.lit(" org"), (F.col("user_id") % 3).cast("string")).alias("org"), F.col("event_type").alias("outcome"), F.array(
+        F.struct(F.lit("a").alias("alias"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("seconds"), k.alias("tokens_out")),
+        F.struct(F.lit("b").alias("alias"), (F.col("value") * 2).alias("seconds"), (k + 1).alias("tokens_out"))).alias("cands"))
+    first = t.events.agg(F.min("event_type")).first()[0]
+    a = A.tally(v, org="org2").select(F.lit("outcome").alias("what"), F.col("outcome").alias("name"), "n", F.lit(None).cast("double").alias("avg_seconds"), F.lit(None).cast("double").alias("avg_tokens"))
+    b = A.candidate_stats(v, org="org1", choice=first).select(F.lit("candidate").alias("what"), F.col("alias").alias("name"), F.col("shown").alias("n"),
+                                                             F.round("avg_seconds", 6).alias("avg_seconds"), F.round("avg_tokens", 6).alias("avg_tokens"))
+    return a.unionByName(b)
+
+
+@query("agg22b_difference", """
+with g as (select c_mktsegment e, year(o_orderdate) y, count(*)::double v from orders join customer on o_custkey = c_custkey group by all)
+select 'difference' insight, 'BUILDING and MACHINERY' entity, abs(a.v - b.v) as value, 'count' unit from g a, g b where a.y = 1997 and b.y = 1997 and a.e = 'BUILDING' and b.e = 'MACHINERY'
+union all select 'difference', 'BUILDING and FURNITURE', abs(a.v - b.v), 'percentage points' from g a, g b where a.y = 1996 and b.y = 1996 and a.e = 'BUILDING' and b.e = 'FURNITURE'""")
+def _(t):
+    c = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("e"))
+    g = t.orders.join(c, "o_custkey").groupBy("e", F.year("o_orderdate").alias("y")).agg(F.count("*").cast("double").alias("v"))
+    some = A.difference_of(g, "e", "y", "v", 1997, "BUILDING", "MACHINERY", "count").unionByName(A.difference_of(g, "e", "y", "v", 1996, "BUILDING", "FURNITURE", "percent"))
+    return some.unionByName(A.difference_of(g, "e", "y", "v", 1997, "BUILDING", "NOWHERE", "count"))
+
+
 @query("agg22_insights", """
 with g as (select c_mktsegment e, year(o_orderdate) y, count(*)::double v from orders join customer on o_custkey = c_custkey group by all),
 w as (select e, sum(v) v from g group by 1)
@@ -468,6 +507,14 @@ def _(t):
     return fm.form_domain(t.part, ["p_brand", "p_name"], ["p_size", "p_retailprice"], [])
 
 
+@query("agg25b_filter_values", """
+with v as (select 'p_brand' as "column", p_brand as value from part union all select 'p_type', p_type from part union all select 'p_name', p_name from part union all select 'p_size', p_size::varchar from part),
+c as (select "column", value, count(*) n from v group by all), k as (select "column" from c group by 1 having count(*) <= 30 or "column" = 'p_name')
+select "column", value, n, row_number() over (partition by "column" order by n desc, value) as place from c where "column" in (select "column" from k)""")
+def _(t):
+    return fm.filter_values(t.part, ["p_brand", "p_type", "p_name", "p_size"], ["p_name"], choices=30)
+
+
 @query("agg26_top_groups", """select l_suppkey, round(avg(l_extendedprice), 4) avg_price from lineitem group by 1 order by avg(l_extendedprice) desc, 1 limit 10""")
 def _(t):
     g = t.lineitem.groupBy("l_suppkey").agg(F.avg("l_extendedprice").alias("a")).orderBy(F.desc("a"), "l_suppkey").limit(10)
@@ -491,6 +538,14 @@ def _(t):
     return d.groupBy("bucket").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("agg28b_trend_undated", """
+with d as (select case when o_orderpriority <> '3-MEDIUM' then strftime(o_orderdate, '%Y-%m') end b, o_totalprice p from orders where o_orderstatus = 'F')
+select b as bucket, count(*) n, round(sum(p), 2) total, (select count(*) from d where b is null) undated from d where b is not null group by 1""")
+def _(t):
+    text = F.when(F.col("o_orderpriority") != "3-MEDIUM", F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("not a date")
+    return A.trend(t.orders.filter("o_orderstatus = 'F'"), dates.part(dates.parse_one(text, "dd/MM/yyyy"), "month"), {"total": F.round(F.sum("o_totalprice"), 2)})
+
+
 @query("agg29_compare_groups", """select c_mktsegment, count(*) n, round(avg(c_acctbal), 4) avg_bal from customer where c_mktsegment in ('BUILDING', 'MACHINERY') group by 1""")
 def _(t):
     return t.customer.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).groupBy("c_mktsegment").agg(
@@ -575,7 +630,15 @@ def _(t):
 @query("ord5_display_cap", """select * from (select p_brand, count(*) n from part group by 1 order by n desc, p_brand limit 20), (select count(distinct p_brand) total from part)""")
 def _(t):
     g = t.part.groupBy("p_brand").agg(F.count("*").alias("n"))
-    return g.orderBy(F.desc("n"), "p_brand").limit(20).crossJoin(F.broadcast(g.agg(F.count("*").alias("total"))))  # one row
+    return A.cap(g, [F.desc("n"), F.col("p_brand")], 20).drop("shown")
+
+
+@query("ord5b_shown_and_total", """select * from (select o_custkey, count(*) n from orders group by 1 order by n desc, o_custkey limit 60), (select count(distinct o_custkey) total, least(60, count(distinct o_custkey)) shown from orders)
+union all select * from (select n_nationkey::bigint, 1 from nation where n_nationkey < 5 order by 1 limit 60), (select 5, 5)""")
+def _(t):
+    g = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    few = t.nation.filter("n_nationkey < 5").select(F.col("n_nationkey").cast("long").alias("o_custkey"), F.lit(1).cast("long").alias("n"))
+    return A.cap(g, [F.desc("n"), F.col("o_custkey")], 60).unionByName(A.cap(few, [F.col("o_custkey")], 60))
 
 
 # ------------------------------------------------------------------ set operations

@@ -154,6 +154,21 @@ def _(t):
     return M.closest_value(v, "v", t.part, "p_name").withColumn("score", F.round("score", 6))
 
 
+_PARTLY_SQL = """case p_partkey % 4 when 0 then '  ' || upper(p_name) when 1 then 'the ' || p_name || ', please' when 2 then substr(p_name, 3, length(p_name) - 3) else p_name end"""
+
+
+@query("jn14b_contained_value", f"""
+with v as (select distinct {_PARTLY_SQL} v from part), o as (select lower(trim(p_name)) k, min(p_name) o from part group by 1),
+m as (select v, min(o) o, count(*) c, bool_or(lower(trim(v)) = k) same from v, o where contains(lower(trim(v)), k) or contains(k, lower(trim(v))) group by 1),
+s as (select v, o.o from v join o on lower(trim(v)) = k)
+select v.v as value, coalesce(s.o, case when m.c = 1 then m.o end) as matched, case when s.o is not null then 'same' when m.c = 1 then 'contained' end as how from v left join s using (v) left join m using (v) where s.o is not null or m.c = 1""")
+def _(t):
+    k = F.col("p_partkey") % 4
+    v = F.when(k == 0, F.concat(F.lit("  "), F.upper("p_name"))).when(k == 1, F.concat(F.lit("the "), F.col("p_name"), F.lit(", please"))).when(
+        k == 2, F.substring(F.col("p_name"), F.lit(3), F.length("p_name") - 3)).otherwise(F.col("p_name"))
+    return M.match_value(t.part.select(v.alias("v")), "v", t.part, "p_name").filter(F.col("how").isin("same", "contained"))
+
+
 @query("jn15_row_check", """
 select o_orderkey, n as line_count, 'more than six lines' message from orders join (select l_orderkey, count(*) n from lineitem group by 1) on l_orderkey = o_orderkey where n > 6""")
 def _(t):

@@ -208,6 +208,19 @@ def _(t):
     return L.label(recs, "doc_id", "text", had, "long", 1, ["yes", "no"], score).select("record_id", "label")
 
 
+@query("lab2b_relabel", """
+select doc_id as record_id, 'long' as name, case when n_chars > 2000 then 'yes' when lang = 'fr' then 'unsure' else 'no' end as label from documents where lang <> 'es' and doc_id not in (select doc_id from labels where doc_id % 2 = 0)
+union all select doc_id, 'long', 'old' from labels where doc_id % 2 = 0 union all select doc_id, 'other', 'old' from labels""")
+def _(t):
+    def score(text: pd.Series) -> pd.Series:
+        return text.map(lambda v: None if v.startswith("es|") else "yes" if len(v) - 3 > 2000 else "maybe" if v.startswith("fr|") else "no")
+    recs = t.documents.select("doc_id", F.concat("lang", F.lit("|"), "text").alias("text"))
+    # half of the labelled records changed since; another definition's labels stay
+    had = recs.join(t.labels.select("doc_id"), "doc_id").select(F.col("doc_id").alias("record_id"), F.lit("long").alias("name"), F.lit(1).alias("version"), F.lit("old").alias("label"),
+                                                               F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise("before").alias("source_hash"))
+    return L.relabel(recs, "doc_id", "text", had.unionByName(had.withColumn("name", F.lit("other"))), "long", 1, ["yes", "no"], score).select("record_id", "name", "label")
+
+
 @query("lab3_decide", """
 with s as (select vec_id, abs(embedding[1]::double) a, abs(embedding[2]::double) b, abs(embedding[3]::double) c from embeddings), p as (select vec_id, a / (a + b + c) a, b / (a + b + c) b, c / (a + b + c) c from s)
 select vec_id, case when a > 0.65 then 'yes' when a < 0.35 then 'no' else 'unsure' end as yes_no,
@@ -230,9 +243,9 @@ def _(t):
     return L.label_eval(r, ["lang"]).drop("cost").withColumn("median_seconds", F.round("median_seconds", 6))
 
 
-@query("lab5_map_parts", """select doc_id, ceil(greatest(least(length(text), 35000), 1) / 7000.0)::int as parts, least(length(text), 35000) as chars from documents""")
+@query("lab5_map_parts", """select doc_id, ceil(greatest(length(text), 1) / 7000.0)::int as parts, length(text) as chars from documents""")
 def _(t):
-    return _part_lengths(t, most=35_000)  # the reference's rule, as the twin states it
+    return _part_lengths(t)
 
 
 @query("lab5b_map_parts_whole", """select doc_id, ceil(greatest(length(text), 1) / 7000.0)::int as parts, length(text) as chars from documents""")

@@ -45,6 +45,23 @@ def _(t):
     return got.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "outcome", "n", F.round("avg_seconds", 6).alias("avg_seconds"))
 
 
+@query("st2b_stream_candidates", """
+with v as (select * from events where user_id % 3 = 1), c as (select date_trunc('hour', ts) h, 'a' as alias, value s, (props->>'$.k')::int k from v where event_id % 5 <> 0 union all select date_trunc('hour', ts), 'b', value * 2, (props->>'$.k')::int + 1 from v)
+select strftime(h, '%Y-%m-%d %H:%M') as start, alias, count(*) shown, round(avg(s), 6) avg_seconds, round(avg(k), 6) avg_tokens, null::varchar as outcome from c group by all
+union all select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M'), null, count(*), round(avg(value), 6), null, event_type from v where event_type = (select min(event_type) from events) group by date_trunc('hour', ts), event_type""")
+def _(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    v = t.events.select(F.col("ts").cast("timestamp").alias("t"), F.concat(F.lit("org"), (F.col("user_id") % 3).cast("string")).alias("org"), F.col("event_type").alias("outcome"), F.col("value").alias("seconds"), F.array(
+        F.struct(F.lit("a").alias("alias"), F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("seconds"), k.alias("tokens_out")),
+        F.struct(F.lit("b").alias("alias"), (F.col("value") * 2).alias("seconds"), (k + 1).alias("tokens_out"))).alias("cands"))
+    first = t.events.agg(F.min("event_type")).first()[0]
+    a = ST.stream_candidates(_stream(v, "t"), scratch(t.spark, "st2b"), late="60 days", width="1 hour", org="org1")
+    b = ST.stream_tally(_stream(v, "t"), scratch(t.spark, "st2c"), late="60 days", width="1 hour", org="org1", choice=first)
+    at = F.date_format("start", "yyyy-MM-dd HH:mm").alias("start")
+    one = a.select(at, "alias", "shown", F.round("avg_seconds", 6).alias("avg_seconds"), F.round("avg_tokens", 6).alias("avg_tokens"), F.lit(None).cast("string").alias("outcome"))
+    return one.unionByName(b.select(at, F.lit(None).cast("string").alias("alias"), F.col("n").alias("shown"), F.round("avg_seconds", 6).alias("avg_seconds"), F.lit(None).cast("double").alias("avg_tokens"), "outcome"))
+
+
 @query("st3_stream_restore", """select 'r' || c_custkey as response, 'Dear ' || c_name || ', and ' || c_name || ' again' as text from customer""")
 def _(t):
     vault = cut(V.build_vault(V.cells(t.customer, "c_custkey", {"c_name": "person_name"}, "c")))
@@ -72,13 +89,13 @@ def _(t):
 @query("st5_stream_once", """select user_id || '/' || event_type as key, 'done' as result from events group by all""")
 def _(t):
     a = t.events.select(F.col("ts").cast("timestamp").alias("t"), F.concat_ws("/", "user_id", "event_type").alias("key"))
-    return ST.stream_once(_stream(a, "t"), scratch(t.spark, "st5"), lambda b: b.withColumn("result", F.lit("done")), late="60 days")
+    return ST.stream_once(_stream(a, "t"), scratch(t.spark, "st5"), lambda b: b.withColumn("result", F.lit("done")))
 
 
 @query("st6_stream_new_parts", """select app, count(*) n from (select distinct user_id % 5 as app, part from (select user_id, unnest([event_type, props]) part from events)) group by 1""")
 def _(t):
     r = t.events.select(F.col("ts").cast("timestamp").alias("t"), (F.col("user_id") % 5).cast("string").alias("app"), F.array("event_type", "props").alias("parts"))
-    got = ST.stream_new_parts(_stream(r, "t"), scratch(t.spark, "st6"), late="60 days")
+    got = ST.stream_new_parts(_stream(r, "t"), scratch(t.spark, "st6"))
     return got.groupBy(F.col("app").cast("long").alias("app")).agg(F.count("*").alias("n"))
 
 
@@ -111,4 +128,8 @@ def _(t):
 def _(t):
     ch = t.documents.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("id")).unionByName(t.labels.filter("toxic = 1").select(F.col("doc_id").alias("id")))
     d = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"))
-    return ST.stream_invalidate(_stream(ch, "id", files=2), d, scratch(t.spark, "st10"), buckets=4)
+    out, path = scratch(t.spark, "st10"), scratch(t.spark, "stream-in")
+    for part in ("id % 3 = 0", "id % 3 <> 0"):  # the second run goes on where the first one ended
+        ch.filter(part).repartitionByRange(2, "id").write.mode("append").parquet(path)
+        got = ST.stream_invalidate(t.spark.readStream.schema(ch.schema).option("maxFilesPerTrigger", 1).parquet(path), d, out, rows_per_bucket=250)
+    return got

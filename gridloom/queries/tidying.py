@@ -70,6 +70,15 @@ def _(t):
     return c.groupBy("kind").agg(F.count("*").alias("files"), F.bool_and(F.col("size") > 0).alias("sized"))
 
 
+@query("src2b_catalog_by_mime", """
+select doc_id as id, case doc_id % 7 when 0 then 'sheet' when 1 then 'pdf' when 2 then 'image' when 3 then 'folder' when 4 then 'slides' when 5 then 'doc' else 'other' end as kind from documents""")
+def _(t):
+    k = (F.col("doc_id") % 7).cast("int")
+    mime = F.get(F.array(*[F.lit(m) for m in ("application/vnd.google-apps.spreadsheet", None, "image/PNG", "application/vnd.google-apps.folder", "application/octet-stream", "", "application/octet-stream")]), k)
+    name = F.concat(F.lit("f"), F.get(F.array(*[F.lit(m) for m in (".bin", ".PDF", ".x", "", ".pptx", ".md", ".zip")]), k))
+    return S.catalog_of(t.documents.select(F.col("doc_id").alias("id"), name.alias("name"), mime.alias("mime"), F.col("n_chars").alias("size"), F.lit(1).alias("modified"))).select("id", "kind")
+
+
 @query("src3_folder_paths", """
 select 'c' || c_custkey id, 'My Drive/' || r_name || '/' || n_name as path from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 union all select 'n' || n_nationkey, 'My Drive/' || r_name from nation join region on n_regionkey = r_regionkey
@@ -474,6 +483,16 @@ def _(t):
     return P.sheet_profile(t.part, ["p_name", "p_brand", "p_type"])
 
 
+@query("prf3b_profile_spellings", """
+with d as (select c_custkey, case c_custkey % 4 when 0 then lower(c_mktsegment) when 2 then c_mktsegment || '.' else c_mktsegment end seg from customer),
+c as (select seg, count(*) n, regexp_replace(lower(seg), '[^a-z0-9]', '', 'g') k from d group by 1), g as (select k, string_agg(seg, ' | ' order by n desc, seg) m, sum(n) r from c group by 1 having count(*) > 1)
+select 'seg' as "column", 0 as blank, (select count(*) from c) as "distinct", (select string_agg(m, '; ' order by r desc, m) from g) as spellings union all select 'c_custkey', 0, count(*), null from customer""")
+def _(t):
+    m = F.col("c_custkey") % 4
+    d = t.customer.select("c_custkey", F.when(m == 0, F.lower("c_mktsegment")).when(m == 2, F.concat("c_mktsegment", F.lit("."))).otherwise(F.col("c_mktsegment")).alias("seg"))
+    return P.sheet_profile_with_spellings(d, ["c_custkey", "seg"], ["seg"]).select("column", "blank", "distinct", "spellings")
+
+
 @query("prf4_describe", "with s as (select * from part order by p_partkey limit 500) select * from (" + _union("""select '{c}' as "column", (select count({c}) from s) filled, (select count(distinct {c}) from s) as "distinct",
  (select string_agg(v, ', ' order by v) from (select distinct {c}::varchar v from s order by v limit 5)) samples""", ["p_name", "p_brand", "p_size"]) + ")")
 def _(t):
@@ -499,6 +518,13 @@ def _(t):
     return P.schema_brief(t.customer, ["c_acctbal", "c_mktsegment"], codes)
 
 
+@query("prf7b_masked_rows", """select p_partkey::varchar as p_partkey, 'V' || row_number() over (order by p_partkey) as p_name, p_type from part order by part.p_partkey limit 5""")
+def _(t):
+    first = t.part.orderBy("p_partkey").limit(5)
+    codes = first.select(F.lower("p_name").alias("norm"), F.col("p_partkey").alias("k")).groupBy("norm").agg(F.min("k").alias("k")).select("norm", F.concat(F.lit("V"), (F.col("k") + 1).cast("string")).alias("code"))
+    return P.masked_rows(t.part, ["p_partkey", "p_name", "p_type"], codes, [F.col("p_partkey")], 5)
+
+
 @query("prf8_join_candidates", "select * from (" + _union("""select '{c}' as "column", count(distinct {c}) as "distinct", round(avg(length({c}::varchar)), 6) avg_length from customer having count(distinct {c}) >= 15 and avg(length({c}::varchar)) between 6 and 80""", ["c_name", "c_mktsegment", "c_nationkey"]) + ")")
 def _(t):
     return P.join_candidates(t.customer, ["c_name", "c_mktsegment", "c_nationkey"]).withColumn("avg_length", F.round("avg_length", 6))
@@ -519,6 +545,15 @@ def _(t):
     return P.protected_values(t.part, ["p_name", "p_brand", "p_retailprice", "p_type"])
 
 
+@query("prf10b_artefact_leaks", """
+with v as (select distinct c_name as value from customer), a as (select o_orderkey as id, 'made for ' || upper(c_name) || ' and ' || c_name || '9' as text from orders join customer on o_custkey = c_custkey where o_orderkey % 20 = 0),
+h as (select id, value, row_number() over (partition by id order by value) rn from a join v on contains(lower(text), lower(value))) select id, value from h where rn <= 5""")
+def _(t):
+    c = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    a = t.orders.filter("o_orderkey % 20 = 0").join(c, "o_custkey").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("made for "), F.upper("c_name"), F.lit(" and "), F.col("c_name"), F.lit("9")).alias("text"))
+    return P.artefact_leaks(a, P.protected_values(t.customer, ["c_name", "c_mktsegment"]))
+
+
 @query("prf11_check_key", """select count(*) as "rows", count(*) - count(l_orderkey) null_keys, (select count(*) from (select l_orderkey from lineitem group by 1 having count(*) > 1)) repeated_keys, 0 as blank_l_returnflag from lineitem""")
 def _(t):
     return P.check_key(t.lineitem, "l_orderkey", ["l_returnflag"])

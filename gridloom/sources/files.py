@@ -82,6 +82,13 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
                     F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
+def catalog_of(entries: DataFrame) -> DataFrame:
+    """A listing (id, name, mime, size, modified) with the kind of every entry: by its mime type, where that tells one, else by
+    the ending of its name."""
+    by_mime = kind_of_mime(F.coalesce("mime", F.lit("")))
+    return entries.withColumn("kind", F.when(by_mime != "other", by_mime).otherwise(kind_of_name(F.col("name"))))
+
+
 def resolve_paths(files: DataFrame, depth: int = 12) -> DataFrame:
     """Folder path from parent links. files(id, parent_id, name, shared). The name list doubles each round (a row takes
     over its ancestor's list), so `depth` levels need log2(depth) joins; a parent that is not listed ends in a default root."""

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.dates import parse_stamp
 from gridloom.functions.numbers import first_number
+from gridloom.operators.fill import LONG, filled
 from gridloom.operators.scale import running
+from gridloom.session import cut
 
 CHAT_STAMP = r"^(\d{1,2}/\d{1,2}/\d{2,4}),?\s+(\d{1,2}:\d{2}(?:\s?[APap][Mm])?)\s+-\s+"
 CHAT_LINE = CHAT_STAMP + r"([^:]{1,60}?):\s(.*)$"
@@ -97,9 +99,9 @@ def flatten_events(df: DataFrame, col: str = "json", zone: str = "Asia/Kolkata")
     return events, guests
 
 
-def to_pages(docs: DataFrame, key: str, text: str, size: int = 3000) -> DataFrame:
+def to_pages(docs: DataFrame, key: str, text: str, size: int = 3000, long: int = LONG) -> DataFrame:
     """Paragraph-preserving pages of about `size` characters: (key, page, text). Blank pages are dropped and keep their
-    number. Filling pages in order is sequential inside one text, so it is an array fold on the row that holds it."""
+    number. Texts of up to `long` characters are filled where they stand, longer ones by all tasks."""
     def pack(value: str) -> list[str]:
         pages, held, used = [], [], 0
         for para in value.split("\n"):
@@ -108,8 +110,7 @@ def to_pages(docs: DataFrame, key: str, text: str, size: int = 3000) -> DataFram
                 held, used = [], 0
             held.append(para + "\n")
             used += len(para) + 1
-        if "".join(held).strip():
-            pages.append("".join(held))
+        pages.append("".join(held))
         return pages
 
     @F.pandas_udf("array<string>")
@@ -117,8 +118,15 @@ def to_pages(docs: DataFrame, key: str, text: str, size: int = 3000) -> DataFram
         return s.map(lambda v: [] if v is None else pack(v))
 
     clean = F.regexp_replace(F.replace(F.col(text), F.lit("﻿"), F.lit("")), r"[ \t]+", " ")
-    return (docs.select(key, F.posexplode(pages(clean)).alias("page", "text"))
-            .withColumn("page", F.col("page") + 1).filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    base = docs.select(F.col(key), clean.alias("_t"))
+    short = base.filter(F.length("_t") <= long).select(key, F.posexplode(pages("_t")).alias("page", "text"))
+    many = cut(base.filter(F.length("_t") > long).withColumn("row", F.monotonically_increasing_id()))
+    if not many.isEmpty():
+        lines = many.select("row", F.posexplode(F.split("_t", "\n", -1)).alias("pos", "line")).select("row", F.col("pos").cast("long").alias("pos"), F.concat("line", F.lit("\n")).alias("line"))
+        # a page may hold `size` up to the end of a paragraph, its line end not counted
+        spread = filled(lines, size + 1).join(many.select("row", key), "row").select(key, F.col("page").cast("int").alias("page"), "text")
+        short = short.unionByName(spread)
+    return short.withColumn("page", F.col("page") + 1).filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
 
 
 def year_tables(lines: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.functions.text import norm
 from gridloom.operators import vault as V
+from gridloom.operators.aggregate import chosen_votes
 from gridloom.operators.detect import detect, exploded
 from gridloom.operators.scale import numbered
 from gridloom.session import cut
@@ -53,12 +54,22 @@ def tally_stream(votes: DataFrame, at: str = "t", late: str = "10 minutes", widt
             .agg(F.count("*").alias("n"), F.avg("seconds").alias("avg_seconds")).select(F.col("window.start").alias("start"), "outcome", "n", "avg_seconds"))
 
 
-def stream_tally(votes: DataFrame, out: str, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
+def stream_tally(votes: DataFrame, out: str, late: str = "10 minutes", width: str = "1 minute", org: str | None = None, choice: str | None = None) -> DataFrame:
+    """Live tally of all votes, or of those of one organisation and outcome."""
     open_sink(votes.sparkSession, out, "start timestamp, outcome string, n bigint, avg_seconds double")
-    run_available(tally_stream(votes, late=late, width=width), lambda b, n: write_batch(b, out, n), out, "update")
+    run_available(tally_stream(chosen_votes(votes, org, choice), late=late, width=width), lambda b, n: write_batch(b, out, n), out, "update")
     return newest(committed(votes.sparkSession, out), ["start", "outcome"])
 
 
+def stream_candidates(votes: DataFrame, out: str, late: str = "10 minutes", width: str = "1 minute", org: str | None = None, choice: str | None = None) -> DataFrame:
+    """Live latency and tokens per window and candidate, from votes with a nested candidate array."""
+    open_sink(votes.sparkSession, out, "start timestamp, alias string, shown bigint, avg_seconds double, avg_tokens double")
+    each = chosen_votes(votes, org, choice).withWatermark("t", late).select("t", F.explode("cands").alias("c")).filter("c.seconds is not null")
+    agg = each.groupBy(F.window("t", width), F.col("c.alias").alias("alias")).agg(F.count("*").alias("shown"), F.avg("c.seconds").alias("avg_seconds"), F.avg("c.tokens_out").alias("avg_tokens"))
+    run_available(agg.select(F.col("window.start").alias("start"), "alias", "shown", "avg_seconds", "avg_tokens"), lambda b, n: write_batch(b, out, n), out, "update")
+    return newest(committed(votes.sparkSession, out), ["start", "alias"])
+
+
 # ------------------------------------------------------------------ ST3
 # The longest piece held back, and how an unfinished code at the end of a piece looks.
 HELD = 32
