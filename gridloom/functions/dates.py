@@ -8,20 +8,9 @@ from pyspark.sql import Column, functions as F
 # Formats tried in this order.
 DATE_FORMATS = ("dd/MM/yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd/MM/yy", "MM/dd/yyyy", "dd MMM yyyy", "dd-MMM-yyyy",
                 "MMM yyyy")
-_SEP4, _SEP2 = r"^\d{1,2}%s\d{1,2}%s\d{4}$", r"^\d{1,2}%s\d{1,2}%s\d{2}$"
-_NAMED = ((r"^\d{1,2}\s[A-Za-z]{3}\s\d{4}$", "d MMM yyyy"), (r"^\d{1,2}\s[A-Za-z]{4,9}\s\d{4}$", "d MMMM yyyy"),
-          (r"^[A-Za-z]{3}\s\d{1,2},\s\d{4}$", "MMM d, yyyy"), (r"^[A-Za-z]{3}\s\d{1,2}\s\d{4}$", "MMM d yyyy"),
-          (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"))
-
-
-def _readings(first: str, second: str):
-    """(shape, format) pairs; the shape is tested first, so a parser only runs on text it can read."""
-    out = []
-    for sep in ("/", "-", "."):
-        esc = "\\." if sep == "." else sep
-        out.append((_SEP4 % (esc, esc), f"{first}{sep}{second}{sep}yyyy"))
-        out.append((_SEP2 % (esc, esc), f"{first}{sep}{second}{sep}yy"))
-    return (*out, *_NAMED)
+_NUMBERS, _ISO = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})$", r"^\d{4}-\d{1,2}-\d{1,2}$"
+_DAY_NAME, _NAME_DAY = r"^(\d{1,2}) ([A-Za-z]{3,9}) (\d{4})$", r"^([A-Za-z]{3}) (\d{1,2}),? (\d{4})$"
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
 DATE_SHAPE = (r"^\s*(\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4}|[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})"
@@ -57,13 +46,31 @@ def parse_date(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     return F.coalesce(*[parse_one(c, f) for f in formats])
 
 
+def _month_number(name: Column) -> Column:
+    """1 to 12 of a month's name, whole or its first three letters; 0 for other words."""
+    low = F.lower(name)
+    return F.greatest(F.array_position(F.array(*[F.lit(m[:3]) for m in _MONTHS]), low), F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), low)).cast("string")
+
+
+def day_text(day: Column, day_first: bool = True) -> Column:
+    """A day written in numbers or with a month's name as `year-month-day`, by its shape alone; it may name no real day."""
+    def got(pattern: str, i: int) -> Column:
+        return F.regexp_extract(day, pattern, i)
+    year = got(_NUMBERS, 4)
+    year = F.when(F.length(year) == 4, year).otherwise(F.concat(F.when(year >= "69", "19").otherwise("20"), year))  # two-digit years 69 to 99: last century
+    d, m = (got(_NUMBERS, 1), got(_NUMBERS, 3)) if day_first else (got(_NUMBERS, 3), got(_NUMBERS, 1))
+    return (F.when(day.rlike(_ISO), day).when(day.rlike(_NUMBERS), F.concat_ws("-", year, m, d))
+            .when(day.rlike(_DAY_NAME), F.concat_ws("-", got(_DAY_NAME, 3), _month_number(got(_DAY_NAME, 2)), got(_DAY_NAME, 1)))
+            .when(day.rlike(_NAME_DAY), F.concat_ws("-", got(_NAME_DAY, 3), _month_number(got(_NAME_DAY, 1)), got(_NAME_DAY, 2))))
+
+
 def parse_stamp(c: Column, day_first: bool = True) -> Column:
-    """Date with an optional time, in day-first or month-first reading."""
+    """Date with an optional time, in day-first or month-first reading. The shape gives year, month and day; one cast checks
+    that they name a real day."""
     t = F.trim(c)
     timed = t.rlike(r"[T ]\d{1,2}:\d{2}(:\d{2})?$")
     day = F.when(timed, F.regexp_replace(t, r"[T ]\d{1,2}:\d{2}(:\d{2})?$", "")).otherwise(t)
-    at = F.coalesce(*[F.when(day.rlike(shape), century(F.try_to_timestamp(day, F.lit(f)), f))
-                      for shape, f in (_readings("d", "M") if day_first else _readings("M", "d"))])
+    at = day_text(day, day_first).try_cast("date").cast("timestamp")
     clock = F.split(F.regexp_extract(t, r"[T ](\d{1,2}:\d{2}(?::\d{2})?)$", 1), ":")
     secs = clock[0].cast("int") * 3600 + clock[1].cast("int") * 60 + F.coalesce(F.get(clock, F.lit(2)).cast("int"), F.lit(0))
     return F.when(timed, F.timestamp_seconds(F.unix_timestamp(at) + secs)).otherwise(at)
