@@ -3,10 +3,12 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.operators.scale import running
@@ -32,24 +34,97 @@ def split_csv(line: Column, sep: str = ",") -> Column:
     """Cells of one record; quotes removed, doubled quotes undone."""
     q = F.lit(f'{sep}("(?:[^"]++|"")*+"|[^{sep}]*)')
     cells = F.regexp_extract_all(F.concat(F.lit(sep), line), q, F.lit(1))
-    return F.transform(cells, lambda c: F.when(c.startswith('"') & (F.length(c) >= 2),
+    return F.transform(cells, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) >= 2),
                                                F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
-def read_grid(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Raw grid of CSV or TSV files: (file, sheet, row_no, cells), no header, all text, blank rows kept. A record whose
-    quotes are still open runs on into the next line; open quotes are found with a running quote count per file."""
-    lines = read_lines(spark, path)
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"')))
-    odd = lines.withColumn("_odd", (quotes % 2).cast("long"))
-    if not odd.filter("_odd = 1").limit(1).count():
-        return lines.select("file", F.lit("csv").alias("sheet"), F.col("line_no").alias("row_no"), split_csv(F.col("line"), sep).alias("cells"))
-    counted = running(odd, ["file"], "line_no", sums={"_seen": F.col("_odd")})
-    starts = counted.withColumn("_new", ((F.col("_seen") - F.col("_odd")) % 2 == 0).cast("long"))
-    placed = running(starts, ["file"], "line_no", sums={"_rec": F.col("_new")})
-    recs = placed.groupBy("file", (F.col("_rec") - 1).alias("row_no")).agg(
+def _closed_after(line: Column, sep: str) -> Column:
+    """Whether no quote is open at the end of a line that begins outside one. A quote opens only where a cell begins; inside a
+    cell it is a character like others."""
+    cell = f'(?:"[^"]*+(?:""[^"]*+)*+"[^{sep}]*+|[^{sep}"][^{sep}]*+)?+'
+    return ~line.rlike(f'^(?:{cell}{sep})*+"[^"]*+(?:""[^"]*+)*+$')
+
+
+def quote_states(line: Column, sep: str = ",") -> tuple[Column, Column]:
+    """Whether a quote is open after a line that begins outside one, and after one that begins inside one."""
+    rest = F.regexp_replace(line, f'^[^"]*+(?:""[^"]*+)*+"[^{sep}]*+{sep}?', "")
+    return ~_closed_after(line, sep), line.rlike('^[^"]*+(?:""[^"]*+)*+$') | ~_closed_after(rest, sep)
+
+
+_MARKED = "file string, _start long, at long, line string, b0 boolean, b1 boolean, a0 boolean, a1 boolean, r0 long, r1 long"
+
+
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a split with their place in it and, for both states that the split may begin in: whether a quote is open before
+    and after the line, and how many records ended before it."""
+    split, seen, state, ended = None, 0, (False, True), (0, 0)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        files, begins = batch.column("file").to_pandas(), batch.column("_start").to_numpy()
+        out, inside = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("o", "i"))
+        new = np.append(True, (files.to_numpy()[1:] != files.to_numpy()[:-1]) | (begins[1:] != begins[:-1]))
+        edges = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            name = (files.iloc[lo], int(begins[lo]))
+            if name != split:
+                split, seen, state, ended = name, 0, (False, True), (0, 0)
+            turns = np.cumsum(out[lo:hi] & ~inside[lo:hi]) & 1  # lines that turn the state, whichever it is
+            sure = np.where(out[lo:hi] == inside[lo:hi], np.arange(hi - lo), -1)  # lines that leave one state, whichever was before
+            last = np.maximum.accumulate(sure)
+            cols = []
+            for k in (0, 1):
+                base = np.where(last >= 0, out[lo:hi][np.maximum(last, 0)] ^ turns[np.maximum(last, 0)].astype(bool), state[k])
+                after = base ^ turns.astype(bool)
+                done = np.cumsum(~after)
+                cols.append((np.append(state[k], after[:-1]), after, ended[k] + done - ~after, ended[k] + int(done[-1])))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("file").slice(lo, hi - lo), batch.column("_start").slice(lo, hi - lo), pa.array(seen + np.arange(hi - lo)), batch.column("line").slice(lo, hi - lo),
+                pa.array(cols[0][0].astype(bool)), pa.array(cols[1][0].astype(bool)), pa.array(cols[0][1]), pa.array(cols[1][1]), pa.array(cols[0][2]), pa.array(cols[1][2])],
+                names=["file", "_start", "at", "line", "b0", "b1", "a0", "a1", "r0", "r1"])
+            seen, state, ended = seen + hi - lo, (bool(cols[0][1][-1]), bool(cols[1][1][-1])), (cols[0][3], cols[1][3])
+
+
+def read_grid(spark: SparkSession, path: str | Sequence[str], sep: str = ",", longest: int = 10_000) -> DataFrame:
+    """Raw grid of CSV or TSV files: (file, sheet, row_no, cells), no header, all text, blank rows kept. A record whose quotes
+    are still open runs on into the next line.
+
+    Files stay splittable: every split is read for both states that it may begin in, and the states, lines and records of the
+    splits before it are put together from one row per split. Records of one line go on as they are read; only the lines of
+    longer ones are brought together. A quote that opens a cell and is not closed within `longest` lines gathers no record: its
+    lines stand alone."""
+    part = "\\t" if sep == "\t" else re.escape(sep)
+    text = spark.read.text(path, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.make_valid_utf8("value").alias("line"))
+    out, inside = quote_states(F.col("line"), part)
+    marked = text.select("*", out.alias("o"), inside.alias("i")).mapInArrow(_mark_rows, _MARKED)
+    ends = marked.groupBy("file", "_start").agg(F.max_by(F.struct("a0", "a1", (F.col("at") + 1).alias("n"), (F.col("r0") + (~F.col("a0")).cast("long")).alias("e0"), (F.col("r1") + (~F.col("a1")).cast("long")).alias("e1")), "at").alias("s"))
+    splits = ends.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("_start", "s"))).alias("splits"))  # the splits of one file
+    none = F.struct(F.lit(False).alias("open"), F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("recs"), F.array().cast("array<struct<_start: bigint, open: boolean, lines: bigint, recs: bigint>>").alias("all"))
+
+    def step(acc: Column, x: Column) -> Column:
+        here = F.struct(x["_start"].alias("_start"), acc["open"].alias("open"), acc["lines"].alias("lines"), acc["recs"].alias("recs"))
+        return F.struct(F.when(acc["open"], x["s"]["a1"]).otherwise(x["s"]["a0"]).alias("open"), (acc["lines"] + x["s"]["n"]).alias("lines"),
+                        (acc["recs"] + F.when(acc["open"], x["s"]["e1"]).otherwise(x["s"]["e0"])).alias("recs"), F.concat(acc["all"], F.array(here)).alias("all"))
+    begin = splits.select("file", F.inline(F.aggregate("splits", none, step)["all"])).withColumnsRenamed({"lines": "_lines", "recs": "_recs", "open": "_open"})
+
+    def pick(x: str) -> Column:
+        return F.when(F.col("_open"), F.col(f"{x}1")).otherwise(F.col(f"{x}0"))
+    placed = marked.join(begin, ["file", "_start"]).select("file", (F.col("_lines") + F.col("at")).alias("line_no"), "line", pick("b").alias("_before"), pick("a").alias("_after"), (F.col("_recs") + pick("r")).alias("_rec"))
+    whole, parts = placed.filter("not _before and not _after"), placed.filter("_before or _after")
+    sizes = parts.groupBy("file", "_rec").agg(F.count("*").alias("_n"), F.min("line_no").alias("_first"))
+    stray = sizes.filter(F.col("_n") >= longest)
+    shifts = stray.groupBy("file").agg(F.collect_list(F.struct("_rec", (F.col("_n") - 1).alias("more"))).alias("_strays"))  # one entry per `longest` lines at most
+
+    def numbered_rows(df: DataFrame) -> DataFrame:
+        """Lines that stand alone push the numbers of the records behind them."""
+        before = F.aggregate(F.filter(F.coalesce("_strays", F.array().cast("array<struct<_rec: bigint, more: bigint>>")), lambda x: x["_rec"] < F.col("_rec")), F.lit(0).cast("long"), lambda s, x: s + x["more"])
+        return df.join(shifts, "file", "left").select("file", F.lit("csv").alias("sheet"), (F.col("row_no") + before).alias("row_no"), split_csv(F.col("line"), sep).alias("cells"))
+    long = parts.join(stray, ["file", "_rec"], "left_anti").groupBy("file", "_rec").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"]), "\n").alias("line"))
-    return recs.select("file", F.lit("csv").alias("sheet"), "row_no", split_csv(F.col("line"), sep).alias("cells"))
+    alone = parts.join(stray, ["file", "_rec"]).select("file", "_rec", "line", (F.col("_rec") + F.col("line_no") - F.col("_first")).alias("row_no"))
+    every = whole.select("file", "_rec", "line", F.col("_rec").alias("row_no")).unionByName(long.select("file", "_rec", "line", F.col("_rec").alias("row_no"))).unionByName(alone)
+    return numbered_rows(every)
 
 
 # Kind by mime part, then by extension.

@@ -132,3 +132,63 @@ def test_kinds_of_a_listing(spark):
     rows = [(1, "a.pdf", "application/vnd.google-apps.folder"), (2, "a.pdf", None), (3, "b", "image/png"), (4, "c.csv", "application/octet-stream"), (5, None, None)]
     got = {r.id: r.kind for r in FS.catalog_of(spark.createDataFrame(rows, "id int, name string, mime string")).collect()}
     assert got == {1: "folder", 2: "pdf", 3: "image", 4: "sheet", 5: "other"}
+
+
+def csv_rows(text):
+    """Records as the reader defines them: a quote opens a cell only at its beginning."""
+    rows, cell, row, inside, at, i = [], "", [], False, True, 0
+    while i < len(text):
+        ch = text[i]
+        if inside:
+            if ch == '"' and text[i + 1:i + 2] == '"':
+                cell, i = cell + '""', i + 1
+            elif ch == '"':
+                inside, cell = False, cell + ch
+            else:
+                cell += ch
+        elif ch == '"' and at:
+            inside, cell = True, cell + ch
+        elif ch == ",":
+            row.append(cell)
+            cell = ""
+        elif ch == "\n":
+            rows.append([*row, cell])
+            row, cell = [], ""
+        else:
+            cell += ch
+        at = not inside and ch in ",\n"
+        i += 1
+    if cell or row:
+        rows.append([*row, cell])
+    return [[c[1:-1].replace('""', '"') if len(c) >= 2 and c[0] == '"' and c[-1] == '"' else c for c in r] for r in rows]
+
+
+@pytest.mark.parametrize("bytes_", ["128m", "64b"])
+def test_grids_however_they_are_split(spark, tmp_path, bytes_):
+    rng = random.Random(9)
+    texts = {}
+    for f in range(6):
+        cells = ['"', '""', "a", "b c", '"x"', '"y\nz"', '"q""r"', '5" pipe', '"two\n\nlines, here"', "", "é"]
+        cells = [c for c in cells if c not in ('"', '""')] if f else ['"x"', "a", '5" pipe', "5\" x\"", '"m\nn"']
+        texts[f] = "\n".join(",".join(rng.choices(cells, k=rng.randint(1, 4))) for _ in range(60)) + "\n"
+        (tmp_path / f"f{f}.csv").write_text(texts[f])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = FS.read_grid(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for f, text in texts.items():
+        own = sorted((r.row_no, r.cells) for r in got if r.file.endswith(f"f{f}.csv"))
+        assert [c for _, c in own] == csv_rows(text) and [n for n, _ in own] == list(range(len(own)))
+
+
+def test_a_stray_quote_gathers_no_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,"1\n2"\n' + '"stray,1\n' + "".join(f"r{i},2\n" for i in range(50)) + 'end",3\nlast,"a\nb"\n')
+    got = sorted((r.row_no, r.cells) for r in FS.read_grid(spark, str(tmp_path), longest=20).collect())
+    assert len(got) == 1 + 52 + 1 and got[0] == (0, ["x", "1\n2"]) and got[1] == (1, ['"stray', "1"]) and got[5] == (5, ["r3", "2"])
+    assert got[-2] == (52, ['end"', "3"]) and got[-1] == (53, ["last", "a\nb"])
+    plan = FS.read_grid(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
