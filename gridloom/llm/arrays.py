@@ -134,11 +134,17 @@ def same_words(w: Words, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def distinct_words(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """For each word the number of its kind, and the first word of every kind; kinds are told apart by their bytes."""
+    """For each word the number of its kind, and the first word of every kind; kinds are told apart by their bytes. Words of up
+    to eight bytes and the same length that share a hash are equal, since each step of the hash can be undone; longer ones are
+    compared."""
     codes, kinds = pd.factorize(w.hashes())
     first = np.zeros(len(kinds), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    other = np.flatnonzero(~same_words(w, np.arange(len(codes)), first[codes]))
+    size, like = w.ends - w.starts, first[codes]
+    other = size != size[like]
+    long = np.flatnonzero(size > 8)
+    other[long] |= ~same_words(w, long, like[long])
+    other = np.flatnonzero(other)
     if len(other):  # words that share a hash with another one
         line, seen = w.data.tobytes(), {}
         codes = codes.astype(np.int64)
