@@ -111,6 +111,15 @@ def _combined(head: str, tokens: list[str], least: int, at_once: int) -> list[st
     return ["|".join((head, *c)) for c in combinations(tokens[:len(tokens) - least + k], k)]
 
 
+@lru_cache(maxsize=4096)
+def _at_once(n: int, least: int) -> int:
+    """How many tokens of `least` shared ones a key names, for sets of up to `n`: up to four, while one set has few keys."""
+    k = 1
+    while k < min(4, least) and math.comb(max(n - least, 0) + k + 1, k + 1) <= 24:
+        k += 1
+    return max(k, min(2, least))
+
+
 def keys_of(text: str, kind: str, floor: float, chars: dict[str, int], grams: dict[str, int]) -> list[str]:
     """Keys shared by every pair that can reach `floor`: both lengths, and tokens among the rarest of each side.
 
@@ -122,7 +131,10 @@ def keys_of(text: str, kind: str, floor: float, chars: dict[str, int], grams: di
         pairs = _numbered([text[i:i + 2] for i in range(la - 1)], grams)
         for lb, need in partner_lengths(kind, floor, la):
             size, least = f"{min(la, lb)}.{max(la, lb)}", least_grams(floor, la, lb)
-            out += _combined(f"g{size}", pairs, least, 2) if least >= 2 else _combined(f"c{size}", letters, need, 2)
+            if least >= 2:
+                out += _combined(f"g{size}", pairs, least, _at_once(max(la, lb) - 1, least))
+            else:
+                out += _combined(f"c{size}", letters, need, _at_once(max(la, lb), need))
         return out
     for same in range(min(PREFIX, la) + 1):
         rest = _numbered(list(text[same:]), chars)
@@ -131,7 +143,7 @@ def keys_of(text: str, kind: str, floor: float, chars: dict[str, int], grams: di
             out += _combined(f"{same}{text[:same]}", rest, min((need for _, need in lengths), default=la) - same, PREFIX - same)
         else:
             for lb, need in lengths:
-                out += _combined(f"{same}{text[:same]}|{min(la, lb)}.{max(la, lb)}", rest, need - same, 2)
+                out += _combined(f"{same}{text[:same]}|{min(la, lb)}.{max(la, lb)}", rest, need - same, _at_once(max(la, lb) - same, need - same))
     return out
 
 
