@@ -210,7 +210,8 @@ def variant_groups(df: DataFrame, col: str, max_values: int | None = None, first
     grouped = v.join(label, "k").groupBy("label").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("value")))).alias("g"), F.sum("n").alias("rows"))
     out = grouped.filter(F.size("g") > 1).select(F.array_join(F.transform("g", lambda s: s["value"]), " | ").alias("members"), "rows")
-    return out if first is None else out.orderBy(F.desc("rows"), "members").limit(first)
+    out = out.orderBy(F.desc("rows"), "members")
+    return out if first is None else out.limit(first)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
