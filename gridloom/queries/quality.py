@@ -367,6 +367,18 @@ def _(t):
     return both.select("o_orderkey", "text")
 
 
+@query("udf2_span_model", """select c_custkey as id, 3 * (700 + c_custkey % 50) + 4 as "start", 3 * (700 + c_custkey % 50) + 22 as "end", 'person_name' as label, 0.9::double as score from customer""")
+def _(t):
+    from gridloom.operators import detect
+
+    @F.pandas_udf(detect.SPAN)
+    def model(s: pd.Series) -> pd.Series:  # stands for any span model: sees pieces of bounded size, in Arrow batches
+        at = s.str.find("Customer#")
+        return pd.Series([[{"start": a, "end": min(a + 18, n), "label": "person_name", "score": 0.9}] if a >= 0 else [] for a, n in zip(at, s.str.len())])
+    text = F.concat(F.repeat(F.lit("no "), (F.col("c_custkey") % 50 + 700).cast("int")), F.lit("met "), F.col("c_name"), F.lit(" there "), F.repeat(F.lit("no "), 500))
+    return detect.model_spans(t.customer.select(F.col("c_custkey").alias("id"), text.alias("text")), "id", "text", model, size=300, overlap=40)
+
+
 @query("udf3_taught_expressions", """select case when o_totalprice > 250000 then 'big' else 'small' end as size, count(*) filter (where o_orderstatus = 'O') as open_orders, round(100.0 * count(*) filter (where o_orderstatus = 'O') / count(*), 6) as open_share from orders group by 1""")
 def _(t):
     from gridloom.plans.form import Form, Spec, run_form
