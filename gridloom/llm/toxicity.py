@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.arrays import BYTE_VALUES, LETTER, LOWER, Words, blocks, list_array, mixed, run_hashes
+from gridloom.llm.arrays import LETTER, LOWER, Words, blocks, byte_hashes, list_array
 from gridloom.llm.tables import ready
 
 ROWS = 1 << 18
@@ -34,12 +34,12 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(text, row) of every term occurrence of a block."""
     low = LOWER[data]
     w = Words(low, offsets, LETTER[low])
-    text, values = w.text_of(), BYTE_VALUES[low]
-    texts, rows = [text], [mixed(run_hashes(values, w.starts, w.ends)) % np.uint64(ROWS)]
+    text = w.text_of()
+    texts, rows = [text], [w.hashes() % np.uint64(ROWS)]
     for size in FRONTS:
         long = np.flatnonzero(w.ends - w.starts > size)
         texts.append(text[long])
-        rows.append(mixed(run_hashes(values, w.starts[long], w.starts[long] + size) + np.uint64(size)) % np.uint64(ROWS))
+        rows.append(byte_hashes(low, w.starts[long], w.starts[long] + size, 1) % np.uint64(ROWS))
     return np.concatenate(texts), np.concatenate(rows).astype(np.int64)
 
 
