@@ -7,7 +7,8 @@
 5. `packing`                the rest becomes sequences of 4096 tokens, every source at its share in each of them.
 
 The first four return the columns of `documents`, the last the pieces with their token ids. Rows with a null id take part
-like all others; of rows that repeat wholly one stays after stage 2. Each stage's result is written before the next reads it.
+like all others; of rows that repeat wholly one stays after stage 2. Texts of any length pass whole through every stage, each in
+the task that reads it. Each stage's result is written before the next reads it.
 """
 from __future__ import annotations
 

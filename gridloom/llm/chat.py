@@ -7,7 +7,8 @@ the loss mask. A conversation that does not end with an assistant turn gets a la
 turn is lost.
 
 Defined cases: a null role or text is empty; turns are ordered by turn (nulls first), then role and text, and repeated rows
-are turns of their own; rows without a conversation id form one conversation; an empty table gives no example. The output
+are turns of their own; rows without a conversation id form one conversation; an empty table gives no example; a text of any length stands in its row whole; other columns are not read, whatever their
+names. The output
 holds every prefix whole, so it grows with the square of the turns of a conversation, as the method asks.
 """
 from __future__ import annotations

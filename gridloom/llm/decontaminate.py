@@ -11,7 +11,9 @@ A document shorter than an item is one window. Items are taken in groups of boun
 items mean more passes over the documents, never a larger broadcast.
 
 Defined cases: items and documents without words match nothing; an item of fewer than 5 words is one shingle; of equal
-windows the first counts; repeated rows are each reported; an empty table on either side gives an empty result.
+windows the first counts; repeated rows are each reported; a null text has no words;
+a text of any length is scanned whole, its windows in slices of WINDOWS, also where it repeats one word; an empty table on
+either side gives an empty result; other columns are not read, whatever their names.
 """
 from __future__ import annotations
 

@@ -10,7 +10,8 @@ multiplied first, so that the exact messages at the segment edges are known befo
 at once. Nothing is shuffled in prediction; the model is a few arrays of fixed size.
 
 Defined cases: a null text or one without a letter is `und` with score 0; words without a letter give no evidence and no
-mass; without any labelled text every prediction is `und`; repeated rows are labelled alike.
+mass; without any labelled text every prediction is `und`; repeated rows are labelled alike; columns that are
+kept must not be named like the results, others are not read.
 """
 from __future__ import annotations
 

@@ -18,7 +18,8 @@ Where a document stands in its queue comes from sums per (partition, source): pa
 do. Token ids are made once and written to the shared folder; pieces are cut from there without a shuffle of ids.
 
 Defined cases: a null or empty text is the end token alone; a null source is a queue of its own; a target that names
-no source of the table is refused; repeated rows are packed each; an empty table gives no piece.
+no source of the table is refused; repeated rows are packed each; a text of any length is encoded by the task that reads it and cut into as many pieces as it needs; an empty
+table gives no piece; other columns are not read, whatever their names.
 """
 from __future__ import annotations
 

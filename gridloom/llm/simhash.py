@@ -9,8 +9,9 @@ dealt into blocks of about BLOCK members; two blocks are compared as arrays and
 the task, never all pairs. Components come from alternating large-star and small-star rounds over those edges.
 
 Defined cases: no words (null, empty, white space) gives fingerprint zero, which links like any other; fewer words than a
-shingle form one shingle; repeated rows share their node; a component without any non-null id has a null id; an empty
-table gives an empty result; other columns are not read.
+shingle form one shingle; repeated rows share their node; a component without any non-null id has a null id; a text
+of any length is fingerprinted whole by the task that reads it; an empty table gives an empty result; other columns are not
+read, whatever their names.
 """
 from __future__ import annotations
 

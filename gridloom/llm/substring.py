@@ -11,8 +11,9 @@ Nothing is paired inside a group: classes are found by counting (map-side combin
 documents share costs one row per occurrence and map task. Decisions rest on two independent 64-bit hashes.
 
 Defined cases: a null or empty text has no words and keeps none; rows that repeat with the same id and text are copies of
-each other, so all their windows repeat; a null id is a value like any other; an empty table gives an empty result; other
-columns are not read.
+each other, so all their windows repeat; a null id is a value like any other; a text of any length is cut into words by the
+task that reads it, with about 100 bytes a word; an empty table gives an empty result; other columns are not read, whatever
+their names (`carry` keeps them in a struct).
 """
 from __future__ import annotations
 

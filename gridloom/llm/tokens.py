@@ -6,7 +6,8 @@ spaces and what follows up to the next space). Each vocabulary string that has t
 those that give exactly one token are proven, and later counted by lookup. The other pre-tokens are merged by the library
 itself, once per distinct string and worker. A model without the property is counted text by text.
 
-Defined cases: a null or empty text has 0 tokens; text is taken whole however long; repeated rows are counted alike.
+Defined cases: a null or empty text has 0 tokens; text is taken whole however long; repeated rows are counted alike; other columns
+are not read, whatever their names.
 """
 from __future__ import annotations
 

@@ -7,7 +7,8 @@ stochastic gradient steps on a bounded, documented sample of labelled documents;
 hold, or whose counts there go with the label no more than chance would have it (G-test below LEAST_G), take no part. Scoring reads each text once, whole, without a shuffle; the model has a fixed size.
 
 Defined cases: a null or empty text has the bias alone; a document with several labels counts as toxic if one says so; null
-labels and labels of unknown documents teach nothing; without any label every score is 0; repeated rows score alike.
+labels and labels of unknown documents teach nothing; without any label every score is 0; repeated rows score alike; a text
+of any length is scored whole; columns that are kept must not be named like the results, others are not read.
 """
 from __future__ import annotations
 
