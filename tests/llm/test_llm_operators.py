@@ -474,3 +474,19 @@ def test_lm_learns_context(spark):
     got = lm.score(df.filter("doc_id >= 150"), model, counts).collect()
     assert all(r.score > 0.8 * r.base_score for r in got)  # both are negative
     assert all(r.score > r.base_score for r in got)
+
+
+def test_decontamination_of_one_repeated_word_stays_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gridloom.llm import arrays
+    items = decontaminate.Items([0], ["w " * 1000], 5, decontaminate.RADIUS, decontaminate.BLOCKS)
+    data, offsets = arrays.raw(pa.array(["w " * 40_000, "w " * 999]))
+    words = arrays.Words(data, offsets, arrays.ALNUM[data])
+    tracemalloc.start()
+    hits = decontaminate._block_hits(items, words, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(t, i, s) for t, i, _, s, _ in hits] == [(0, 0, 0), (1, 0, 0)] and peak < 100 << 20
