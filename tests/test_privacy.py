@@ -123,3 +123,17 @@ def test_span_eval(spark):
     found = spark.createDataFrame([("d", 4, 8, "phone"), ("d", 20, 25, "phone")], "k string, start int, end int, label string")
     rows = {r.label: (r.recall, r.precision) for r in D.span_eval(gold, found, "k").collect()}
     assert rows["(all)"] == (0.5, 0.5) and rows["email"] == (0.0, None)
+
+
+def test_a_model_reads_bounded_pieces(spark):
+    import pandas as pd
+    size = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf(D.SPAN)
+    def model(s):
+        size.add(int((s.str.len() > 50).sum()))
+        return pd.Series([[{"start": i, "end": min(i + 6, len(v)), "label": "x", "score": 1.0} for i in range(len(v)) if v.startswith("@", i)] for v in s])
+    rows = [(1, "a" * 37 + "@bcdef" + "g" * 200 + "@hijkl" + "m" * 90 + "@no"), (2, "@short"), (3, ""), (4, None), (None, "@nobody")]
+    got = D.model_spans(spark.createDataFrame(rows, "id int, t string"), "id", "t", model, size=50, overlap=10)
+    assert sorted(map(repr, ((r.id, r.start, r.end) for r in got.collect()))) == sorted(map(repr, [(1, 37, 43), (1, 243, 249), (1, 339, 342), (2, 0, 6), (None, 0, 6)]))
+    assert size.value == 0
