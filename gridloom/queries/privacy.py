@@ -196,12 +196,13 @@ def _(t):
 
 
 @query("prv13b_mixed_columns", """
-with c as (select c_custkey k, case when c_custkey % 3 = 0 then 'c' || c_custkey || '@mail.org' when c_custkey % 3 = 1 then '98' || lpad(c_custkey::varchar, 8, '0') else c_name end as v from customer),
+with c as (select c_custkey k, case when c_custkey % 3 = 0 then 'c' || c_custkey || '@mail.org' when c_custkey % 3 = 1 then '98' || lpad(c_custkey::varchar, 8, '0') else 'Ms ' || translate(c_custkey::varchar, '0123456789', 'abcdefghij') end as v from customer),
 n as (select *, case k % 3 when 0 then 'EMAIL' when 1 then 'PHONE' else 'NAME' end p, row_number() over (partition by k % 3 order by k) n from c)
 select k as id, p || '_' || lpad(n::varchar, greatest(3, length(n::varchar))::int, '0') as contact, k % 2 as plain from n""")
 def _(t):
     k = F.col("c_custkey")
-    v = F.when(k % 3 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit("@mail.org"))).when(k % 3 == 1, F.concat(F.lit("98"), F.lpad(k.cast("string"), 8, "0"))).otherwise(F.col("c_name"))
+    v = F.when(k % 3 == 0, F.concat(F.lit("c"), k.cast("string"), F.lit("@mail.org"))).when(k % 3 == 1, F.concat(F.lit("98"), F.lpad(k.cast("string"), 8, "0"))).otherwise(
+        F.concat(F.lit("Ms "), F.translate(k.cast("string"), "0123456789", "abcdefghij")))
     d = t.customer.select(k.alias("id"), v.alias("contact"), (k % 2).alias("plain"))
     classes = {"contact": ["person_name", "email", "phone"], "plain": "none"}
     return V.pseudonymise(d, "id", classes, cut(V.build_vault(V.cells(d, "id", V.direct_columns(classes), "people"))))
