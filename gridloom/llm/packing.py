@@ -15,7 +15,8 @@ A source's place in that queue, and what is served before it, follow from the su
 carry. Trees are made per block of sources by tasks; only the sums of blocks reach the driver.
 
 Where a document stands in its queue comes from sums per (partition, source): partitions carry the deficit on as windows
-do. Token ids are made once and written to the shared folder; pieces are cut from there without a shuffle of ids.
+do. Token ids are made once and written to the shared folder; pieces are cut from there. Their
+offsets, a row per partition and source, are broadcast up to SENT_ROWS rows; more of them are joined, which moves the ids once.
 
 Defined cases: a null or empty text is the end token alone; a null source is a queue of its own; a target that names
 no source of the table is refused; repeated rows are packed each; a text of any length is encoded by the task that reads it and cut into as many pieces as it needs; an empty
