@@ -95,13 +95,15 @@ SHORT_AXIS = 10_000
 
 
 def complete_grid(df: DataFrame, k1: str, k2: str, value: Column, name: str) -> DataFrame:
-    """Every pair of the two key sets, absent pairs as 0. The second key is the short axis of the grid; its size is
-    checked before its values are attached, as one array, to every first key."""
-    if df.select(k2).distinct().limit(SHORT_AXIS + 1).count() > SHORT_AXIS:
-        raise ValueError(f"{k2} has more than {SHORT_AXIS} values: put the shorter key second")
+    """Every pair of the two key sets, absent pairs as 0. The second key is the short axis of the grid: up to SHORT_AXIS values
+    are attached, as one array, to every first key; more of them as blocks of about that size, each a row of its own."""
     cells = df.groupBy(k1, k2).agg(value.alias(name))
-    second = df.agg(F.array_sort(F.collect_set(k2)).alias("_all"))  # checked above
-    grid = df.select(k1).distinct().crossJoin(F.broadcast(second)).select(k1, F.explode("_all").alias(k2))
+    second = df.select(k2).distinct()
+    blocks = -(-second.count() // SHORT_AXIS)
+    part = F.pmod(F.xxhash64(k2), F.lit(max(1, blocks)))
+    lists = second.groupBy(part.alias("_part")).agg(F.collect_list(k2).alias("_all"))  # about SHORT_AXIS values
+    lists = F.broadcast(lists) if blocks <= 1 else lists
+    grid = df.select(k1).distinct().crossJoin(lists).select(k1, F.explode("_all").alias(k2))
     return grid.join(cells, [k1, k2], "left").fillna(0, subset=[name])
 
 

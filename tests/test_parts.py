@@ -192,3 +192,12 @@ def test_a_stray_quote_gathers_no_file(spark, tmp_path):
     assert got[-2] == (52, ['end"', "3"]) and got[-1] == (53, ["last", "a\nb"])
     plan = FS.read_grid(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("axis", [10_000, 3])
+def test_grids_of_any_width(spark, monkeypatch, axis):
+    from gridloom.operators import joins as J
+    monkeypatch.setattr(J, "SHORT_AXIS", axis)
+    df = spark.createDataFrame([(i % 4, i % 11, i) for i in range(30)], "a int, b int, v int")
+    got = {(r.a, r.b): r.n for r in J.complete_grid(df, "a", "b", F.count("*"), "n").collect()}
+    assert len(got) == 44 and sum(got.values()) == 30 and got[0, 0] == sum(1 for i in range(30) if i % 4 == 0 and i % 11 == 0)
