@@ -19,10 +19,14 @@ def threads(mail: DataFrame, thread: str = "thread_id") -> DataFrame:
     """One row per thread. Columns used: date, subject, person, direction, is_unread, is_bulk, is_notice.
     `people` is a distinct set (bounded by the people in one thread)."""
     inbound = F.when(F.col("direction") == "in", F.col("person"))
+
+    def at(*more: str) -> Column:
+        """The date, then what the result shows, so that mails of one moment have an order."""
+        return F.when(F.col("date").isNotNull(), F.struct("date", *more))
     return mail.groupBy(thread).agg(
-        F.min_by("subject", "date").alias("subject"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.min_by("subject", at("subject")).alias("subject"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
         F.count("*").alias("messages"), F.array_join(F.array_sort(F.collect_set(inbound)), ", ").alias("people"),
-        F.max_by("person", "date").alias("last_from"), F.max_by("direction", "date").alias("last_direction"),
+        F.max_by("person", at("person", "direction")).alias("last_from"), F.max_by("direction", at("person", "direction")).alias("last_direction"),
         F.count_if(F.col("is_unread")).alias("unread"), F.bool_and("is_bulk").alias("is_bulk"),
         F.bool_and("is_notice").alias("is_notice"))
 

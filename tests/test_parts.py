@@ -201,3 +201,12 @@ def test_grids_of_any_width(spark, monkeypatch, axis):
     df = spark.createDataFrame([(i % 4, i % 11, i) for i in range(30)], "a int, b int, v int")
     got = {(r.a, r.b): r.n for r in J.complete_grid(df, "a", "b", F.count("*"), "n").collect()}
     assert len(got) == 44 and sum(got.values()) == 30 and got[0, 0] == sum(1 for i in range(30) if i % 4 == 0 and i % 11 == 0)
+
+
+def test_threads_with_equal_dates_have_one_result(spark):
+    from gridloom.operators import aggregate as A
+    rows = [("t", "2026-01-01", s, p, d) for s, p, d in (("b", "zoe", "in"), ("a", "amy", "out"), ("c", "zoe", "out"))] + [("t", None, "0", "zzz", "in")]
+    df = spark.createDataFrame([(*r, False, False, False) for r in rows], "thread_id string, date string, subject string, person string, direction string, is_unread boolean, is_bulk boolean, is_notice boolean")
+    for n in (1, 3):
+        r = A.threads(df.repartition(n, "subject")).first()
+        assert (r.subject, r.last_from, r.last_direction, r.messages) == ("a", "zoe", "out", 4)
