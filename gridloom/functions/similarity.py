@@ -160,15 +160,16 @@ KEYED = "struct<keys: array<string>, c0: bigint, c1: bigint, g0: bigint, g1: big
 
 
 def candidate_keys(kind: str, floor: float, chars: dict[str, int], grams: dict[str, int]):
-    """Column function: the candidate keys of a string and the bits of its letters and of its pairs of letters."""
+    """Column function (string, bare): the candidate keys of a string, null for a `bare` one, and the bits of its letters and
+    of its pairs of letters."""
     @F.pandas_udf(KEYED)
-    def keys(s: pd.Series) -> pd.DataFrame:
+    def keys(s: pd.Series, bare: pd.Series) -> pd.DataFrame:
         rows = []
-        for v in s:
+        for v, without in zip(s, bare):
             if not v:
                 rows.append(([], 0, 0, 0, 0))
             else:
-                rows.append((list(dict.fromkeys(keys_of(v, kind, floor, chars, grams))), *_bits(_numbered(list(v), {})), *_bits(_numbered([v[i:i + 2] for i in range(len(v) - 1)], {}))))
+                rows.append((None if without else list(dict.fromkeys(keys_of(v, kind, floor, chars, grams))), *_bits(_numbered(list(v), {})), *_bits(_numbered([v[i:i + 2] for i in range(len(v) - 1)], {}))))
         return pd.DataFrame(rows, columns=["keys", "c0", "c1", "g0", "g1"])
     return keys
 

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.similarity import RANKED, candidate_keys, jaro_winkler, may_reach, sequence_ratio
 from gridloom.functions.text import norm
-from gridloom.session import cut
+from gridloom.session import cut, spread
 
+TOGETHER = 64  # right strings of one `by` that all left ones are compared with
 _SCORES = {"jaro_winkler": jaro_winkler, "ratio": sequence_ratio}
 
 
@@ -25,15 +26,26 @@ def _ranks(strings: DataFrame, size: int) -> dict[str, int]:
 def candidate_pairs(left: DataFrame, right: DataFrame, kind: str, floor: float, by: Sequence[str] = ()) -> DataFrame:
     """Pairs (by..., l, r) of distinct strings among which are all that reach `floor`. Strings meet on sets of their rarest
     tokens, as the strings at hand count them; what met is sifted by bits before it is sent on. Keys that many strings share
-    are split by the skew join."""
+    are split by the skew join; the rows that hold them are many times those of the input, so the join is never a broadcast.
+    Where `by` has at most TOGETHER right strings, all left ones meet them without keys."""
     by = list(by)
     a, b = cut(left.toDF(*by, "l").filter("l <> ''").distinct()), cut(right.toDF(*by, "r").filter("r <> ''").distinct())
-    both = a.select(F.col("l").alias("s")).union(b.select("r"))
-    keys = candidate_keys(kind, floor, _ranks(both, 1), _ranks(both, 2) if kind == "ratio" else {})
-    a, b = cut(a.withColumn("_a", keys("l"))), cut(b.withColumn("_b", keys("r")))
-    met = (a.select(*by, "l", F.col("_a").dropFields("keys").alias("_a"), F.explode("_a.keys").alias("_k"))
-           .join(b.select(*by, "r", F.col("_b").dropFields("keys").alias("_b"), F.explode("_b.keys").alias("_k")), [*by, "_k"]))
-    return met.filter(may_reach(kind, floor, F.col("l"), F.col("r"), F.col("_a"), F.col("_b"))).select(*by, "l", "r").distinct()
+    few = F.lit(False)
+    if by:
+        sizes = cut(b.groupBy(*by).agg((F.count("*") <= TOGETHER).alias("_few")))
+        a, b = a.hint("merge").join(sizes, by), b.hint("merge").join(sizes, by)  # a left string whose `by` has no right one meets none
+        few = F.col("_few")
+    many = cut(a.select(F.when(~few, F.col("l")).alias("s")).union(b.select(F.when(~few, F.col("r")))).filter("s is not null"))
+    keys = candidate_keys(kind, floor, _ranks(many, 1), _ranks(many, 2) if kind == "ratio" else {})
+    a, b = (cut(spread(x).withColumn(c, keys(s, few)).drop("_few")) for x, c, s in ((a, "_a", "l"), (b, "_b", "r")))
+    bits = [*by, "l", F.col("_a").dropFields("keys").alias("_a")], [*by, "r", F.col("_b").dropFields("keys").alias("_b")]
+    fit = may_reach(kind, floor, F.col("l"), F.col("r"), F.col("_a"), F.col("_b"))
+    met = (a.select(*bits[0], F.explode("_a.keys").alias("_k")).hint("merge")
+           .join(b.select(*bits[1], F.explode("_b.keys").alias("_k")), [*by, "_k"])).filter(fit).select(*by, "l", "r").distinct()
+    if not by:
+        return met
+    beside = a.filter("_a.keys is null").select(*bits[0]).hint("merge").join(b.filter("_b.keys is null").select(*bits[1]), by)
+    return met.unionByName(beside.filter(fit).select(*by, "l", "r"))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, kind: str, floor: float, by: Sequence[str] = ()) -> DataFrame:
