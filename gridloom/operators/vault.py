@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.functions.text import norm
 from gridloom.operators.places import known_places, matched_in_text
 from gridloom.operators.scale import numbered
+from gridloom.session import cut, spread
 
 # Code prefixes by class.
 PREFIX = {"person_name": "NAME", "phone": "PHONE", "email": "EMAIL", "aadhaar": "AADHAAR", "pan": "PAN", "bank_account": "ACCOUNT",
@@ -199,7 +200,6 @@ def shelter(docs: DataFrame, key: str, text: str, existing: DataFrame | None = N
     """Detect everything, build the vault, then code every text: what is hidden in one text is hidden in all. Returns the
     coded texts and the whole vault (cut, so that codes stay fixed)."""
     from gridloom.operators.detect import detect, exploded
-    from gridloom.session import cut
     found = cut(exploded(detect(docs, text, kind, clean=True), [key], text))
     new = build_vault(found.select("value", F.col("label").alias("class"), F.struct(F.col(key).alias("k"), "start").alias("pos")), existing)
     vault = cut(new if existing is None else existing.unionByName(new))
@@ -280,9 +280,10 @@ def cores(vault: DataFrame) -> DataFrame:
 def redact_near(docs: DataFrame, key: str, text: str, vault: DataFrame, floor: float = 0.85) -> DataFrame:
     """Fragments of one to five words and five or more characters that nearly equal one known value: within two
     characters of its length and a ratio of 0.85, from a unique code. Distinct fragments meet the forms through exact
-    similarity keys, then the spans are chosen and the text rebuilt as for known values."""
+    similarity keys, then the spans are chosen and the text rebuilt as for known values. All fragments are many times the
+    texts that Spark's size estimate sees, so they are never the broadcast side."""
     from gridloom.operators.match import similar_pairs
-    d = docs.select(key, _parts(F.col(text))[0].alias("w"), _interleaved(F.col(text)).alias("x")).filter(F.size("w") > 0)
+    d = spread(docs).select(key, _parts(F.col(text))[0].alias("w"), _interleaved(F.col(text)).alias("x")).filter(F.size("w") > 0)
 
     def run_of(n: int) -> Column:
         many = F.size("w") - n + 1
@@ -295,7 +296,7 @@ def redact_near(docs: DataFrame, key: str, text: str, vault: DataFrame, floor: f
     pairs = similar_pairs(frags.select("frag"), forms.select("form"), "ratio", floor)
     pairs = pairs.filter(F.abs(F.length("l") - F.length("r")) <= 2).join(forms, F.col("r") == F.col("form"))
     only = pairs.groupBy("l").agg(F.count_distinct("code").alias("n"), F.min("code").alias("code")).filter("n = 1")
-    spans = frags.join(only, F.col("frag") == F.col("l")).select(key, "at", "size", "code", F.lit("").alias("pre"), F.lit("").alias("suf"))
+    spans = frags.hint("merge").join(only, F.col("frag") == F.col("l")).select(key, "at", "size", "code", F.lit("").alias("pre"), F.lit("").alias("suf"))
     return _apply(docs, key, text, spans, None)
 
 
@@ -304,7 +305,6 @@ def build_extract(texts: DataFrame, key: str, text: str, vault: DataFrame, budge
     their first 8000 characters (the extract's own caps); then a last known-value pass and the leak gate. Items(key, kind,
     text). Running sizes use the distributed prefix sum. `leaks` must be 0 in every row that is sent."""
     from gridloom.operators.scale import running, sorted_positions
-    from gridloom.session import cut
     placed = running(sorted_positions(texts, [F.col(key)]), [], "_g", sums={"used": F.length(text)})
     short = F.when(F.col("kind") == "table", F.substring_index(text, "\n", lines)).otherwise(F.substring(F.col(text), 1, chars))
     sent = placed.withColumns({"whole": F.col("used") <= budget, "_out": F.when(F.col("used") <= budget, F.col(text)).otherwise(short)})
