@@ -3,19 +3,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gridloom.session import scratch, ship, table
+from gridloom.session import scratch, ship, small_batches, table
 
 __all__ = ["crc_fold", "ready", "stored", "table"]
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-
 
 def ready(spark: SparkSession) -> None:
-    """Send the package to the executors, and keep the Arrow batches of whole texts small: two Python workers and their
-    writers share an executor's memory with its heap. A size that the session sets itself is left as it is."""
+    """Send the package to the executors, and keep the Arrow batches of whole texts small."""
     ship(spark)
-    if spark.conf.get(BATCH_BYTES, None) in (None, "64m", "67108864b", "67108864"):
-        spark.conf.set(BATCH_BYTES, "8m")
+    small_batches(spark)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

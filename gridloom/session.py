@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -34,14 +35,22 @@ def build_session(master: str = "local[8]", name: str = "gridloom", shuffle_part
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on (UTC, AQE, skew joins) and ship the package to the Python workers.
-    Sizing is left to the session."""
+    """Apply the runtime settings the operators rely on (UTC, AQE, skew joins), keep Arrow batches small and ship the package
+    to the Python workers. Other sizing is left to the session."""
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)
+    small_batches(spark)
     ship(spark)
     return spark
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts of 8 MB in place of Spark's 64 MB: a Python worker holds a batch several times over, as
+    strings, code points and results, beside the executor's heap. A size that the session sets itself is left as it is."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, "64m", "67108864b", "67108864"):
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 _shipped: set[str] = set()
 
 
@@ -92,6 +101,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all cores, for costly work on an input whose splits may be empty but one, as those of a file
+    with a single row group are."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 class Tables:
     """`t.orders` reads one table lazily, so a query only touches the files it names."""
 

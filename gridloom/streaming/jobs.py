@@ -14,7 +14,7 @@ from gridloom.operators import vault as V
 from gridloom.operators.aggregate import chosen_votes
 from gridloom.operators.detect import detect, exploded
 from gridloom.operators.scale import numbered
-from gridloom.session import cut
+from gridloom.session import cut, dealt
 from gridloom.streaming.sinks import committed, newest, open_sink, run_available, write_batch
 from gridloom.streaming.snapshots import ROWS_PER_BUCKET, Snapshots
 
@@ -118,7 +118,8 @@ def stream_restore(deltas: DataFrame, vault: DataFrame, out: str) -> DataFrame:
 # ------------------------------------------------------------------ ST4
 def stream_redact(messages: DataFrame, out: str, start: DataFrame, kind: str = "regex+digits") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages (id, text) coded in flight: values found in a batch join the vault in the same batch, and a message in which
-    a known value is left goes to the dead-letter table instead. Returns (sent, refused, vault)."""
+    a known value is left goes to the dead-letter table instead. A batch is dealt to all cores first: its files may be few and
+    not splittable, and every later step reads the texts as they lie. Returns (sent, refused, vault)."""
     spark = messages.sparkSession
     vault_path, sent, dead = f"{out}/vault", f"{out}/sent", f"{out}/refused"
     write_batch(start.select("norm", "value", "class", "prefix", "number", "code"), vault_path, -1)
@@ -126,7 +127,7 @@ def stream_redact(messages: DataFrame, out: str, start: DataFrame, kind: str = "
     open_sink(spark, dead, "id bigint, codes bigint")
 
     def each(batch: DataFrame, n: int) -> None:
-        b = cut(batch.select("id", "text"))
+        b = cut(dealt(batch.select("id", "text")))
         old = cut(committed(spark, vault_path, before=n).drop("batch"))
         found = cut(exploded(detect(b, "text", kind, clean=True), ["id"], "text"))
         new = cut(V.build_vault(found.select("value", F.col("label").alias("class"), F.struct(F.col("id").alias("k"), "start").alias("pos")), old))

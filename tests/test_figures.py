@@ -34,3 +34,11 @@ def test_fragments_are_not_broadcast(spark):
     got = V.redact_near(docs, "id", "text", vault)
     plan = plan_of(got)
     assert "BroadcastHashJoin [frag" not in plan and {r.redacted for r in got.filter("id = 3").collect()} == {"visit to PLACE_001 3 tomorrow"}
+
+
+def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    """A batch of a stream may be one file that Spark cannot split (st4)."""
+    from gridloom.session import dealt
+    spark.range(400).coalesce(1).write.parquet(str(tmp_path / "one"))
+    got = dealt(spark.read.parquet(str(tmp_path / "one"))).groupBy(F.spark_partition_id()).count().collect()
+    assert len(got) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in got) == 400
