@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.functions.similarity import RANKED, candidate_keys, jaro_winkler, may_reach, sequence_ratio
 from gridloom.functions.text import norm
-from gridloom.session import cut, spread
+from gridloom.session import cut, dealt
 
 TOGETHER = 64  # right strings of one `by` that all left ones are compared with
 _SCORES = {"jaro_winkler": jaro_winkler, "ratio": sequence_ratio}
@@ -37,7 +37,7 @@ def candidate_pairs(left: DataFrame, right: DataFrame, kind: str, floor: float,
         few = F.col("_few")
     many = cut(a.select(F.when(~few, F.col("l")).alias("s")).union(b.select(F.when(~few, F.col("r")))).filter("s is not null"))
     keys = candidate_keys(kind, floor, _ranks(many, 1), _ranks(many, 2) if kind == "ratio" else {})
-    a, b = (cut(spread(x).withColumn(c, keys(s, few)).drop("_few")) for x, c, s in ((a, "_a", "l"), (b, "_b", "r")))
+    a, b = (cut(dealt(x).withColumn(c, keys(s, few)).drop("_few")) for x, c, s in ((a, "_a", "l"), (b, "_b", "r")))
     bits = [*by, "l", F.col("_a").dropFields("keys").alias("_a")], [*by, "r", F.col("_b").dropFields("keys").alias("_b")]
     fit = may_reach(kind, floor, F.col("l"), F.col("r"), F.col("_a"), F.col("_b"))
     met = (a.select(*bits[0], F.explode("_a.keys").alias("_k")).hint("merge")

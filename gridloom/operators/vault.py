@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.functions.text import norm
 from gridloom.operators.places import known_places, matched_in_text
 from gridloom.operators.scale import numbered
-from gridloom.session import cut, spread
+from gridloom.session import cut, dealt
 
 # Code prefixes by class.
 PREFIX = {"person_name": "NAME", "phone": "PHONE", "email": "EMAIL", "aadhaar": "AADHAAR", "pan": "PAN", "bank_account": "ACCOUNT",
@@ -283,7 +283,7 @@ def redact_near(docs: DataFrame, key: str, text: str, vault: DataFrame, floor: f
     similarity keys, then the spans are chosen and the text rebuilt as for known values. All fragments are many times the
     texts that Spark's size estimate sees, so they are never the broadcast side."""
     from gridloom.operators.match import similar_pairs
-    d = spread(docs).select(key, _parts(F.col(text))[0].alias("w"), _interleaved(F.col(text)).alias("x")).filter(F.size("w") > 0)
+    d = dealt(docs).select(key, _parts(F.col(text))[0].alias("w"), _interleaved(F.col(text)).alias("x")).filter(F.size("w") > 0)
 
     def run_of(n: int) -> Column:
         many = F.size("w") - n + 1

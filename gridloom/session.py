@@ -6,7 +6,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -95,10 +95,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row text work on an input with fewer splits than cores (one small file). An input
-    with enough splits is left as it is, so large data is never shuffled for this."""
+    """Use all cores for costly per-row text work on a scanned input with fewer splits that hold rows than cores: Spark cuts
+    files by bytes, but a row group is read by one task, so a file of one group is one task's work however many splits it
+    has. One count of the rows of each split decides; an input dealt well enough is left as it is, so it is not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    held = df.groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()  # one row
+    return dealt(df) if held["n"] and held["most"] * cores > 2 * held["n"] else df
 
 
 def dealt(df: DataFrame) -> DataFrame:

@@ -42,3 +42,18 @@ def test_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
     spark.range(400).coalesce(1).write.parquet(str(tmp_path / "one"))
     got = dealt(spark.read.parquet(str(tmp_path / "one"))).groupBy(F.spark_partition_id()).count().collect()
     assert len(got) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in got) == 400
+
+
+def test_spread_sees_empty_splits(spark, tmp_path):
+    """A file of one row group has many splits by its bytes, of which one holds all rows (prv20, prv12b)."""
+    from gridloom.session import spread
+    spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).coalesce(1).write.parquet(str(tmp_path / "one"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        df = spark.read.parquet(str(tmp_path / "one"))
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        got = spread(df).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in got) == 20_000
