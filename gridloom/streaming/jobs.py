@@ -73,6 +73,7 @@ def stream_candidates(votes: DataFrame, out: str, late: str = "10 minutes", widt
 # ------------------------------------------------------------------ ST3
 # The longest piece held back, and how an unfinished code at the end of a piece looks.
 HELD = 32
+BUCKETS = 4096  # groups that responses share
 _OPEN_TAIL = re.compile(r"(?:(?<!\w)|(?<=\\[ntr]))[A-Z][A-Z_]{0,24}(?:\\?_?\d*)?\\?$")
 
 
@@ -83,24 +84,30 @@ def safe_cut(text: str, most: int = HELD) -> int:
 
 
 def _hold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Deltas of one response in order; a piece that may be part of a code waits for the next delta. A response is one
-    reply, so its deltas in a batch are few."""
-    tail, place = state.get if state.exists else ("", 0)
-    rows = pd.concat(list(batches)).sort_values("seq")
+    """Deltas of a bucket of responses, each in order; a piece that may be part of a code waits for the next delta."""
+    held = dict(zip(*state.get)) if state.exists else {}
+    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
     out = []
-    for seq, delta, done in zip(rows["seq"], rows["delta"], rows["done"]):
-        text = tail + (delta or "")
+    for response, seq, delta, done in zip(rows["response"], rows["seq"], rows["delta"], rows["done"]):
+        text = held.pop(response, "") + (delta or "")
         at = len(text) if done else safe_cut(text)
-        out.append((key[0], int(seq), text[:at]))
-        tail, place = text[at:], int(seq)
-    state.update((tail, place))
+        out.append((response, int(seq), text[:at]))
+        if at < len(text):
+            held[response] = text[at:]
+    if held:
+        state.update((list(held), list(held.values())))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=["response", "seq", "piece"])
 
 
 def whole_pieces(deltas: DataFrame) -> DataFrame:
-    """Deltas (response, seq, delta, done) re-cut so that no code is split between two pieces."""
-    return deltas.groupBy("response").applyInPandasWithState(
-        _hold, "response string, seq long, piece string", "tail string, place long", "append", GroupStateTimeout.NoTimeout)
+    """Deltas (response, seq, delta, done) re-cut so that no code is split between two pieces. Responses share BUCKETS groups
+    by hash, so a batch costs one Python call per bucket, not per response; a bucket's state is the held pieces of its open
+    responses alone."""
+    placed = deltas.select(F.pmod(F.xxhash64("response"), F.lit(BUCKETS)).alias("_bucket"), "response", "seq", "delta", "done")
+    return placed.groupBy("_bucket").applyInPandasWithState(
+        _hold, "response string, seq long, piece string", "responses array<string>, tails array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_restore(deltas: DataFrame, vault: DataFrame, out: str) -> DataFrame:
@@ -109,7 +116,7 @@ def stream_restore(deltas: DataFrame, vault: DataFrame, out: str) -> DataFrame:
     open_sink(spark, out, "response string, seq bigint, restored string")
 
     def each(batch: DataFrame, n: int) -> None:
-        b = batch.withColumn("_k", F.concat_ws("/", "response", "seq"))
+        b = cut(batch.withColumn("_k", F.concat_ws("/", "response", "seq")))  # read twice, but its state is taken once
         write_batch(V.restore(b, "_k", "piece", vault).select("response", "seq", "restored"), out, n)
     run_available(whole_pieces(deltas), each, out)
     return committed(spark, out).drop("batch")

@@ -57,3 +57,28 @@ def test_spread_sees_empty_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(got) >= spark.sparkContext.defaultParallelism and sum(r["count"] for r in got) == 20_000
+
+
+def test_responses_share_groups_and_state(spark, tmp_path):
+    """Many replies in two waves, one code split between the waves: as many Python calls as buckets at most (st3)."""
+    from gridloom.streaming import jobs as ST
+    n = 300
+    text = "see NAME_001 ok"
+    rows = [(f"r{i}", s, text[a:b], s == 2) for i in range(n) for s, (a, b) in enumerate(((0, 7), (7, 10), (10, len(text))))] + [(None, 0, "NAME_0", False), (None, 1, "01", True)]
+    path = str(tmp_path / "in")
+    schema = "response string, seq long, delta string, done boolean"
+    for wave in (0, 1):
+        spark.createDataFrame([r for r in rows if (r[1] > 0) == bool(wave)], schema).coalesce(1).write.mode("append").parquet(path)
+    vault = spark.createDataFrame([("ann", "Ann", "person_name", "NAME", 1, "NAME_001")], V.VAULT)
+    old, ST.BUCKETS = ST.BUCKETS, 4
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        assert "pmod(xxhash64" in ST.whole_pieces(stream)._jdf.queryExecution().analyzed().toString()
+        got = ST.stream_restore(stream, vault, str(tmp_path / "out")).collect()
+    finally:
+        ST.BUCKETS = old
+    whole = {}
+    for r in sorted(got, key=lambda r: r.seq):
+        whole[r.response] = whole.get(r.response, "") + (r.restored or "")
+    assert len(got) == len(rows) and len(whole) == n + 1
+    assert {v for k, v in whole.items() if k} == {"see Ann ok"}
