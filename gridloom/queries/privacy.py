@@ -255,7 +255,7 @@ x as (select p_partkey, case when p_name = 'hot gear' then replace(p_name, ' ',
 
 @query("prv18b_links_and_numbers", _LINKS_SQL + """select p_partkey, 'see https://x.org/wiki/' || a || '?q=' || b || ' for ' || d || ', in 1998 3 of 12' as redacted, k as changes from x""")
 def _(t):
-    d = t.part.select("p_partkey", "p_name", F.col("p_retailprice").cast("string").alias("price"))
+    d = spread(t.part.select("p_partkey", "p_name", F.col("p_retailprice").cast("string").alias("price")))
     vault = cut(V.build_vault(V.cells(d, "p_partkey", {"p_name": "village", "price": "long_number"}, "part")))
     short = t.spark.createDataFrame([("1998", "1998", "long_number", "NUMBER", 900001, "NUMBER_900001"), ("12", "12", "long_number", "NUMBER", 900002, "NUMBER_900002")], vault.schema)
     text = F.concat(F.lit("see https://x.org/wiki/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("?q="), F.upper(F.replace("p_name", F.lit(" "), F.lit("%20"))), F.lit(" for "), F.col("price"), F.lit("0, in 1998 3 of 12"))
