@@ -114,3 +114,14 @@ def test_bm25_shuffles_no_scores(spark):
             want += [(name, d, p, round(score[d, p], 6), i + 1) for i, (d, p) in enumerate(best)]
         key = lambda r: (str(r[0]), r[4])
         assert sorted(((r.q, r.doc, r.part, round(r.score, 6), r.place) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_arrow_batches_are_small(spark):
+    """A worker holds a batch several times over; a size that the session sets itself stays (prv8, prv30, prv6)."""
+    from gridloom.session import BATCH_BYTES, small_batches
+    assert spark.conf.get(BATCH_BYTES) == "8m"
+    spark.conf.set(BATCH_BYTES, "16m")
+    small_batches(spark)
+    kept = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, "8m")
+    assert kept == "16m"
