@@ -137,3 +137,21 @@ def test_a_model_reads_bounded_pieces(spark):
     got = D.model_spans(spark.createDataFrame(rows, "id int, t string"), "id", "t", model, size=50, overlap=10)
     assert sorted(map(repr, ((r.id, r.start, r.end) for r in got.collect()))) == sorted(map(repr, [(1, 37, 43), (1, 243, 249), (1, 339, 342), (2, 0, 6), (None, 0, 6)]))
     assert size.value == 0
+
+
+def test_a_text_is_read_by_one_worker_once(spark):
+    texts = spark.range(50).repartition(3).select("id", F.concat(F.lit("Call M. Rao at 98000"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("text"))
+    found = D.exploded(D.detect(texts, "text", "text", clean=True), ["id"], "text")
+    lines = D.scan_lines(texts, "id", "text")
+    for df in (found, lines):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("EvalPython") == 1 and plan.index("EvalPython") < plan.index("Repartition"), plan
+    assert found.count() == lines.count() == 100
+
+
+def test_checks_of_one_value_are_those_of_columns(spark):
+    values = [("aadhaar", aadhaar()), ("aadhaar", "2345 6789 0123"), ("aadhaar", "٣٤٥"), ("aadhaar", ""), ("gps", "12.50,\n77.25"), ("gps", "98.52, 73.85"), ("gps", "12.34, 77.12"),
+              ("gps", "-89.99 , -180.00"), ("gps", "12.34, 180.01"), ("pan", "x")]
+    df = spark.createDataFrame(values, "label string, value string")
+    assert [bool(r[0]) for r in df.select(D.passes(F.col("label"), F.col("value"))).collect()] == [D.holds(*v) for v in values]
+    assert D.born("was Born 1.") and D.born("जन्म 1") and not D.born("जन्मे 1") and not D.born("xborn") and not D.born("agedx") and D.born("(d.o.b 1")
