@@ -26,8 +26,9 @@ def arriving_files(spark: SparkSession, folder: str, per_trigger: int = 100) ->
             .select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size")))
 
 
-def stream_folder(spark: SparkSession, folder: str, out: str, tidy: Callable[[SparkSession, list[str]], DataFrame], schema: str, per_trigger: int = 100) -> DataFrame:
-    """Tidy files as they arrive: each batch reads its own files (at most `per_trigger` paths) and writes its table."""
+def stream_folder(spark: SparkSession, folder: str, out: str, tidy: Callable[[SparkSession, list[str]], DataFrame], schema: str, per_trigger: int = 10_000) -> DataFrame:
+    """Tidy files as they arrive: each batch reads its own files (at most `per_trigger` paths) and writes its table. A batch of
+    small files costs a second or ten whatever it holds, so a folder that is full already is read in few of them."""
     open_sink(spark, out, schema)
 
     def each(batch: DataFrame, n: int) -> None:
