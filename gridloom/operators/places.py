@@ -19,13 +19,15 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from gridloom.session import cut
+from gridloom.session import cut, dealt
 
 SIEVE = 1 << 23
 HEAD = 32  # letters of a first word that are hashed
+SLICE = 1 << 18  # bytes of text split at a time
 _ZERO = np.zeros(SIEVE >> 6, np.uint64)
 # What a web link is, and what may join the words of a value in it.
 URL = re.compile(r"https?://[^\s\"'<>)\]\\]+")
@@ -123,22 +125,32 @@ def _link_words(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[^\W_]+", text)]
 
 
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about SLICE bytes of text, so that what a worker holds beside the batch does not grow with it."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) // SLICE
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(edges, edges[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
+
+
 def needle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forms of values: kind, form, words, what must stand right before and after, code, and both bitmap places."""
-    for batch in batches:
-        rows = []
-        for value, code in zip(batch.column("value").to_pylist(), batch.column("code").to_pylist()):
-            v = value.strip()
+    for batch in (part for whole in batches for part in slices(whole, "value")):
+        rows, kept = [], [v.strip() for v in batch.column("value").to_pylist()]
+        s = Split(kept)
+        firsts, shifts, starts, ends = s.first.tolist(), s.offsets.tolist(), s.starts.tolist(), s.ends.tolist()
+        for i, (v, code) in enumerate(zip(kept, batch.column("code").to_pylist())):
             if SIGNED.fullmatch(v):
                 rows.append(("n", v, 1, "", "", code, v.lstrip("+-").split(".")[0]))
                 continue
-            s = Split([v])
-            if len(s.starts):
-                a, b = int(s.starts[0]), int(s.ends[-1])
-                rows.append(("w", _spaced(v[a:b]), len(s.starts), v[:a], v[b:], code, v[a:int(s.ends[0])]))
+            lo, hi, shift = firsts[i], firsts[i + 1], shifts[i]
+            if hi > lo:
+                a, b = starts[lo] - shift, ends[hi - 1] - shift
+                rows.append(("w", _spaced(v[a:b]), hi - lo, v[:a], v[b:], code, v[a:ends[lo] - shift]))
             spans = _link_words(v)
-            if spans and len(Split([v[slice(*spans[0])]]).starts):
-                rows.append(("u", JOINED.sub(" ", v[spans[0][0]:spans[-1][1]]).lower(), len(spans), "", "", code, v[slice(*spans[0])]))
+            if spans and ((token := v[slice(*spans[0])]).isascii() or len(Split([token]).starts)):
+                rows.append(("u", JOINED.sub(" ", v[spans[0][0]:spans[-1][1]]).lower(), len(spans), "", "", code, token))
         if rows:
             first = Split([r[6] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 2 else pa.string()) for i in range(6)] + [pa.array(first.heads()[first.first[:-1]]), pa.array([_form_bit(r[0], r[1]) for r in rows], pa.int64())],
@@ -211,8 +223,8 @@ def _place_rows(heads: np.ndarray, forms: np.ndarray, sizes: Sequence[int], link
                         yield m.start() + at[a], m.start() + at[b], "u", form, "", "", False
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("_t").to_pylist()
+        for batch in (part for whole in batches for part in slices(whole, "_t")):
+            texts = [t or "" for t in batch.column("_t").to_pylist()]
             s = Split(texts)
             open_ = np.flatnonzero(_has(heads, s.heads()))
             text_of = np.searchsorted(s.first, open_, "right") - 1
@@ -251,14 +263,15 @@ def matched_in_text(c: Column, never: Sequence[str] = ()) -> Column:
 
 
 def known_places(docs: DataFrame, key: str, text: str, vault: DataFrame, least: int = 1, never: Sequence[str] = ()) -> DataFrame:
-    """Every known value in every text: (key, start, end, code), character places; overlaps are not resolved."""
+    """Every known value in every text: (key, start, end, code), character places; overlaps are not resolved. The places lie by
+    key, so that gathering or counting them per text needs no further shuffle."""
     values = vault.filter((F.length("value") >= least) & matched_in_text(F.col("value"), never)).select("value", "code")
-    needles = cut(values.mapInArrow(needle_rows, "kind string, form string, size int, pre string, suf string, code string, head long, bit long"))
+    needles = cut(dealt(values).mapInArrow(needle_rows, "kind string, form string, size int, pre string, suf string, code string, head long, bit long"))
     sizes = {k: sorted(r["size"] for r in needles.filter(F.col("kind").isin(*kinds)).select("size").distinct().collect()) for k, kinds in (("w", ("w",)), ("u", ("u",)))}  # a few numbers
-    base = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).filter(F.col("_t").isNotNull())
+    base = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))  # a filter here would have a text that is worked out made twice
     schema = T.StructType([base.schema["_k"], *T.StructType.fromDDL("start int, end int, kind string, form string, before string, after string, inner boolean").fields])
     found = base.mapInArrow(_place_rows(_sieve(needles, "head"), _sieve(needles, "bit"), sizes["w"], sizes["u"]), schema)
     hit = found.join(needles.select("kind", "form", "pre", "suf", "code").distinct(), ["kind", "form"])
     glued = (F.col("pre") != "") & (F.length("before") == F.length("pre")) & F.col("inner")
     hit = hit.filter(F.col("before").endswith(F.col("pre")) & F.col("after").startswith(F.col("suf")) & ~glued)
-    return hit.select(F.col("_k").alias(key), (F.col("start") - F.length("pre")).alias("start"), (F.col("end") + F.length("suf")).alias("end"), "code").distinct()
+    return hit.select(F.col("_k").alias(key), (F.col("start") - F.length("pre")).alias("start"), (F.col("end") + F.length("suf")).alias("end"), "code").repartition(F.col(key)).distinct()

@@ -74,10 +74,12 @@ def _located(text: Column, runs: Column) -> Column:
 
 def _resolved(spans: Column) -> Column:
     """Non-overlapping spans: by start, longest first."""
-    order = F.array_sort(F.transform(spans, lambda e: F.struct(e["start"].alias("start"), (-e["end"]).alias("m"), e["code"].alias("code"))))
-    none = F.filter(order, lambda e: F.lit(False))
-    return F.aggregate(order, F.struct(F.lit(0).alias("free"), none.alias("out")), lambda acc, e: F.when(
-        e["start"] >= acc["free"], F.struct((-e["m"]).alias("free"), F.concat(acc["out"], F.array(e)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
+    order = F.sort_array(F.transform(spans, lambda e: F.struct(e["start"].alias("start"), (-e["end"]).alias("m"), e["code"].alias("code"))))
+
+    def chosen(o: Column) -> Column:
+        return F.aggregate(o, F.struct(F.lit(0).alias("free"), F.slice(o, 1, 0).alias("out")), lambda acc, e: F.when(
+            e["start"] >= acc["free"], F.struct((-e["m"]).alias("free"), F.concat(acc["out"], F.array(e)).alias("out"))).otherwise(acc), lambda acc: acc["out"])
+    return F.get(F.transform(F.array(order), chosen), F.lit(0))  # sorted once
 
 
 def _rewritten(text: Column, chosen: Column) -> Column:
@@ -127,7 +129,9 @@ def leaks(docs: DataFrame, key: str, text: str, vault: DataFrame, never: Sequenc
 
 def replace_codes(docs: DataFrame, key: str, text: str, codes: DataFrame) -> DataFrame:
     """Every code token replaced by its value from codes(code, value); an escaped underscore is accepted, unknown codes
-    stay. Adds `restored`. Only texts with a known code are rebuilt."""
+    stay. Adds `restored`. Only texts with a known code are rebuilt. The texts are read twice, so they are cut first: what made
+    them, such as a redaction, runs once."""
+    docs = cut(docs)
     tokens = docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(CODE), F.lit(0))).alias("i", "tok"))
     known = tokens.withColumn("code", F.replace("tok", F.lit("\\_"), F.lit("_"))).join(codes.select("code", "value"), "code")
     per = known.groupBy(key).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("tok", "value")))).alias("m"))
