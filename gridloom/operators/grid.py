@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gridloom.operators.scale import neighbours, running
 
 SHEET = ["file", "sheet"]
-# Words that open a footer row.
+# Rows that a task sorts at a time; words that open a footer row.
+ROWS_PER_TASK = 200_000
 FOOTER = r"(?i)^\s*(total|grand total|sub ?total|source|note|notes|remarks?|prepared by|compiled by|\*)(\b|$|\s)"
 
 
@@ -35,11 +36,16 @@ def _features(grid: DataFrame) -> DataFrame:
     return g.withColumn("label_like", (F.col("n") >= F.col("need")) & (F.col("labels") >= 0.7 * F.col("n")))
 
 
-def find_headers(grid: DataFrame) -> DataFrame:
+def tasks_for(grid: DataFrame) -> int:
+    """How many tasks sort the rows of a grid, so that what one holds does not grow with the grid: one count decides."""
+    return max(grid.sparkSession.sparkContext.defaultParallelism, grid.count() // ROWS_PER_TASK + 1)
+
+
+def find_headers(grid: DataFrame, parts: int | None = None) -> DataFrame:
     """Adds row features and `is_header`. The first header may start a sheet or follow anything that is not a full data
     row; a further header starts only after a row with three or fewer filled cells. The next row must be half filled."""
     look = neighbours(_features(grid), SHEET, "row_no", {
-        "n_next": (F.col("n"), 1), "n_prev": (F.col("n"), -1), "prev_label": (F.col("label_like"), -1)})
+        "n_next": (F.col("n"), 1), "n_prev": (F.col("n"), -1), "prev_label": (F.col("label_like"), -1)}, parts=parts or tasks_for(grid))
     cand = F.col("label_like") & (F.coalesce("n_next", F.lit(0)) >= F.col("need"))
     opens = F.col("n_prev").isNull() | (F.col("n_prev") < F.col("need")) | F.coalesce("prev_label", F.lit(False))
     look = look.withColumns({"_cand": cand, "_open": cand & opens})
@@ -61,10 +67,11 @@ def header_row_by_share(grid: DataFrame) -> DataFrame:
 def split_blocks(grid: DataFrame) -> DataFrame:
     """Rows with their block: block number, title and column names (worked out once, on the header row). Title and blank rows that
     lead into the next block are taken off the end of a block; rows before the first header belong to none."""
-    h = find_headers(grid)
+    parts = tasks_for(grid)
+    h = find_headers(grid, parts)
     look = neighbours(h, SHEET, "row_no", {
         "p1": (F.struct("n", "head", "label_like", "cells"), -1), "p2": (F.struct("n", "head", "label_like", "cells"), -2),
-        "x1": (F.struct("is_header", "n"), 1), "x2": (F.struct("is_header", "n"), 2), "before_header": (F.col("is_header"), -1)})
+        "x1": (F.struct("is_header", "n"), 1), "x2": (F.struct("is_header", "n"), 2), "before_header": (F.col("is_header"), -1)}, parts=parts)
 
     def title_of(p: Column) -> Column:
         return F.when((p["n"] <= 3) & ~p["label_like"] & ~p["head"].rlike(r"^[\d.,%\-/ ]+$"), p["head"])
@@ -75,7 +82,7 @@ def split_blocks(grid: DataFrame) -> DataFrame:
     names = column_names(F.col("cells"), F.struct(F.col("p1.cells").alias("cells"), F.col("p1.n").alias("n")), F.col("width"))
     marked = look.withColumn("lead_in", lead_in & ~first_row)
     out = running(marked, SHEET, "row_no", sums={"block": F.col("is_header").cast("long")},
-                  carries={"_h": F.when(F.col("is_header"), F.struct(title.alias("title"), names.alias("names")))})
+                  carries={"_h": F.when(F.col("is_header"), F.struct(title.alias("title"), names.alias("names")))}, parts=parts)
     return out.filter("block > 0").select(*SHEET, "row_no", "cells", "n", "head", "is_header", "lead_in", "block",
                                           F.col("_h.title").alias("title"), F.col("_h.names").alias("names"))
 

@@ -30,8 +30,9 @@ def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "l
 
 
 def running(df: DataFrame, keys: Sequence[str], pos: str, sums: Mapping[str, Column] | None = None,
-            carries: Mapping[str, Column] | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Add inclusive running sums and last-non-null carries along the integer column `pos` within `keys`."""
+            carries: Mapping[str, Column] | None = None, chunk: int = CHUNK, parts: int | None = None) -> DataFrame:
+    """Add inclusive running sums and last-non-null carries along the integer column `pos` within `keys`; chunks are dealt to
+    `parts` tasks, if given."""
     sums, carries, keys = dict(sums or {}), dict(carries or {}), list(keys)
     raw = {f"_v_{n}": e for n, e in {**sums, **carries}.items()}
     src = df.withColumns({**raw, "_chunk": F.floor(F.col(pos) / F.lit(chunk))})
@@ -45,7 +46,7 @@ def running(df: DataFrame, keys: Sequence[str], pos: str, sums: Mapping[str, Col
         *[F.col(k).alias(f"_k_{k}") for k in part],
         *[F.sum(f"_t_{n}").over(before).alias(f"_o_{n}") for n in sums],
         *[F.last(f"_t_{n}", True).over(before).alias(f"_o_{n}") for n in carries])
-    here = src.withColumns({**{f"_l_{n}": F.sum(f"_v_{n}").over(local) for n in sums},
+    here = (src.repartition(parts, *part) if parts else src).withColumns({**{f"_l_{n}": F.sum(f"_v_{n}").over(local) for n in sums},
                             **{f"_l_{n}": F.last(f"_v_{n}", True).over(local) for n in carries}})
     same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in part]
     cond = same[0]
@@ -59,9 +60,10 @@ def running(df: DataFrame, keys: Sequence[str], pos: str, sums: Mapping[str, Col
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str, tuple[Column, int]],
-               chunk: int = CHUNK) -> DataFrame:
+               chunk: int = CHUNK, parts: int | None = None) -> DataFrame:
     """Add the value of a row at a nearby position (offset -1 = previous row, +1 = next) along a dense `pos`.
-    Rows at a chunk's edge are copied into the neighbouring chunk, so windows stay chunk-sized."""
+    Rows at a chunk's edge are copied into the neighbouring chunk, so windows stay chunk-sized; chunks are dealt to `parts`
+    tasks, if given."""
     keys = list(keys)
     reach = max(abs(o) for _, o in values.values())
     exprs = {f"_v_{n}": e for n, (e, _) in values.items()}
@@ -70,6 +72,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], pos: str, values: Mapping[str
     homes = F.array_compact(F.array(
         F.col("_chunk"), F.when(inside < reach, F.col("_chunk") - 1), F.when(inside >= chunk - reach, F.col("_chunk") + 1)))
     spread = src.withColumn("_home", F.explode(homes))
+    spread = spread.repartition(parts, *keys, "_home") if parts else spread
     w = Window.partitionBy(*keys, "_home").orderBy(pos)
     out = spread.withColumns({n: F.lag(f"_v_{n}", -o).over(w) if o < 0 else F.lead(f"_v_{n}", o).over(w)
                               for n, (_, o) in values.items()})
