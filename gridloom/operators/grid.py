@@ -27,12 +27,12 @@ def is_label(c: Column) -> Column:
 
 
 def _features(grid: DataFrame) -> DataFrame:
-    """Row features and the sheet's width."""
+    """Row features and the sheet's width. What is one row a sheet is the hashed side of its join, so that rows are not sorted for it."""
     g = grid.withColumns({"n": filled(F.col("cells")),
                           "labels": F.size(F.filter("cells", lambda c: (F.trim(F.coalesce(c, F.lit(""))) != "") & is_label(c))),
                           "head": first_filled(F.col("cells"))})
     width = grid.groupBy(*SHEET).agg(F.max(F.size("cells")).alias("width"))
-    g = g.join(width, SHEET).withColumn("need", F.greatest(F.lit(2.0), F.col("width") * 0.5))
+    g = g.join(width.hint("shuffle_hash"), SHEET).withColumn("need", F.greatest(F.lit(2.0), F.col("width") * 0.5))
     return g.withColumn("label_like", (F.col("n") >= F.col("need")) & (F.col("labels") >= 0.7 * F.col("n")))
 
 
@@ -50,7 +50,7 @@ def find_headers(grid: DataFrame, parts: int | None = None) -> DataFrame:
     opens = F.col("n_prev").isNull() | (F.col("n_prev") < F.col("need")) | F.coalesce("prev_label", F.lit(False))
     look = look.withColumns({"_cand": cand, "_open": cand & opens})
     first = look.filter("_open").groupBy(*SHEET).agg(F.min("row_no").alias("_first"))
-    out = look.join(first, SHEET, "left")
+    out = look.join(first.hint("shuffle_hash"), SHEET, "left")
     header = F.col("_cand") & ((F.col("row_no") == F.col("_first")) | ((F.col("row_no") > F.col("_first")) & (F.col("n_prev") <= 3)))
     return out.withColumn("is_header", F.coalesce(header, F.lit(False))).drop("_cand", "_open", "_first", "n_next", "prev_label")
 

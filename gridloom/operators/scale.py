@@ -52,7 +52,7 @@ def running(df: DataFrame, keys: Sequence[str], pos: str, sums: Mapping[str, Col
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    joined = here.join(offsets, cond, "left")
+    joined = here.join(offsets.hint("shuffle_hash") if parts else offsets, cond, "left")  # a few rows a key: nothing is sorted for them
     out = joined.withColumns({
         **{n: F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in sums},
         **{n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_o_{n}")) for n in carries}})

@@ -155,3 +155,24 @@ def test_checks_of_one_value_are_those_of_columns(spark):
     df = spark.createDataFrame(values, "label string, value string")
     assert [bool(r[0]) for r in df.select(D.passes(F.col("label"), F.col("value"))).collect()] == [D.holds(*v) for v in values]
     assert D.born("was Born 1.") and D.born("जन्म 1") and not D.born("जन्मे 1") and not D.born("xborn") and not D.born("agedx") and D.born("(d.o.b 1")
+
+
+def test_a_worker_splits_few_texts_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+    from gridloom.operators import places
+    monkeypatch.setattr(places, "SLICE", 100)
+    texts = [None, "", "x" * 30, "y" * 250, *["z" * 40] * 6]
+    cut_up = [p.column("t").to_pylist() for p in places.slices(pa.RecordBatch.from_pydict({"t": pa.array(texts, pa.string())}), "t")]
+    assert [t for p in cut_up for t in p] == texts and max(len(p) for p in cut_up) <= 4
+    assert not list(places.slices(pa.RecordBatch.from_pydict({"t": pa.array([], pa.string())}), "t"))
+
+
+def test_texts_are_worked_on_once(spark):
+    vault = cut(V.build_vault(V.cells(spark.createDataFrame([(1, "Asha Devi"), (2, "Ravi K")], "k long, n string"), "k", {"n": "person_name"})))
+    docs = spark.createDataFrame([(1, "met Asha Devi"), (2, "and ravi k."), (None, "Asha"), (3, None)], "k long, t string")
+    done = V.redact(docs, "k", "t", vault)
+    back = V.restore(done.select("k", F.col("redacted").alias("t")), "k", "t", vault)
+    assert "MapInArrow" not in back._jdf.queryExecution().optimizedPlan().toString()  # the redaction is not in the plan twice, but cut before
+    left = V.leaks(done, "k", "redacted", vault)
+    assert "isnotnull(regexp_replace" not in left._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert left.count() == 0 and sorted(V.leaks(docs, "k", "t", vault).collect()) == [(1, "NAME_001", 1), (2, "NAME_002", 1)]

@@ -228,3 +228,15 @@ def test_order_of_results():
         in_order([Result("a", ("b",), make), Result("b", ("a",), make)])
     with pytest.raises(ValueError):
         in_order([Result("a", (), make), Result("a", (), make)])
+
+
+def test_a_full_folder_is_read_in_few_batches(spark, tmp_path):
+    for i in range(230):
+        (tmp_path / f"{i}.csv").write_text("a,b\n" * (i % 3 + 1))
+    sizes = []
+
+    def tidy(session, paths):
+        sizes.append(len(paths))
+        return S.read_grid(session, paths).select("row_no")
+    out = ST.stream_folder(spark, str(tmp_path), scratch(spark, "folder"), tidy, "row_no bigint")
+    assert sizes == [230] and out.count() == sum(i % 3 + 1 for i in range(230))

@@ -112,3 +112,14 @@ def test_fold_regions_refuses_conflicts(spark):
         raise AssertionError("conflict not found")
     except Exception as e:  # noqa: BLE001
         assert "conflicting values" in str(e)
+
+
+def test_the_tasks_of_a_grid_follow_its_rows(spark, monkeypatch):
+    grid = spark.range(2000).select((F.col("id") % 3).cast("string").alias("file"), F.lit("s").alias("sheet"), F.floor(F.col("id") / 3).alias("row_no"), F.when(
+        F.col("id") < 3, F.array(F.lit("Name"), F.lit("Mark"))).otherwise(F.array(F.concat(F.lit("n"), F.col("id").cast("string")), F.col("id").cast("string"))).alias("cells"))
+    few = sorted(map(str, G.split_blocks(grid).select("file", "row_no", "block", "names").collect()))
+    monkeypatch.setattr(G, "ROWS_PER_TASK", 50)
+    many = G.split_blocks(grid)
+    dealt = [line for line in many._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line]
+    assert G.tasks_for(grid) == 41 and len(dealt) >= 3 and all("], 41" in line for line in dealt)
+    assert len(few) == 2000 and sorted(map(str, many.select("file", "row_no", "block", "names").collect())) == few
