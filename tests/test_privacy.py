@@ -176,3 +176,10 @@ def test_texts_are_worked_on_once(spark):
     left = V.leaks(done, "k", "redacted", vault)
     assert "isnotnull(regexp_replace" not in left._jdf.queryExecution().optimizedPlan().toString().lower()
     assert left.count() == 0 and sorted(V.leaks(docs, "k", "t", vault).collect()) == [(1, "NAME_001", 1), (2, "NAME_002", 1)]
+
+
+def test_a_detector_chosen_by_name_counts_what_it_finds(spark, tmp_path):
+    from gridloom.queries import QUERIES
+    texts = ["no. 1234 5678 9012 and 123456789", "call 98765 43210 or a@b.org", "nothing", "", None, "2001-02-03", "12345678"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["udf4_detector_choice"](spark, str(tmp_path)).collect())) == [("regex", 0), ("regex+digits", 3)]
