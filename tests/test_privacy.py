@@ -183,3 +183,17 @@ def test_a_detector_chosen_by_name_counts_what_it_finds(spark, tmp_path):
     texts = ["no. 1234 5678 9012 and 123456789", "call 98765 43210 or a@b.org", "nothing", "", None, "2001-02-03", "12345678"]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, QUERIES["udf4_detector_choice"](spark, str(tmp_path)).collect())) == [("regex", 0), ("regex+digits", 3)]
+
+
+def test_a_rule_finds_what_its_pattern_finds():
+    import random
+    import re
+    rng = random.Random(8)
+    pieces = ["a", "b.", "@", "@ybl", "@x.org", "@x.o", "ABCPK1234L", "SBIN0001234", "ABC1234567", "MH12AB1234", "MH 1 A 1234", "+91", "+", "0", "98765", "43210", " ", "-", ".", "/", "12", "2001-02-03",
+              "1/2/99", "18.52", ", ", "73.85", "2345 6789 0123", "٣", "é", "_", "%", "\n", "A", "x@upi", ".."]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 30))) for _ in range(4000)]
+    starts = [([m.start() for m in re.finditer(r"\d+", t)], [m.start() for m in re.finditer("@", t)]) for t in texts]
+    for rule in [*D.VALIDATORS, D.Rule("long_number", D.LONG_NUMBER, lead=0)]:
+        assert rule.lead is not None
+        find = D.matches(rule)
+        assert [[m.span() for m in find(t, *at)] for t, at in zip(texts, starts)] == [[m.span() for m in re.finditer(rule.pattern, t)] for t in texts]
