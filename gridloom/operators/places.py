@@ -28,7 +28,8 @@ from pyspark.sql import types as T
 from gridloom.session import cut, dealt
 
 SIEVE = 1 << 23
-HEAD = 32  # letters of a word that are hashed
+HEAD = 32  # letters of a word in a run that are hashed
+STEP = 1 << 14  # words whose letters are summed at a time
 LEAD = 8  # words that a form is followed by before it is put together
 SLICE = 1 << 18  # bytes of text split at a time
 _ZERO = np.zeros(SIEVE >> 6, np.uint64)
@@ -68,6 +69,9 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_LETTERS, _PLACES = _mixed(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)), _mixed(np.arange(1 << 10, dtype=np.uint64) + np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
 class Split:
     """The words of some texts as places in their code points; `first` is the number of words before each text."""
 
@@ -97,8 +101,17 @@ class Split:
         return h
 
     def heads(self) -> np.ndarray:
-        """Bitmap places of the words, by their letters in lower case."""
-        return _bits(self._hashed(lambda at: self.low[at], self.starts, self.ends - self.starts))
+        """Bitmap places of all words, by their letters in lower case: each letter counts by its place in its word, and the letters
+        of a word are summed, some words at a time."""
+        out = np.zeros(len(self.starts), np.int64)
+        for i in range(0, len(out), STEP):
+            starts, ends = self.starts[i:i + STEP], self.ends[i:i + STEP]
+            lo, hi = starts[0], ends[-1]
+            place = np.arange(lo, hi) - np.repeat(starts, np.diff(starts, append=hi))
+            letters = np.append(_LETTERS[self.low[lo:hi] & np.uint32(len(_LETTERS) - 1)] * _PLACES[place & (len(_PLACES) - 1)], np.uint64(0))
+            h = np.add.reduceat(letters, np.stack([starts, ends], 1).ravel() - lo)[::2]
+            out[i:i + STEP] = _bits(_mixed(h ^ (ends - starts).astype(np.uint64)))
+        return out
 
     def runs(self, words: np.ndarray, last: np.ndarray, sieve: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """From each of `words` on, one more word at a time up to LEAD, none past the word `last`: the number of words, which of

@@ -197,3 +197,11 @@ def test_a_rule_finds_what_its_pattern_finds():
         assert rule.lead is not None
         find = D.matches(rule)
         assert [[m.span() for m in find(t, *at)] for t, at in zip(texts, starts)] == [[m.span() for m in re.finditer(rule.pattern, t)] for t in texts]
+
+
+def test_only_texts_that_may_hold_codes_are_cleared_of_them(spark):
+    known = vault(spark, KNOWN)
+    texts = [(1, "plain Asha Patil"), (2, "NAME_001 and NAME\\_002, xPLACE_001"), (3, '{"a": "\\nPatil\\"", "b": "\\/Yerawada Ward"}'), (4, None), (5, "\\nNAME_001 Patil_NAME_001"), (6, "aNAME_001 is Patil")]
+    found = V.leaks(spark.createDataFrame(texts, "id int, t string"), "id", "t", known)
+    assert "contains(" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted((r.id, r.code) for r in found.collect()) == [(1, "NAME_001"), (1, "NAME_002"), (3, "NAME_002"), (3, "PLACE_001"), (6, "NAME_002")]
